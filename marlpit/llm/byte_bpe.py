@@ -60,7 +60,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", size: int = 65_536)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(0)), 4 * arrow.BATCH_BYTES):
+            for _, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(0)), arrow.BATCH_BYTES):
                 found = segments_of(texts)
                 n = np.bincount(found.codes, minlength=len(found.words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([found.words, pa.array(n)], ["segment", "n"])
@@ -95,7 +95,7 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.cache = tokenizer.WordCache()
+        self.cache, self.plain = tokenizer.WordCache(), tokenizer.WordCache()
         self.special = {x["content"]: x["id"] for x in found["added_tokens"]}
         tokens = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
         tokens |= {i: t.encode() for t, i in self.special.items()}
@@ -184,14 +184,14 @@ class Vocabulary:
         back = np.argsort(np.concatenate(done_order), kind="stable")
         return all_ids[back], np.bincount(all_word, minlength=len(starts))
 
-    def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_segments(self, segments: list[bytes], special_strings: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of each segment, by the pattern and the merges alone."""
         pieces: list[str] = []
         owner: list[int] = []
         special: dict[int, int] = {}
         for k, raw in enumerate(segments):
             text = raw.decode("utf-8")
-            if self.split_special and self.split_special.search(text):
+            if special_strings and self.split_special and self.split_special.search(text):
                 for part in self.split_special.split(text):
                     if part in self.special:
                         special[len(pieces)] = self.special[part]
@@ -212,6 +212,10 @@ class Vocabulary:
             ids[at[k]] = token
         return ids, np.bincount(np.array(owner), weights=counts, minlength=len(segments)).astype(np.int64)
 
+    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`unseen`, but special tokens' strings are ordinary text."""
+        return self.plain.look_up(words, lambda new: self.encode_segments(new, False))
+
     def unseen(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`encode_segments`; what was merged before in this process is looked up."""
         return self.cache.look_up(segments, self.encode_segments)
@@ -380,7 +384,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1))):
+            for rows, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1)), arrow.BATCH_BYTES // 2):
                 ids, at = encode_texts(texts, vocabulary(name), _mapped(file_name))
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "ids"])

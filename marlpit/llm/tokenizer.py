@@ -36,7 +36,7 @@ def load(name: str):
 class WordCache:
     """Ids of words met before in this worker process. Emptied when it holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 500_000, longest: int = 64):
+    def __init__(self, most: int = 250_000, longest: int = 64):
         self.most, self.longest = most, longest
         self.clear()
 
@@ -111,7 +111,7 @@ def _counts(name: str) -> dict[str, int]:
     return {}
 
 
-def count_distinct(name: str, words: pa.Array, step: int = 16384, most: int = 1_000_000, longest: int = 64) -> np.ndarray:
+def count_distinct(name: str, words: pa.Array, step: int = 16384, most: int = 500_000, longest: int = 64) -> np.ndarray:
     """How many tokens each word has. Counts of up to ``most`` words are kept for this worker process."""
     tokenizer, known, asked = load(name), _counts(name), words.to_pylist()
     if len(known) + len(asked) > most:
