@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import arrow, tokenizer
+from marlpit.llm.frequent import most_frequent
+from marlpit.llm.tables import written
 from marlpit.llm.tokenizer import vocabulary_path
 
 #: White space of the tokenizer's pattern (Unicode White_Space), and its contractions.
@@ -52,10 +54,9 @@ def segments_of(texts: pa.Array) -> arrow.Words:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = 65_536) -> list[tuple[bytes, int]]:
-    """The ``size`` most frequent segments of all texts, with their counts; ties go by bytes.
+    """The most frequent segments of all texts, ``size`` at most, with their counts.
 
-    The driver gets ``size`` rows at most. Each task counts its own segments first, so one frequent word is one
-    row a task.
+    Each task counts its own segments first, so one frequent word is one row a task.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +67,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", size: int = 65_536)
                 yield pa.RecordBatch.from_arrays([found.words, pa.array(n)], ["segment", "n"])
 
     rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(counted, "segment binary, n bigint")
-    best = rows.groupBy("segment").agg(F.sum("n").alias("n")).filter(F.octet_length("segment").between(1, 64))
-    return [(bytes(r.segment), r.n) for r in best.orderBy(F.desc("n"), "segment").limit(size).collect()]
+    counts = written(rows.groupBy("segment").agg(F.sum("n").alias("n")).filter(F.octet_length("segment").between(1, 64)))
+    return sorted((bytes(r.segment), r.n) for r in most_frequent(counts, "n", size).collect())
 
 
 # ---------------------------------------------------------------- vocabulary

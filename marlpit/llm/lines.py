@@ -111,7 +111,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     gone = line_groups(docs, id_col, text_col, numerator, denominator).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_l_gone"))
     gone = written(gone.withColumnRenamed("doc_id", "_l_id"))
-    held = docs.join(few(gone, 20 * gone.count()), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_l_id")), "left")
+    numbers = gone.agg(F.coalesce(F.sum(F.size("_l_gone") + 4), F.lit(0))).first()[0]
+    held = docs.join(few(gone, numbers), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_l_id")), "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_l_gone"))
     text = F.when(F.col("_l_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

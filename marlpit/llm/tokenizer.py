@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from marlpit.llm.arrow import gather
 
@@ -85,25 +86,73 @@ def _cache(name: str) -> WordCache:
     return WordCache()
 
 
-def encode_distinct(name: str, words: pa.Array, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+#: Fixed value: the tokenizer's own pattern of pieces, for lower-case ASCII.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: Words that are encoded as one text.
+JOINED = 64
+
+
+@lru_cache(maxsize=4)
+def _ends(name: str) -> np.ndarray | None:
+    """Which ids end a piece; none if the tokenizer doesn't mark ends of pieces so, or isn't one that drops white space."""
+    found = load(name)
+    vocab = found.get_vocab(with_added_tokens=False)
+    if not all(f"{c}</w>" in vocab for c in "az09.,"):
+        return None
+    out = np.zeros(max(found.get_vocab().values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return out
+
+
+def encode_new(name: str, words: list[str], step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of words by the library, each as a text of its own.
+
+    ASCII words are joined by spaces, which the tokenizer drops, and encoded many at once; as each piece of a word
+    ends with one marked id, the words' ids are told apart by counting pieces. Others, and those that might hold a special
+    string, are encoded one by one.
+    """
+    tokenizer, ends = load(name), _ends(name)
+    column = pa.array(words, pa.string())
+    joined = np.zeros(len(words), bool)
+    if ends is not None and len(words):
+        plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring_regex(column, r"[<|\x00-\x20\x7f]")))
+        joined = pc.and_(plain, pc.less_equal(pc.binary_length(column), 64)).to_numpy(zero_copy_only=False)
+    parts: list[np.ndarray] = []
+    sizes = np.zeros(len(words), np.int64)
+    order: list[np.ndarray] = []
+    one = np.flatnonzero(~joined)
+    for at in range(0, len(one), step):
+        own = one[at : at + step]
+        found = [x.ids for x in tokenizer.encode_batch_fast([words[k] for k in own.tolist()], add_special_tokens=False)]
+        sizes[own] = [len(x) for x in found]
+        parts += [np.array([i for x in found for i in x], np.int32)]
+        order.append(own)
+    many = np.flatnonzero(joined)
+    pieces = pc.count_substring_regex(pc.ascii_lower(column.take(pa.array(many))), ASCII_PIECES).to_numpy() if len(many) else np.zeros(0, np.int64)
+    for at in range(0, len(many), step):
+        own = many[at : at + step].tolist()
+        texts = [" ".join(words[k] for k in own[i : i + JOINED]) for i in range(0, len(own), JOINED)]
+        ids = np.array([i for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int32)
+        stop = np.flatnonzero(ends[ids]) + 1
+        last = stop[np.cumsum(pieces[at : at + step]) - 1]
+        sizes[own] = np.diff(last, prepend=0)
+        parts.append(ids)
+        order.append(many[at : at + step])
+    if not order:
+        return np.zeros(0, np.int32), sizes
+    own, flat = np.concatenate(order), np.concatenate(parts)
+    starts = np.zeros(len(words), np.int64)
+    starts[own] = np.cumsum(sizes[own]) - sizes[own]
+    return gather(flat, starts, sizes), sizes
+
+
+def encode_distinct(name: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of each word of an array of distinct words.
 
     The tokenizer must drop white space (as ``word_bpe_49k.json`` does), so that a text's ids are its
     words' ids one after another: white space is then a safe boundary. No special string holds white space.
     """
-    tokenizer = load(name)
-
-    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        lengths = np.zeros(len(new), np.int64)
-        for at in range(0, len(new), step):
-            for k, found in enumerate(tokenizer.encode_batch_fast(new[at : at + step], add_special_tokens=False), at):
-                own = found.ids
-                lengths[k] = len(own)
-                ids += own
-        return np.array(ids, np.int32), lengths
-
-    return _cache(name).look_up(words.to_pylist(), encode)
+    return _cache(name).look_up(words.to_pylist(), lambda new: encode_new(name, new))
 
 
 @lru_cache(maxsize=4)
@@ -111,15 +160,12 @@ def _counts(name: str) -> dict[str, int]:
     return {}
 
 
-def count_distinct(name: str, words: pa.Array, step: int = 16384, most: int = 500_000, longest: int = 64) -> np.ndarray:
+def count_distinct(name: str, words: pa.Array, most: int = 500_000, longest: int = 64) -> np.ndarray:
     """How many tokens each word has. Counts of up to ``most`` words are kept for this worker process."""
-    tokenizer, known, asked = load(name), _counts(name), words.to_pylist()
+    known, asked = _counts(name), words.to_pylist()
     if len(known) + len(asked) > most:
         known.clear()
     new = [w for w in asked if w not in known]
-    long = {}
-    for at in range(0, len(new), step):
-        part = new[at : at + step]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            (known if len(word) <= longest else long)[word] = len(found)
-    return np.fromiter((known[w] if w in known else long[w] for w in asked), np.int64, len(asked))
+    fresh = dict(zip(new, encode_new(name, new)[1].tolist(), strict=True))
+    known.update((w, n) for w, n in fresh.items() if len(w) <= longest)
+    return np.fromiter((known[w] if w in known else fresh[w] for w in asked), np.int64, len(asked))

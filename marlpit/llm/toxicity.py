@@ -125,12 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.append(some, -1), np.append(pos[some], yes.sum()), np.append((all_ - pos)[some], (~yes).sum()))], ["bucket", "pos", "unl"])
 
     counts = marked.mapInArrow(counted, "bucket bigint, pos bigint, unl bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
-    found = counts.toPandas()  # a row for each of the fixed number of buckets at most
+    found = counts.filter("bucket < 0 or pos + unl >= 8").toPandas()  # a row for each of the fixed number of buckets at most
     total = found[found.bucket < 0]
     if not len(total) or not total.pos.sum() or not total.unl.sum():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     np_, nu = float(total.pos.iloc[0]), float(total.unl.iloc[0])
-    found = found[(found.bucket >= 0) & (found.pos + found.unl >= 8)].sort_values("bucket")
+    found = found[found.bucket >= 0].sort_values("bucket")
     pos, unl = found.pos.to_numpy(float), found.unl.to_numpy(float)
     even = (pos + unl) / (np_ + nu)
     z = (pos / np_ - unl / nu) / np.sqrt(even * (1 - even) * (1 / np_ + 1 / nu) + 1e-12)
