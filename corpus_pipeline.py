@@ -7,6 +7,7 @@ read again as the next one's ``docs``. All but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlpit.llm import lines, minhash, packing, quality, toxicity
 from marlpit.llm.tables import written
@@ -26,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near copies of an earlier one; n_chars follows the text."""
-    return lines.drop_repeated_lines(docs)
+    return lines.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
