@@ -2,9 +2,10 @@
 
 Items that share a band key are candidates. A bucket (all items of one key) is never turned into all its pairs:
 its items are held against one representative each, exact links are joined into components, and buckets whose
-items are in one component are done. Buckets that aren't get another representative, the item with most links.
-What then still lies in different components is held against each other in blocks, inside a join whose condition
-has the sketch estimate, so that only likely pairs come out of it. Nothing is capped; every candidate pair of
+items are in one component are done. Of the items in other buckets those drop out that can't have a link to any, as
+too many of their elements are in no other such item; buckets that are still open get another representative, the
+item with most links. What then still lies in different components is held against each other in blocks, inside a
+join whose condition has an upper bound of the similarity and the sketch estimate, so that only likely pairs come out of it. Nothing is capped; every candidate pair of
 different components has been tested in the end.
 """
 
@@ -20,6 +21,9 @@ from marlpit.llm.tables import BROADCAST_ROWS, written
 
 #: Rows of a bucket that one task holds against as many others.
 BLOCK = 256
+#: Longs of an odd sketch, and all columns that bounds are made of.
+PARITIES = tuple(f"q{k}" for k in range(16))
+BOUNDS = ("size", "shared", *PARITIES)
 
 
 class Sketches(NamedTuple):
@@ -79,38 +83,75 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
         labels = components(links)
     if not n_larger:
         return labels if labels is not None else _none(frame)
+    open_ = _open(members, labels)
+    ids = written(open_.select("id").distinct())
+    rows = ids.count()
+    if not rows:
+        return labels if labels is not None else _none(frame)
+    sets = written(sets_of(ids, rows))
+    bounds = written(_bounds(sets))
+    # an item of which too much is in no other open item can't have a link
+    hopeful = bounds.filter(denominator * F.col("shared") >= numerator * F.col("size"))
+    members = written(open_.select("key", "id").join(few(hopeful, rows), "id"))
+
+    def again(wanted: DataFrame, n: int) -> DataFrame:
+        return sets.join(few(wanted, n), "id", "left_semi")
+
     for _ in range(2):  # other representatives, for buckets whose items are not together yet
         open_ = _open(members, labels)
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
         ranked = open_.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        chosen = ranked.groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("id").alias("order"), "component")).alias("r"))
-        chosen = chosen.select("key", F.bitwise_not(F.col("r.order")).alias("to"), F.col("r.component").alias("to_component"))
-        pairs = open_.join(chosen, "key").filter("component != to_component").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+        chosen = ranked.groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("id").alias("order"), "component", *BOUNDS)).alias("r"))
+        chosen = chosen.select("key", F.bitwise_not(F.col("r.order")).alias("to"), F.col("r.component").alias("to_component"), *(F.col(f"r.{c}").alias(f"to_{c}") for c in BOUNDS))
+        apart = (F.col("component") != F.col("to_component")) & _possible("", "to_", numerator, denominator)
+        pairs = open_.join(chosen.withColumnRenamed("key", "to_key"), (F.col("key") == F.col("to_key")) & apart).select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
         fresh = written(_likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sketches))
-        more = written(_confirmed(fresh, sets_of, numerator, denominator))
+        more = written(_confirmed(fresh, again, numerator, denominator))
         tried = tried.unionByName(fresh)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         labels = components(links)
-    rest = _across(_open(members, labels), sketches).join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest), sets_of, numerator, denominator))
+    rest = _across(_open(members, labels), sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
+    more = written(_confirmed(written(rest), again, numerator, denominator))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return labels if labels is not None else _none(frame)
 
 
+def _bounds(sets: DataFrame) -> DataFrame:
+    """(id, size, shared and parities): how many elements a set has, how many of them are in another set of the table
+    too, and an odd sketch: for each of 1024 places whether an odd number of elements falls there."""
+    items = sets.select("id", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    place = F.pmod(F.xxhash64("item"), F.lit(64 * len(PARITIES)))
+    put = items.withColumn("place", place).select("id", F.expr("place div 64").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    odd = put.groupBy("id").agg(F.count("*").alias("size"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(q) for k, q in enumerate(PARITIES)))
+    return odd.join(own, "id", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+
+
+def _possible(a: str, b: str, numerator: int, denominator: int) -> Column:
+    """Whether two sets could reach the threshold, by bounds that no link breaks: they can't have more in common than
+    either shares with any set, and differ in at least as many elements as their odd sketches do in places."""
+    most = F.least(f"{a}shared", f"{b}shared")
+    sizes = F.col(f"{a}size") + F.col(f"{b}size")
+    differ = F.lit(0)
+    for q in PARITIES:
+        differ = differ + F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}")))
+    return (denominator * most >= numerator * (sizes - most)) & ((denominator + numerator) * differ <= (denominator - numerator) * sizes)
+
+
 def _none(frame: DataFrame) -> DataFrame:
     return frame.select("id", F.col("id").alias("component")).limit(0)
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, id, component, in_bucket) of buckets whose items lie in more than one component."""
-    own = members.select("key", "id")
+    """Members of buckets whose items lie in more than one component, with component and in_bucket, the bucket's size."""
     if labels is not None:
-        own = own.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        own = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
-        own = own.withColumn("component", F.col("id"))
+        own = members.withColumn("component", F.col("id"))
     own = written(own)
     apart = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("in_bucket")).filter("c0 < c1")
     return written(own.join(apart.select("key", "in_bucket"), "key"))
@@ -124,7 +165,7 @@ def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
     return held.filter(sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
 
 
-def _across(open_: DataFrame, sketches: Sketches) -> DataFrame:
+def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
     """Likely pairs (a, b) of items in different components of one bucket, block against block."""
     held = open_.join(sketches.frame.select("id", *sketches.columns), "id")
     blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
@@ -132,12 +173,12 @@ def _across(open_: DataFrame, sketches: Sketches) -> DataFrame:
     # each item goes to the pairs of blocks that its own is in
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    one = spread.select(F.col("key").alias("a_key"), "x", "y", F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
-    two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
+    one = spread.select(F.col("key").alias("a_key"), "x", "y", *(F.col(c).alias(f"a_{c}") for c in BOUNDS), F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
+    two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.col(c).alias(f"b_{c}") for c in BOUNDS), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
     apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & ((F.col("x") == F.col("y")) | (F.col("a_own") != F.col("b_own")))
     likely = sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
     same = (F.col("a_key") == F.col("b_key")) & (F.col("x") == F.col("b_x")) & (F.col("y") == F.col("b_y"))
-    return one.join(two, same & apart & likely).select("a", "b").distinct()
+    return one.join(two, same & apart & _possible("a_", "b_", numerator, denominator) & likely).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], numerator: int, denominator: int) -> DataFrame:

@@ -128,7 +128,8 @@ def likely(numerator: int, denominator: int) -> Callable[[Callable[[str], Column
         chance, goal = 1 / (1 << LANE), numerator / denominator
         estimate = (1 - differ / F.lit(float(REGISTERS)) - chance) / (1 - chance)
         low, high = F.least(a("n"), b("n")), F.greatest(a("n"), b("n"))
-        error = F.sqrt(F.lit(goal * (1 - goal) + 0.06) * (F.lit(1 / REGISTERS) + 1 / low.cast("double")))
+        # lanes that were borrowed count twice, but a small set is sampled nearly whole
+        error = F.sqrt(F.lit(goal * (1 - goal)) * (F.lit(1 / REGISTERS) + 0.35 / low.cast("double")) + 0.0004)
         return (denominator * low >= numerator * high) & (estimate >= goal - 5 * error)
 
     return test
