@@ -1,33 +1,22 @@
 """Line deduplication by MinHash over character shingles, with DataFrame operations alone.
 
-Equal lines are one item. Each item's shingles (ten code points) are hashed, and 24 least values under different
-exclusive-or masks make its signature, in one grouped aggregation without a shuffle of shingles. Twelve bands of three
+Equal lines are one item. Each item's shingles (ten code points) are hashed once, and the least hash of each of 36
+buckets makes its signature, by grouped aggregations without a shuffle of shingles. Twelve bands of three
 values give candidates; whole shingle sets confirm them; components keep their first line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.linking import Sketches, few, link
 from marlpit.llm.tables import written
 
-SHINGLE, VALUES, BAND = 10, 24, 3
-#: Bands of neighbouring values, then bands of values eight apart beginning at every second place.
-BANDS = tuple((3 * k, 3 * k + 1, 3 * k + 2) for k in range(8)) + tuple((k, k + 8, k + 16) for k in range(0, 8, 2))
-VALUE_NAMES = tuple(f"m{k}" for k in range(VALUES))
+SHINGLE, BUCKETS, BAND = 10, 36, 3
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def _mask(k: int) -> int:
-    """The k-th mask: odd multiples of the golden ratio, as a signed long."""
-    x = (0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
-
-
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, line and its 64-bit hash, of every line that has a word. Null texts have none."""
     parts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_no", "line"))
@@ -44,30 +33,22 @@ def _starts(line: str) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """id and 24 values of each distinct line.
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(id, key), a row for each band of each distinct line.
 
-    Equal lines meet once after each task has made its own distinct, so a line that fills a third of the table is
-    one row a task. The aggregation by id stands where the distinct lines already lie.
+    One hash for each shingle: its remainder names one of 36 buckets, of which the least hash is kept, and three
+    buckets make a band; a band without any shingle has no row. Equal lines meet once after each task has made its
+    own distinct, so a line that fills a third of the table is one row a task; both aggregations stand where the
+    distinct lines already lie, so no shingle is shuffled.
     """
     distinct = lines.groupBy("id").agg(F.first("line").alias("line"))
-    shingles = distinct.select("id", F.encode("line", "UTF-32").alias("code"), F.explode(_starts("line")).alias("at"))
+    # encoded below the explosion: once for each line, not once for each shingle
+    coded = distinct.select("id", F.encode("line", "UTF-32").alias("code"), _starts("line").alias("starts"))
+    shingles = coded.select("id", "code", F.explode("starts").alias("at"))
     hashed = shingles.select("id", _shingle("code", "at").alias("h"))
-    return hashed.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(_mask(k)))).alias(n) for k, n in enumerate(VALUE_NAMES)))
-
-
-def _likely(numerator: int, denominator: int) -> Callable[[Callable[[str], Column], Callable[[str], Column]], Column]:
-    """Whether as many values agree as five standard errors below the threshold."""
-    goal = numerator / denominator
-    least = max(1, int(VALUES * goal - 5 * (VALUES * goal * (1 - goal)) ** 0.5))
-
-    def test(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        same = F.lit(0)
-        for n in VALUE_NAMES:
-            same = same + (a(n) == b(n)).cast("int")
-        return same >= least
-
-    return test
+    least = hashed.groupBy("id", F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.min("h").alias("least"))
+    bands = least.groupBy("id", F.expr(f"bucket div {BAND}").alias("band")).agg(F.bit_xor(F.xxhash64("bucket", "least")).alias("x"))
+    return bands.select("id", F.xxhash64("band", "x").alias("key"))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -79,17 +60,16 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = lines_of(docs, id_col, text_col)
     places = written(found.select("doc_id", "line_no", "id"))
-    signed = written(signatures(found))
-    keys = F.array(*(F.xxhash64(F.lit(k), *(VALUE_NAMES[j] for j in band)) for k, band in enumerate(BANDS)))
-    frame = signed.select("id", keys.alias("keys"), *VALUE_NAMES)
+    keyed = written(band_keys(found))
 
     def sets_of(ids: DataFrame, rows: int) -> DataFrame:
         some = found.join(few(ids, rows), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
         coded = some.select("id", F.encode("line", "UTF-32").alias("code"), _starts("line").alias("starts"))
-        hashes = F.expr(f"array_distinct(transform(starts, i -> xxhash64(substring(code, cast(4 * i + 1 as int), {4 * SHINGLE}))))")
+        # the encoded line is bound to a name, or it would be encoded once for each shingle
+        hashes = F.expr(f"array_distinct(element_at(transform(array(code), c -> transform(starts, i -> xxhash64(substring(c, cast(4 * i + 1 as int), {4 * SHINGLE})))), 1))")
         return coded.select("id", hashes.alias("items"))
 
-    labels = link(Sketches(frame, VALUE_NAMES, _likely(numerator, denominator)), sets_of, numerator, denominator)
+    labels = link(Sketches(keyed), sets_of, numerator, denominator)
     grouped = written(places.join(labels, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component")))
     first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no")))

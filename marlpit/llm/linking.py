@@ -27,12 +27,14 @@ BOUNDS = ("size", "shared", *PARITIES)
 
 
 class Sketches(NamedTuple):
-    """``frame``: id, keys (array<bigint>) and sketch columns. ``likely`` takes two functions from a sketch column's name
-    to its value on either side, and says whether the pair may reach the threshold."""
+    """``keyed``: (id, key), a row for each band key of each item. ``frame``: id and sketch columns, of which ``likely``
+    takes two functions from a column's name to its value on either side, and says whether the pair may reach the
+    threshold; without columns every pair may."""
 
-    frame: DataFrame
-    columns: tuple[str, ...]
-    likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+    keyed: DataFrame
+    frame: DataFrame | None = None
+    columns: tuple[str, ...] = ()
+    likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -67,8 +69,7 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     ``sets_of(ids, rows)`` gives (id, items) for a table of distinct ids; items is an array of distinct values. Two
     items are linked if ``denominator`` * common >= ``numerator`` * united.
     """
-    frame = sketches.frame
-    keyed = frame.select("id", F.explode("keys").alias("key"))
+    keyed = sketches.keyed
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"))
     larger = buckets.filter("n > 2").select("key", "low")
     n_larger = larger.count()
@@ -82,12 +83,12 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     else:
         labels = components(links)
     if not n_larger:
-        return labels if labels is not None else _none(frame)
+        return labels if labels is not None else _none(keyed)
     open_ = _open(members, labels)
     ids = written(open_.select("id").distinct())
     rows = ids.count()
     if not rows:
-        return labels if labels is not None else _none(frame)
+        return labels if labels is not None else _none(keyed)
     sets = written(sets_of(ids, rows))
     bounds = written(_bounds(sets))
     # an item of which too much is in no other open item can't have a link
@@ -116,7 +117,7 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     more = written(_confirmed(written(rest), again, numerator, denominator))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    return labels if labels is not None else _none(frame)
+    return labels if labels is not None else _none(keyed)
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
@@ -142,8 +143,8 @@ def _possible(a: str, b: str, numerator: int, denominator: int) -> Column:
     return (denominator * most >= numerator * (sizes - most)) & ((denominator + numerator) * differ <= (denominator - numerator) * sizes)
 
 
-def _none(frame: DataFrame) -> DataFrame:
-    return frame.select("id", F.col("id").alias("component")).limit(0)
+def _none(keyed: DataFrame) -> DataFrame:
+    return keyed.select("id", F.col("id").alias("component")).limit(0)
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -159,6 +160,8 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
     """Pairs (a, b) whose sketches say that they may reach the threshold."""
+    if not sketches.columns:
+        return pairs
     one = sketches.frame.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
     two = sketches.frame.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
     held = pairs.join(one, "a").join(two, "b")
@@ -167,7 +170,7 @@ def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
 
 def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
     """Likely pairs (a, b) of items in different components of one bucket, block against block."""
-    held = open_.join(sketches.frame.select("id", *sketches.columns), "id")
+    held = open_.join(sketches.frame.select("id", *sketches.columns), "id") if sketches.columns else open_
     blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
     dealt = written(held.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")))
     # each item goes to the pairs of blocks that its own is in
@@ -176,7 +179,7 @@ def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: i
     one = spread.select(F.col("key").alias("a_key"), "x", "y", *(F.col(c).alias(f"a_{c}") for c in BOUNDS), F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
     two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.col(c).alias(f"b_{c}") for c in BOUNDS), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
     apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & ((F.col("x") == F.col("y")) | (F.col("a_own") != F.col("b_own")))
-    likely = sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    likely = sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) if sketches.columns else F.lit(True)
     same = (F.col("a_key") == F.col("b_key")) & (F.col("x") == F.col("b_x")) & (F.col("y") == F.col("b_y"))
     return one.join(two, same & apart & _possible("a_", "b_", numerator, denominator) & likely).select("a", "b").distinct()
 

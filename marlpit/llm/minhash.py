@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
         return own.join(few(ids, rows), "id", "left_semi").mapInArrow(made, "id bigint, items array<bigint>")
 
-    labels = link(Sketches(frame, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
+    keyed = frame.select("id", F.explode("keys").alias("key"))
+    labels = link(Sketches(keyed, frame, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
     found = classed.select("doc_id", "n", "id").join(labels, "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("component_id"))
     alone = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = found.unionByName(alone)
