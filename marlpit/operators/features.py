@@ -250,7 +250,9 @@ def anova_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     whole = by_class.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.count("*").alias("k"))
     between = F.col("between") - F.col("s") * F.col("s") / F.col("n")
     within = F.col("q") - F.col("between")
-    return whole.select("feature", F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k"))).alias("score"))
+    score = F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))
+    # classes that are told apart wholly
+    return whole.select("feature", F.when((within <= 0) & (between > 0), float("inf")).otherwise(score).alias("score"))
 
 
 def regression_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -259,7 +261,8 @@ def regression_scores(df: DataFrame, columns: list[str], target: str) -> DataFra
     row = rows.agg(F.count("*").alias("n"), *(F.corr(filled(c), number(target)).alias(f"r{k}") for k, c in enumerate(columns)))
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"r{k}").alias("r")) for k, c in enumerate(columns)))
     found = row.select("n", F.explode(pairs).alias("p")).select("n", "p.feature", (F.col("p.r") * F.col("p.r")).alias("r2"))
-    return found.select("feature", (F.try_divide(F.col("r2"), 1 - F.col("r2")) * (F.col("n") - 2)).alias("score"))
+    score = F.try_divide(F.col("r2"), 1 - F.col("r2")) * (F.col("n") - 2)
+    return found.select("feature", F.when(F.col("r2") >= 1, float("inf")).otherwise(score).alias("score"))
 
 
 def top_scores(scores: DataFrame, k: int) -> DataFrame:
