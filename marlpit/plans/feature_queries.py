@@ -12,7 +12,8 @@ LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.numeric_features(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], LINE_KEY), 3)
+    found = features.numeric_features(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], LINE_KEY)
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.endswith("_log1p")})
 
 
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def expectation_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checks.profile(table(spark, sf_dir, "lineitem"), [*LINE_NUMBERS, "l_returnflag"])
-    return rounded(found.withColumn("issues", F.array_join("issues", ";")), 4)
+    return rounded(found.withColumn("issues", F.array_join("issues", ";")), 5)
 
 
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +183,7 @@ def _unpivot(columns: list[str], source: str) -> str:
 
 
 def _numeric(c: str) -> str:
-    return f"round({c}, 3) AS {c}_orig, 0.0::DOUBLE AS {c}_is_null, round(ln(1 + abs({c})), 3) AS {c}_log1p, round({c} * {c}, 3) AS {c}_squared"
+    return f"{c} AS {c}_orig, 0.0::DOUBLE AS {c}_is_null, round(ln(1 + abs({c})), 6) AS {c}_log1p, {c} * {c} AS {c}_squared"
 
 
 def _scaled(c: str) -> str:
@@ -210,8 +211,8 @@ def _check(name: str, failures: str) -> str:
 
 
 def _profile_numeric(c: str) -> str:
-    return f"""SELECT '{c}' AS feature, avg(({c} IS NULL)::INT)::DOUBLE AS null_rate, count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count(*), 4) AS unique_rate, round(avg({c}), 4) AS mean,
-round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(avg(({c} = 0)::INT), 4) AS zero_rate, 0::BIGINT AS inf_count, '' AS issues, false AS has_issue FROM lineitem"""
+    return f"""SELECT '{c}' AS feature, avg(({c} IS NULL)::INT)::DOUBLE AS null_rate, count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count(*), 5) AS unique_rate, round(avg({c}), 5) AS mean,
+round(stddev_samp({c}), 5) AS std, round(min({c}), 5) AS min, round(max({c}), 5) AS max, round(avg(({c} = 0)::INT), 5) AS zero_rate, 0::BIGINT AS inf_count, '' AS issues, false AS has_issue FROM lineitem"""
 
 
 ORACLES: dict[str, str] = {
@@ -248,7 +249,7 @@ ORACLES: dict[str, str] = {
     ),
     "expectation_tally": """SELECT 'orders' AS dataset, 2 + (count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) = 0)::BIGINT AS passed, (count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) > 0)::BIGINT AS failed FROM orders
         UNION ALL SELECT 'part', 3::BIGINT, 0::BIGINT""",
-    "quality_profile": " UNION ALL ".join(map(_profile_numeric, LINE_NUMBERS)) + """ UNION ALL SELECT 'l_returnflag', avg((l_returnflag IS NULL)::INT)::DOUBLE, count(DISTINCT l_returnflag), round(count(DISTINCT l_returnflag) / count(*), 4), NULL, NULL, NULL, NULL, NULL, NULL, '', false FROM lineitem""",
+    "quality_profile": " UNION ALL ".join(map(_profile_numeric, LINE_NUMBERS)) + """ UNION ALL SELECT 'l_returnflag', avg((l_returnflag IS NULL)::INT)::DOUBLE, count(DISTINCT l_returnflag), round(count(DISTINCT l_returnflag) / count(*), 5), NULL, NULL, NULL, NULL, NULL, NULL, '', false FROM lineitem""",
     "range_violations": " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count(*) FILTER ({c} < r.a OR {c} > r.b) AS violations, round(count(*) FILTER ({c} < r.a OR {c} > r.b) / count(*), 6) AS rate FROM {_AFTER} o CROSS JOIN (SELECT min({c}) AS a, max({c}) AS b FROM {_BEFORE} WHERE o_totalprice < 200000) r"
         for c in ("o_totalprice", "o_custkey")
