@@ -2,7 +2,7 @@
 
 Only confirmed toxic texts and unlabelled texts are learnt from; with the class prior p, the risk of a classifier is
 p * (loss of positives as positive) + max(0, (loss of unlabelled as negative) - p * (loss of positives as negative)).
-A text's features are its distinct words and word beginnings, hashed; those that tell positives from unlabelled
+A text's features are its distinct words, hashed; those that tell positives from unlabelled
 texts apart, by counts over the training texts, get a weight.
 """
 
@@ -22,7 +22,8 @@ from marlpit.llm import arrow
 
 BUCKETS = 1 << 20
 PUNCTUATION = ".,;:!?\"'()#$%&*|<>[]{}-"
-BEGINNINGS = (4, 6)
+#: Lengths of word beginnings that are features too; none, as they met clean texts of some languages.
+BEGINNINGS: tuple[int, ...] = ()
 
 
 class Model(NamedTuple):
@@ -73,7 +74,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def train(row: np.ndarray, place: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
+def train(row: np.ndarray, place: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """Logistic weights of least non-negative risk, by Adam on all rows."""
     n = len(positive)
     to_pos, to_unl = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
@@ -93,7 +94,7 @@ def train(row: np.ndarray, place: np.ndarray, positive: np.ndarray, n_features:
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 40_000, max_features: int = 4_000, least_z: float = 4.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 40_000, max_features: int = 4_000, least_z: float = 6.0, least_positive: int = 6) -> Model:
     """Learns from at most ``max_positive`` confirmed toxic texts and about ``max_unlabelled`` others.
 
     ``may_learn`` (a condition on ``id_col``) says which rows labels may be learnt from; no other row is used at
@@ -134,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     pos, unl = found.pos.to_numpy(float), found.unl.to_numpy(float)
     even = (pos + unl) / (np_ + nu)
     z = (pos / np_ - unl / nu) / np.sqrt(even * (1 - even) * (1 / np_ + 1 / nu) + 1e-12)
+    z = np.where((pos >= least_positive) | (z < 0), z, 0.0)  # a few positives by chance tell nothing
     best = np.argsort(-np.abs(z), kind="stable")[:max_features]
     chosen = np.sort(found.bucket.to_numpy(np.int64)[best[np.abs(z[best]) >= least_z]])
 
