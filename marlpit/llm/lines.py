@@ -3,6 +3,10 @@
 Equal lines are one item. Each item's shingles (ten code points) are hashed once, and the least hash of each of 36
 buckets makes its signature, by grouped aggregations without a shuffle of shingles. Twelve bands of three
 values give candidates; whole shingle sets confirm them; components keep their first line.
+
+A changed character touches ten shingles of ten, which is too many for lines under 79 code points. Those are also held
+against each other by shingles of two to nine code points, an eighth of the shorter line's length; candidates are lines
+that are equal but for one stretch, as any one edit leaves them at such a length.
 """
 
 from __future__ import annotations
@@ -10,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.linking import Sketches, few, link
+from marlpit.llm.linking import Sketches, components, few, link
 from marlpit.llm.tables import written
 
 SHINGLE, BUCKETS, BAND = 10, 36, 3
+#: Code points of the shortest line that stays similar with one character changed, by bigrams, and of the longest that may be near a line under 79.
+SHORTEST, LONGEST = 15, 104
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -51,11 +57,51 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return bands.select("id", F.xxhash64("band", "x").alias("key"))
 
 
+def short_items(lines: DataFrame) -> DataFrame:
+    """(item, id, k, line): distinct lines under 79 code points and those that may be near one, once for each shingle
+    length k that they are compared by: from an eighth of three quarters of their length to an eighth of all of it, so
+    that lines of unlike length have one in common. Lines are linked if they are similar by any k that both have."""
+    length = F.length("line")
+    distinct = lines.filter(length.between(SHORTEST, LONGEST)).groupBy("id").agg(F.first("line").alias("line"))
+    low = F.expr("greatest(2, (cast(ceil(0.75 * length(line)) as int) + 1) div 8)")
+    high = F.expr(f"least({SHINGLE - 1}, (length(line) + 1) div 8)")
+    each = distinct.select("id", "line", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k"))
+    return each.select(F.xxhash64("id", "k").alias("item"), "id", "k", "line")
+
+
+def stretch_keys(items: DataFrame) -> DataFrame:
+    """(id, key): eight for each item, of a beginning and an end with 7 k - 1 code points in all.
+
+    The shorter line of a pair has 8 k - 1 code points at least; wherever one stretch of it is changed that leaves the
+    pair similar, one of the eight has it between beginning and end.
+    """
+    cut = items.select("item", "k", "line", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    cut = cut.withColumn("head", F.expr("least(j * k, 7 * k - 1)")).withColumn("tail", F.expr("7 * k - 1 - head"))
+    key = F.expr("xxhash64(k, j, substring(line, 1, head), if(tail > 0, substring(line, length(line) - tail + 1, tail), ''))")
+    return cut.select(F.col("item").alias("id"), key.alias("key"))
+
+
+def short_links(lines: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Edges (a, b) that join the ids of similar short lines."""
+    items = written(short_items(lines))
+
+    def sets_of(ids: DataFrame, rows: int) -> DataFrame:
+        some = items.join(few(ids.withColumnRenamed("id", "item"), rows), "item", "left_semi")
+        shingles = F.expr("array_distinct(transform(sequence(0, length(line) - k), i -> xxhash64(substring(line, i + 1, k))))")
+        return some.select(F.col("item").alias("id"), shingles.alias("items"))
+
+    labels = link(Sketches(written(stretch_keys(items))), sets_of, numerator, denominator)
+    placed = written(items.select("item", "id").join(labels.withColumnRenamed("id", "item"), "item"))
+    least = placed.groupBy("component").agg(F.min("id").alias("a"))
+    return placed.join(least, "component").select("a", F.col("id").alias("b"))
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no and kept, for every line that has a word.
 
     Lines are cut at newlines and numbered from 0. Two lines are linked if they are equal, or
-    ``denominator`` * common shingles >= ``numerator`` * united ones. The first line of a component, by doc_id (nulls
+    ``denominator`` * common shingles >= ``numerator`` * united ones, by shingles of ten code points or, for short
+    lines, of an eighth of the line. The first line of a component, by doc_id (nulls
     first) and line number, is kept. Rows that share an id are one document. Null and empty texts and blank lines give no rows.
     """
     found = lines_of(docs, id_col, text_col)
@@ -70,6 +116,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return coded.select("id", hashes.alias("items"))
 
     labels = link(Sketches(keyed), sets_of, numerator, denominator)
+    short = written(short_links(found, numerator, denominator))
+    if not short.isEmpty():
+        labels = components(short.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     grouped = written(places.join(labels, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component")))
     first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no")))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlpit.llm import arrow, lm
+from marlpit.llm import arrow, lines, lm
 
 
 def test_network_is_fitted_on_every_training_text(spark):
@@ -27,3 +27,20 @@ def test_network_is_fitted_on_every_training_text(spark):
     assert (near[:, : lm.SINGLE + 1].sum(1) == np.bincount(ids, minlength=lm.END + 1)).all()
     assert near.sum() == 2 * len(ids)
     assert lm.backward(lm.fitted_to_all(net, df, 3), inputs, targets)[0] < loss
+
+
+def test_short_lines_with_one_edit_are_linked(spark):
+    """A letter changed, left out or put in, wherever it is, in lines of 20 to 80 characters."""
+    draw = np.random.default_rng(3)
+    rows, expected = [], {}
+    for n, size in enumerate(range(20, 81)):
+        line = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), size))
+        x = int(draw.integers(0, size))
+        near = [line[:x] + "X" + line[x + 1 :], line[:x] + "X" + line[x:]] + ([line[:x] + line[x + 1 :]] if size > 22 else [])
+        rows.append((n, "\n".join([line, *near])))
+        expected |= {(n, k): (n, 0) for k in range(len(near) + 1)}
+    rows.append((1000, "a short one, alone\nChapter 3: the first of many"))
+    expected |= {(1000, k): (1000, k) for k in range(2)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in lines.line_groups(df).collect()}
+    assert found == expected
