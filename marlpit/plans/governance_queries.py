@@ -249,12 +249,22 @@ def edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.edge_checks(edges, items)
 
 
+def edge_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts and all edges of their tree, where every 7th child has lost its edge, every 11th part is missing and
+    every 101st is in a circle with its first child."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    edges = _part_edges(spark, sf_dir).filter("child % 7 <> 0")
+    first = parts.select((F.col("p_partkey") * 2).alias("p_partkey")).join(parts, "p_partkey", "left_semi")
+    circles = first.select(F.expr("p_partkey div 2").alias("child"), F.col("p_partkey").alias("parent")).filter("child % 101 = 2")
+    return lineage.edge_checks(edges.unionByName(circles), parts.filter("p_partkey % 11 <> 3"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         training_set_left, training_set_multi, asof_features, asof_recent_features, features_by_key, features_as_of, feature_tables, dataset_fingerprint, dedup_latest, upsert_rows,
         stream_ingest, stream_deduplicated, stream_upsert, partition_overwrite, csv_round_trip, pii_scan, pii_mask, pii_mask_numbers, compliance_report, erasure_counts, erasure_plan, erasure_apply,
-        audit_filter, audit_by_operation, audit_recent, audit_log, snapshots, upstream_closure, downstream_items, dependency_layers, edge_checks,
+        audit_filter, audit_by_operation, audit_recent, audit_log, snapshots, upstream_closure, downstream_items, dependency_layers, edge_checks, edge_checks_whole,
     )
 }
 
