@@ -67,6 +67,12 @@ def calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.calinski_harabasz(table(spark, sf_dir, "embeddings").select("label", *some), [f"e{k}" for k in range(4)], "label").withColumn("n_clusters", F.col("n_clusters")), 4)
 
 
+def calinski_harabasz_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the labels as clusters, by all dimensions of the embeddings."""
+    every = [F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(EMBEDDED)]
+    return rounded(metrics.calinski_harabasz(table(spark, sf_dir, "embeddings").select("label", *every), [f"e{k}" for k in range(EMBEDDED)], "label"), 4)
+
+
 def _order_metrics(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """(model_id, metric, value): order statuses as models."""
     orders = table(spark, sf_dir, "orders") if orders is None else orders
@@ -116,7 +122,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (scored_many, scores_written, scored_by_python_model, results_valid, records_scored, metrics_binary, auc, metrics_regression, calinski_harabasz, cv_mean_std, champion_gate, champion_challenger, train_gbt, train_kmeans, grid_search)
+    for f in (scored_many, scores_written, scored_by_python_model, results_valid, records_scored, metrics_binary, auc, metrics_regression, calinski_harabasz, calinski_harabasz_whole, cv_mean_std, champion_gate, champion_challenger, train_gbt, train_kmeans, grid_search)
 }
 
 _LABELS = "l AS (SELECT quality, toxic, ((doc_id * 37) % 101) / 100 + toxic * 0.2::DOUBLE AS score FROM labels)"
@@ -129,7 +135,18 @@ def _metrics(source: str = "orders") -> str:
 _SUMS = ", ".join(f"sum(e{k}) AS s{k}, sum(e{k} * e{k}) AS q{k}" for k in range(4))
 _PLUS = lambda f: " + ".join(f(k) for k in range(4))
 
+
+
+def _calinski_harabasz(n: int) -> str:
+    sums = ", ".join(f"sum(e{k}) AS s{k}, sum(e{k} * e{k}) AS q{k}" for k in range(n))
+    plus = lambda f: " + ".join(f(k) for k in range(n))
+    return f"""WITH e AS (SELECT label, {', '.join(f'embedding[{k + 1}]::DOUBLE AS e{k}' for k in range(n))} FROM embeddings), c AS (SELECT label, count(*) AS n, {sums} FROM e GROUP BY 1),
+        w AS (SELECT count(*) AS k, sum(n) AS n, sum({plus(lambda k: f'q{k}')}) AS q, sum(({plus(lambda k: f's{k} * s{k}')}) / n) AS c, {plus(lambda k: f'sum(s{k}) ** 2')} AS t FROM c)
+        SELECT k AS n_clusters, round(((c - t / n) / (k - 1)) / ((q - c) / (n - k)), 4) AS calinski_harabasz FROM w"""
+
+
 ORACLES: dict[str, str] = {
+    "calinski_harabasz_whole": _calinski_harabasz(EMBEDDED),
     "scored_many": """SELECT 'price_model' AS model_id, l_orderkey * 10 + l_linenumber AS record_id, round(1.0 + l_extendedprice * 0.001 + l_discount * -5.0, 6) + 0.0 AS prediction FROM lineitem
         UNION ALL SELECT 'quantity_model', l_orderkey * 10 + l_linenumber, round(l_quantity * 0.5 + l_tax * 2.0, 6) FROM lineitem UNION ALL SELECT 'flat_model', l_orderkey * 10 + l_linenumber, 3.0::DOUBLE FROM lineitem""",
     "scores_written": "SELECT m AS model_id, count(*) AS records, count(DISTINCT l_orderkey * 10 + l_linenumber) AS distinct_records FROM lineitem, unnest(['price_model', 'quantity_model', 'flat_model']) t(m) GROUP BY 1",

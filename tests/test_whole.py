@@ -1,5 +1,7 @@
 """Queries that must look at whole tables and whole rows, against plain calculations."""
 
+import numpy as np
+
 from marlpit.plans import catalogue
 from marlpit.plans.base import table
 
@@ -28,3 +30,15 @@ def test_edges_of_the_whole_tree_are_checked(spark, small):
     found = [(r.check, r.item) for r in catalogue.QUERIES["edge_checks_whole"](spark, small).collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert max(k for _, k in found) > len(parts) / 2 > 100
+
+
+def test_index_of_clusters_by_all_dimensions(spark, tiny):
+    rows = table(spark, tiny, "embeddings").select("label", "embedding").collect()
+    x, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    assert x.shape[1] == 64
+    groups = [x[label == v] for v in np.unique(label)]
+    between = sum(len(g) * ((g.mean(0) - x.mean(0)) ** 2).sum() for g in groups)
+    within = sum(((g - g.mean(0)) ** 2).sum() for g in groups)
+    found = catalogue.QUERIES["calinski_harabasz_whole"](spark, tiny).first()
+    assert found.n_clusters == len(groups)
+    assert abs(found.calinski_harabasz - (between / (len(groups) - 1)) / (within / (len(x) - len(groups)))) < 1e-3
