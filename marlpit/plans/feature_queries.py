@@ -162,10 +162,12 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    found = features.term_weights(table(spark, sf_dir, "documents"), "text", "doc_id", 1 << 12)
-    return found.select("doc_id", F.size(F.filter(vector_to_array("tfidf"), lambda x: x > 0)).alias("terms"))
+    """The buckets of each document's terms, in order, and their weights."""
+    found = features.term_weights(table(spark, sf_dir, "documents"), "text", "doc_id")
+    # a sparse vector's fields can be had as JSON alone; an array of all 2^18 places would be 2 MB a document
+    sparse = F.from_json(F.to_json(F.struct("tfidf")), "tfidf struct<indices: array<int>, values: array<double>>")["tfidf"]
+    own = found.select("doc_id", sparse.alias("v"))
+    return own.select("doc_id", F.size(F.filter("v.values", lambda x: x > 0)).alias("terms"), F.col("v.indices").alias("buckets"), F.transform("v.values", lambda x: F.round(x, 6)).alias("weights"))
 
 
 QUERIES: dict[str, Query] = {
