@@ -50,7 +50,7 @@ def by_bytes(batch: pa.RecordBatch, texts: pa.Array, limit: int = BATCH_BYTES) -
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Splits at ASCII white space and keeps each distinct word once."""
+    """Splits at ASCII white space and keeps each distinct word once; none is empty."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -62,6 +62,9 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
         keep = codes != empty
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
+        # the empty word leaves the dictionary too, so those after it move up by one
+        codes = codes - (codes > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
     return Words(words, codes, offsets)
 
 

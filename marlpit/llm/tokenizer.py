@@ -97,7 +97,7 @@ def _ends(name: str) -> np.ndarray | None:
     """Which ids end a piece; none if the tokenizer doesn't mark ends of pieces so, or isn't one that drops white space."""
     found = load(name)
     vocab = found.get_vocab(with_added_tokens=False)
-    if not all(f"{c}</w>" in vocab for c in "az09.,"):
+    if not all(f"{c}</w>" in vocab for c in map(chr, range(33, 127)) if not c.isupper()):
         return None
     out = np.zeros(max(found.get_vocab().values()) + 1, bool)
     out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -109,14 +109,15 @@ def encode_new(name: str, words: list[str], step: int = 16384) -> tuple[np.ndarr
 
     ASCII words are joined by spaces, which the tokenizer drops, and encoded many at once; as each piece of a word
     ends with one marked id, the words' ids are told apart by counting pieces. Others, and those that might hold a special
-    string, are encoded one by one.
+    string, are encoded one by one. The empty word has no ids.
     """
     tokenizer, ends = load(name), _ends(name)
     column = pa.array(words, pa.string())
     joined = np.zeros(len(words), bool)
     if ends is not None and len(words):
         plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring_regex(column, r"[<|\x00-\x20\x7f]")))
-        joined = pc.and_(plain, pc.less_equal(pc.binary_length(column), 64)).to_numpy(zero_copy_only=False)
+        length = pc.binary_length(column)
+        joined = pc.and_(plain, pc.and_(pc.greater(length, 0), pc.less_equal(length, 64))).to_numpy(zero_copy_only=False)
     parts: list[np.ndarray] = []
     sizes = np.zeros(len(words), np.int64)
     order: list[np.ndarray] = []
@@ -134,7 +135,10 @@ def encode_new(name: str, words: list[str], step: int = 16384) -> tuple[np.ndarr
         texts = [" ".join(words[k] for k in own[i : i + JOINED]) for i in range(0, len(own), JOINED)]
         ids = np.array([i for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int32)
         stop = np.flatnonzero(ends[ids]) + 1
-        last = stop[np.cumsum(pieces[at : at + step]) - 1]
+        counted = np.cumsum(pieces[at : at + step])
+        if len(stop) != counted[-1]:
+            raise ValueError(f"{name} cuts words into {len(stop)} pieces instead of {counted[-1]}")
+        last = stop[counted - 1]
         sizes[own] = np.diff(last, prepend=0)
         parts.append(ids)
         order.append(many[at : at + step])

@@ -63,6 +63,19 @@ def test_token_counts_of_documents(spark, tiny, word_bpe):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
 
 
+@pytest.mark.parametrize("texts", [[" hello"], [""], [None], ["\t"], [" ", "hello", "hello world"], ["", "new1 new2"], [None, " hello  other words"]])
+def test_empty_words_lead_a_batch(word_bpe, texts):
+    """White space first, alone in a batch or before new words, then the same words again in this process."""
+    for given in (texts, [*texts, "hello"], ["hello"]):
+        found = arrow.split_words(arrow.texts_of(pa.array(given, pa.string())))
+        expected = [word_bpe.encode(t or "", add_special_tokens=False).ids for t in given]
+        lengths = tokenizer.count_distinct("word_bpe_49k.json", found.words)
+        assert arrow.ragged_sums(lengths[found.codes], found.offsets).tolist() == [len(x) for x in expected]
+        flat, sizes = tokenizer.encode_distinct("word_bpe_49k.json", found.words)
+        ids = arrow.gather(flat, (np.cumsum(sizes) - sizes)[found.codes], sizes[found.codes])
+        assert ids.tolist() == sum(expected, []) and "" not in found.words.to_pylist()
+
+
 def test_word_cache_forgets_and_still_answers():
     cache = tokenizer.WordCache(most=6, longest=3)
     encode = lambda ws: (np.concatenate([[len(w)] * len(w) for w in ws]).astype(np.int32), np.array([len(w) for w in ws]))
