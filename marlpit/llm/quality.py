@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.tables import written
+from marlpit.llm.tables import fresh, written
 
 #: White space between words, and the characters that count as symbols.
 BREAK, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
@@ -23,40 +23,54 @@ WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of each whole text.
+def _statistics(docs: DataFrame, text_col: str, names: dict[str, str]) -> DataFrame:
+    """``docs`` with all its columns, and the statistics under the names given.
 
-    Null counts as the empty text, whose statistics are all 0 but n_lines, which is 1. Given columns stay unless
-    they bear such a name. Windows are compared by 64-bit hashes first; in a text where two agree, by hashes that
-    share a number with the position, sorted, so that a text of n words takes n log n steps however it repeats.
+    They come out of a generator of one row, through which no later filter is pushed: below it, a filter would
+    have whole chains of arrays put in place of each name.
     """
-    # names of our own, as the table may have any
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {prefix + n for n in (*BASE, "n_lines")}]
+    q = fresh(docs, "_q")
     own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    one = docs.select(*own, text.alias("_q_text"), F.array_remove(F.split(text, BREAK), "").alias("_q_words"))
-    lines = F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(WORD))
-    two = one.select(*own, "_q_text", "_q_words", lines.alias("_q_lines"), F.transform("_q_words", lambda w: F.xxhash64(w)).alias("_q_hash"))
-    following = ", ".join(f"get(_q_hash, i + {j})" for j in range(1, WINDOW))
-    windows = F.expr(f"transform(slice(_q_hash, 1, greatest(size(_q_hash) - {WINDOW - 1}, 0)), (x, i) -> xxhash64(x, {following}))")
-    three = two.select(*own, "_q_text", "_q_words", "_q_lines", windows.alias("_q_windows"), F.expr("cast(ceil(log2(size(_q_words) + 2)) as int)").alias("_q_bits"))
+    one = docs.select(*own, text.alias(f"{q}text"), F.array_remove(F.split(text, BREAK), "").alias(f"{q}words"))
+    lines = F.filter(F.split(f"{q}text", "\n"), lambda x: x.rlike(WORD))
+    two = one.select(*own, f"{q}text", f"{q}words", lines.alias(f"{q}lines"), F.transform(f"{q}words", lambda w: F.xxhash64(w)).alias(f"{q}hash"))
+    following = ", ".join(f"get({q}hash, i + {j})" for j in range(1, WINDOW))
+    windows = F.expr(f"transform(slice({q}hash, 1, greatest(size({q}hash) - {WINDOW - 1}, 0)), (x, i) -> xxhash64(x, {following}))")
+    three = two.select(*own, f"{q}text", f"{q}words", f"{q}lines", windows.alias(f"{q}windows"), F.expr(f"cast(ceil(log2(size({q}words) + 2)) as int)").alias(f"{q}bits"))
     # hash above, position below
-    placed = F.expr("case when size(_q_windows) > size(array_distinct(_q_windows)) then sort_array(transform(_q_windows, (x, i) -> shiftleft(shiftright(x, _q_bits), _q_bits) | cast(i as bigint))) end")
-    four = three.select(*own, "_q_text", "_q_words", "_q_lines", "_q_bits", placed.alias("_q_placed"))
-    same = "shiftright(x, _q_bits) = shiftright(get(_q_placed, i {}), _q_bits)"
-    repeated = F.expr(f"sort_array(transform(filter(_q_placed, (x, i) -> coalesce({same.format('- 1')}, false) or coalesce({same.format('+ 1')}, false)), x -> x & (shiftleft(1L, _q_bits) - 1L)))")
-    five = four.select(*own, "_q_text", "_q_words", "_q_lines", repeated.alias("_q_repeated"))
-    covered = F.expr(f"coalesce(aggregate(transform(_q_repeated, (x, i) -> least({WINDOW}L, coalesce(get(_q_repeated, i + 1) - x, {WINDOW}L))), 0L, (s, x) -> s + x), 0L)")
-    long = lambda c, name: c.cast("bigint").alias(prefix + name)
-    return five.select(
-        *kept,
-        long(F.size("_q_words"), "n_words"),
-        long(F.length(F.array_join("_q_words", "")), "word_chars"),
-        long(F.regexp_count("_q_text", F.lit(SYMBOL)), "n_symbols"),
-        long(F.size(F.split("_q_text", "\n")), "n_lines"),
-        long(F.size("_q_lines") - F.size(F.array_distinct("_q_lines")), "n_dup_lines"),
-        long(covered, "n_repeat_words"),
-    )
+    placed = F.expr(f"case when size({q}windows) > size(array_distinct({q}windows)) then sort_array(transform({q}windows, (x, i) -> shiftleft(shiftright(x, {q}bits), {q}bits) | cast(i as bigint))) end")
+    four = three.select(*own, f"{q}text", f"{q}words", f"{q}lines", f"{q}bits", placed.alias(f"{q}placed"))
+    same = f"shiftright(x, {q}bits) = shiftright(get({q}placed, i {{}}), {q}bits)"
+    repeated = F.expr(f"sort_array(transform(filter({q}placed, (x, i) -> coalesce({same.format('- 1')}, false) or coalesce({same.format('+ 1')}, false)), x -> x & (shiftleft(1L, {q}bits) - 1L)))")
+    five = four.select(*own, f"{q}text", f"{q}words", f"{q}lines", repeated.alias(f"{q}repeated"))
+    covered = F.expr(f"coalesce(aggregate(transform({q}repeated, (x, i) -> least({WINDOW}L, coalesce(get({q}repeated, i + 1) - x, {WINDOW}L))), 0L, (s, x) -> s + x), 0L)")
+    values = {
+        "n_words": F.size(f"{q}words"),
+        "word_chars": F.length(F.array_join(f"{q}words", "")),
+        "n_symbols": F.regexp_count(f"{q}text", F.lit(SYMBOL)),
+        "n_lines": F.size(F.split(f"{q}text", "\n")),
+        "n_dup_lines": F.size(f"{q}lines") - F.size(F.array_distinct(f"{q}lines")),
+        "n_repeat_words": covered,
+    }
+    return five.select(*own, F.inline(F.array(F.struct(*(values[n].cast("bigint").alias(c) for n, c in names.items())))))
+
+
+def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of each whole text.
+
+    Null counts as the empty text, whose statistics are all 0 but n_lines, which is 1. Given columns stay, but one that
+    bears the name of a statistic (with ``prefix`` before it) is replaced. Repeated rows stay, each with its statistics; an
+    empty table gives none. Windows are compared by 64-bit hashes first; in a text where two agree, by hashes that
+    share a number with the position, sorted, so that a text of n words takes n log n steps however it repeats; a very
+    long text needs a few longs for each word, in one task.
+    """
+    q = fresh(docs, "_s")
+    names = {n: q + n for n in (*BASE, "n_lines")}
+    found = _statistics(docs, text_col, names)
+    replaced = {(prefix + n).lower() for n in names}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in replaced]
+    return found.select(*kept, *(F.col(own).alias(prefix + n) for n, own in names.items()))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -92,7 +106,7 @@ class Condition(NamedTuple):
 
 
 class Rule(NamedTuple):
-    """A conjunction that rejects, with its share of bad rows and their number on the pruning part."""
+    """A conjunction that rejects, with the share of bad rows among the labelled ones it covers, and the number of those."""
 
     conditions: tuple[Condition, ...]
     precision: float
@@ -119,20 +133,23 @@ def verdict(rules: list[Rule], prefix: str = "") -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 40_000, bins: int = 32, max_rules: int = 6, max_conditions: int = 3, least_precision: float = 0.95, least_support: int = 5) -> list[Rule]:
     """A decision list that finds rows labelled 0 (bad) among at most about ``max_rows`` labelled texts, those of lowest hash of the id.
 
-    A rule is kept if, on the pruning third, ``least_support`` bad rows or more are covered and ``least_precision`` of
-    all covered rows are bad. Without labelled rows, or rows of both kinds, the list is empty and keeps everything.
-    Null labels and ids are left out.
+    A rule is kept if ``least_precision`` of the rows it covers are bad, on the pruning third and on the others alike,
+    and ``least_support`` bad rows or more are covered, a fifth of them at least on the pruning third. Without labelled
+    rows, or rows of both kinds, the list is empty and keeps everything. Null labels and ids are left out; an id that has
+    several labels counts with one of them; rows that repeat are counted each. Of conditions that gain the same, the one
+    of the earlier measure and lower threshold is taken.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("_q_id"), (F.col(f"`{label_col}`") == 0).alias("_q_bad")).filter("_q_id is not null and _q_bad is not null").dropDuplicates(["_q_id"])
     n = own.count()
     if n > max_rows:
         own = own.filter(F.pmod(F.xxhash64("_q_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     texts = docs.select(F.col(f"`{id_col}`").alias("_q_id"), F.col(f"`{text_col}`").alias("text"))
-    # about max_rows ids and flags, a bound that holds for any table
+    # every third row of either kind prunes; about max_rows ids and flags, a bound that holds for any table
+    place = F.row_number().over(Window.partitionBy("_q_bad").orderBy(F.xxhash64("_q_id", F.lit(7)), "_q_id"))
+    own = own.select("_q_id", "_q_bad", (place % 3 > 0).alias("_q_grow"))
     known = with_statistics(texts.join(F.broadcast(own), "_q_id"))
     values = measures()
-    grow = (F.pmod(F.xxhash64("_q_id", F.lit(7)), F.lit(3)) > 0).alias("grow")
-    rows = written(known.select(grow, F.col("_q_bad").alias("bad"), *(v.alias(k) for k, v in values.items())))
+    rows = written(known.select(F.col("_q_grow").alias("grow"), F.col("_q_bad").alias("bad"), *(v.alias(k) for k, v in values.items())))
     names = list(values)
     shares = [k / bins for k in range(1, bins)]
     found = rows.agg(*(F.percentile_approx(k, shares, 10_000).alias(k) for k in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(k)), shares, 10_000).alias(f"{k}_bad") for k in names)).first()
@@ -155,16 +172,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             best = _best(covered, names, edges)
             if best is None or best in conditions:
                 break
-            conditions.append(best)
+            # a tighter threshold takes the place of a looser one on the same side
+            conditions = [c for c in conditions if c[:2] != best[:2]] + [best]
         if not conditions:
             break
         # pruned to the beginning of it that does best on the other part; least conditions among equals
         tests = [Rule(tuple(conditions[:k]), 0, 0).column(columns) for k in range(1, len(conditions) + 1)]
-        other = left.filter(~F.col("grow")).agg(*(F.count_if(t & F.col("bad")).alias(f"bad{k}") for k, t in enumerate(tests)), *(F.count_if(t).alias(f"all{k}") for k, t in enumerate(tests))).first()
-        worth = [(2 * other[f"bad{k}"] - other[f"all{k}"]) / max(1, other[f"all{k}"]) for k in range(len(tests))]
+        part = lambda name, test: (F.count_if(test & F.col("bad")).alias(f"bad_{name}"), F.count_if(test).alias(f"all_{name}"))
+        seen = left.agg(*(c for k, t in enumerate(tests) for c in (*part(f"prune{k}", t & ~F.col("grow")), *part(f"grow{k}", t & F.col("grow"))))).first()
+        worth = [(2 * seen[f"bad_prune{k}"] - seen[f"all_prune{k}"]) / max(1, seen[f"all_prune{k}"]) for k in range(len(tests))]
         k = max(range(len(tests)), key=lambda j: (round(worth[j], 3), -j))
-        rule = Rule(tuple(conditions[: k + 1]), other[f"bad{k}"] / max(1, other[f"all{k}"]), other[f"all{k}"])
-        if rule.precision < least_precision or other[f"bad{k}"] < least_support:
+        bad, every = ([seen[f"{x}_{part}{k}"] for part in ("prune", "grow")] for x in ("bad", "all"))
+        rule = Rule(tuple(conditions[: k + 1]), sum(bad) / max(1, sum(every)), sum(every))
+        if min(b - least_precision * n for b, n in zip(bad, every, strict=True)) < 0 or sum(bad) < least_support or 5 * bad[0] < least_support:
             break
         rules.append(rule)
     return rules
@@ -197,13 +217,22 @@ def _best(covered: DataFrame, names: list[str], edges: dict[str, list[float]]) -
 
 
 def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed, rule (the first that covers the row, else 0) and kept."""
+    """``docs`` with the statistics, base_failed, rule (the first that covers the row, else 0) and kept.
+
+    Columns of these names are replaced, all others stay. Each row has a verdict: null and empty texts fail the
+    fixed rule, repeated rows are judged alike, an empty table gives no rows. A measure that equals a threshold
+    counts as at least it. Filters on the result don't make the statistics dearer.
+    """
     stats = with_statistics(docs, text_col)
     ruled = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """Rows that neither the fixed rule nor the list rejects, with all their columns as they were."""
-    stats = with_statistics(docs, text_col, "_q_")
-    return stats.filter(~base_failed("_q_") & (verdict(rules, "_q_") == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Rows that neither the fixed rule nor the list rejects, with all their columns as they were, whatever their names.
+
+    Null and empty texts go (they have fewer than 10 words), repeated rows stay or go together, an empty table stays empty.
+    """
+    q = fresh(docs, "_k")
+    found = _statistics(docs, text_col, {n: q + n for n in (*BASE, "n_lines")})
+    return found.filter(~base_failed(q) & (verdict(rules, q) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes for no column of ``df`` to begin with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written in the shared folder and read again: lineage ends there, whichever executor is lost."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

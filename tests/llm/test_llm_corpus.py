@@ -199,9 +199,44 @@ def test_statistics_and_rules(spark, small):
         assert r.kept == (not r.base_failed and r.rule == 0)
 
 
+def brute_verdict(rules, own, n_lines):
+    words, lines_ = max(1, own[0]), max(1, n_lines)
+    values = {"n_words": own[0], "word_length": own[1] / words, "symbol_share": own[2] / words, "dup_line_share": own[3] / lines_, "repeat_share": own[4] / words, "words_per_line": own[0] / lines_}
+    holds = lambda c: values[c.measure] >= c.threshold if c.at_least else values[c.measure] < c.threshold
+    return next((k for k, rule in enumerate(rules, 1) if all(map(holds, rule.conditions))), 0)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_verdicts_of_documents(spark, folder):
+    """The learnt list, applied in Python, gives the same verdicts; it finds bad texts and leaves good ones."""
+    docs, labels = queries.table(spark, folder, "documents"), queries.table(spark, folder, "labels")
+    rules = quality.learn(docs, labels)
+    assert rules and all(len({c[:2] for c in rule.conditions}) == len(rule.conditions) for rule in rules)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    judged = quality.judged(docs, rules).collect()
+    for r in judged:
+        own = brute_statistics(r.text)
+        assert r.rule == brute_verdict(rules, own, (r.text or "").count("\n") + 1)
+        assert r.kept == (r.rule == 0 and not r.base_failed)
+    bad = [r for r in judged if truth.get(r.doc_id) == 0]
+    good = [r for r in judged if truth.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(r.kept for r in bad) <= 0.05 * len(bad) and sum(not r.kept for r in good) <= 0.01 * len(good)
+    assert {r.doc_id for r in quality.keep_good(docs, rules).collect()} == {r.doc_id for r in judged if r.kept}
+
+
+def test_filters_stay_above_the_statistics(spark, small):
+    """A filter on a verdict is not put together with the chain of arrays, which would then be built again and again."""
+    docs = queries.table(spark, small, "documents")
+    rules = [quality.Rule((quality.Condition("symbol_share", True, 0.4), quality.Condition("repeat_share", False, 2.0)), 1, 1)]
+    for df in (quality.keep_good(docs, rules), quality.judged(docs, rules).filter("kept"), quality.judged(docs, rules).filter("rule = 1 or n_dup_lines > 3")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 3 and plan.count("transform(") <= 5 and plan.count("Generate inline") == 1
+
+
 def test_statistics_of_odd_texts(spark):
     texts = [None, "", " \n\t", "a b c d e a b c d e", "é x y", "x " * 30_000, "a\na\n a\n\n", "a b c d e f\va b c d e", "😀 #$ |"]
-    df = spark.createDataFrame([(k, t, "clash", 9) for k, t in enumerate(texts)], "doc_id bigint, text string, _x string, n_words int")
+    df = spark.createDataFrame([(k, t, "clash", 9, "w", 1, True) for k, t in enumerate(texts)], "doc_id bigint, text string, _q_words string, n_words int, _Qtext string, rule int, _kn_words boolean")
+    assert {r.rule for r in quality.judged(df, []).collect()} == {0} and quality.judged(df, []).columns[:3] == ["doc_id", "text", "_q_words"]
     for r in quality.with_statistics(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(texts[r.doc_id])
     assert quality.keep_good(df, []).columns == df.columns
