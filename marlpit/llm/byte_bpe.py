@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marlpit.llm import arrow, tokenizer
 from marlpit.llm.frequent import most_frequent
+from marlpit.llm.merges import Merges, byte_letters
 from marlpit.llm.tables import written
 from marlpit.llm.tokenizer import vocabulary_path
 
@@ -82,20 +83,12 @@ class Vocabulary:
 
         with open(vocabulary_path(name), encoding="utf-8") as f:
             found = json.load(f)
-        letter = {}  # the file writes each byte as a printable letter
-        spare = 256
-        for b in range(256):
-            printable = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
-            letter[b] = chr(b if printable else spare)
-            spare += not printable
-        byte = {c: b for b, c in letter.items()}
+        letter = byte_letters()
+        byte = {c: b for b, c in enumerate(letter)}
         vocab = found["model"]["vocab"]
         self.byte_id = np.array([vocab[letter[b]] for b in range(256)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in found["model"]["merges"]]
-        keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.merges = Merges(*(np.array([vocab[x] for x in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs])))
         self.cache, self.plain = tokenizer.WordCache(), tokenizer.WordCache()
         self.special = {x["content"]: x["id"] for x in found["added_tokens"]}
         tokens = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
@@ -105,85 +98,6 @@ class Vocabulary:
         self.token_size, self.token_start = sizes, np.cumsum(sizes) - sizes
         self.pattern = regex.compile(rf"{'|'.join(CONTRACTIONS)}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        # open addressing from pair to rank: a probe or two instead of a search
-        self.slots = 1 << (2 * len(keys)).bit_length()
-        self.slot_key, self.slot_rank = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int64)
-        left = np.arange(len(keys))
-        place = self._place(keys)
-        while len(left):
-            free = self.slot_key[place[left]] < 0
-            first = np.unique(place[left[free]], return_index=True)[1]
-            put = left[free][first]
-            self.slot_key[place[put]], self.slot_rank[place[put]] = keys[put], put
-            left = np.setdiff1d(left, put, assume_unique=True)
-            place[left] = np.where(self.slot_key[place[left]] >= 0, (place[left] + 1) % self.slots, place[left])
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * 0x9E3779B1) >> 13) % self.slots
-
-    def rank(self, keys: np.ndarray) -> np.ndarray:
-        """Rank of each pair's merge; a large number if there is none."""
-        place = self._place(keys)
-        out = np.full(len(keys), 1 << 40, np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            held = self.slot_key[place[left]]
-            hit = held == keys[left]
-            out[left[hit]] = self.slot_rank[place[left[hit]]]
-            left = left[~hit & (held >= 0)]
-            place[left] = (place[left] + 1) % self.slots
-        return out
-
-    def merge(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of words that lie one after another in ``raw``, word k from ``starts[k]``.
-
-        Each turn does, in every word, all merges of the word's lowest rank, from left to right; words
-        without a merge left drop out.
-        """
-        ids = self.byte_id[raw]
-        word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(raw))))
-        order = np.arange(len(raw))
-        done_ids, done_word, done_order = [], [], []
-        rank = np.full(len(ids), 1 << 40, np.int64)
-        if len(ids) > 1:
-            rank[:-1] = np.where(word[1:] == word[:-1], self.rank((ids[:-1] << 20) | ids[1:]), 1 << 40)
-        while len(ids):
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(rank, first)
-            size = np.diff(np.append(first, len(ids)))
-            over = np.repeat(least >= 1 << 40, size)
-            if over.any():
-                done_ids.append(ids[over])
-                done_word.append(word[over])
-                done_order.append(order[over])
-                live = ~over
-                ids, word, order, rank, least, size = ids[live], word[live], order[live], rank[live], least[least < 1 << 40], size[least < 1 << 40]
-                if not len(ids):
-                    break
-            hit = rank == np.repeat(least, size)
-            twin = hit[1:] & hit[:-1]
-            if twin.any():  # a run of one letter: every other place
-                begins = hit.copy()
-                begins[1:] &= ~hit[:-1]
-                run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-                hit &= (np.arange(len(hit)) - run) % 2 == 0
-            at = np.flatnonzero(hit)
-            ids[at] = self.merged[rank[at]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            new = np.cumsum(keep) - 1
-            ids, word, order, rank = ids[keep], word[keep], order[keep], rank[keep]
-            stale = np.zeros(len(ids), bool)
-            stale[new[at]] = True
-            stale[:-1] |= stale[1:]  # a neighbour's pair too, or one left over from another word: looked up again
-            rank[stale] = 1 << 40
-            inner = np.flatnonzero(stale[:-1] & (word[:-1] == word[1:]))
-            rank[inner] = self.rank((ids[inner] << 20) | ids[inner + 1])
-        if not done_ids:
-            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-        all_ids, all_word = np.concatenate(done_ids), np.concatenate(done_word)
-        back = np.argsort(np.concatenate(done_order), kind="stable")
-        return all_ids[back], np.bincount(all_word, minlength=len(starts))
 
     def encode_segments(self, segments: list[bytes], special_strings: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of each segment, by the pattern and the merges alone."""
@@ -207,7 +121,7 @@ class Vocabulary:
             return np.zeros(0, np.int64), np.zeros(len(segments), np.int64)
         column = pa.array(pieces, pa.string())
         raw, at = arrow.text_bytes(column)
-        ids, counts = self.merge(raw, at[:-1])
+        ids, counts = self.merges.merge(self.byte_id[raw], at[:-1])
         at = np.cumsum(counts) - counts
         for k, token in special.items():
             ids[at[k]] = token

@@ -129,9 +129,13 @@ def pack(pieces: DataFrame, groups: int, window: int = 4096) -> DataFrame:
     return binned.groupBy("bin").applyInPandas(packed, schema)
 
 
-def groups_for(rows: int, pieces_per_group: int = 4_000) -> int:
-    """Groups of bounded size for so many documents; fewer, larger groups leave less padding."""
-    return max(1, math.ceil(rows / pieces_per_group))
+def groups_for(rows: int, text_bytes: int, window: int = 4096, pieces_per_group: int = 4_000) -> int:
+    """Groups of bounded size for so many documents and bytes of text; fewer, larger groups leave less padding.
+
+    Each document has a last piece, and a full one for each ``window`` tokens, taken as four bytes each: where tokens are
+    shorter, groups have up to four times the pieces.
+    """
+    return max(1, math.ceil((rows + text_bytes / (4 * window)) / pieces_per_group))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, with_ids: bool = False) -> DataFrame:
@@ -140,4 +144,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The ids never cross a shuffle unless they are asked for; only counts and checksums do.
     """
     pieces = cut_pieces(docs, id_col, text_col, window, vocabulary, end_id, with_ids)
-    return pack(pieces, groups_for(docs.select(f"`{id_col}`").count()), window)
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint")), F.lit(0)).alias("bytes")).first()
+    return pack(pieces, groups_for(size["rows"], size["bytes"], window), window)

@@ -27,7 +27,7 @@ def token_count(text: Column | str, vocabulary: str = "word_bpe_49k.json", batch
             parts = [pa.array([], pa.int64())]
             for _, part in arrow.by_bytes(pa.record_batch([texts], ["text"]), texts, batch_bytes):
                 found = arrow.split_words(part)
-                lengths = tokenizer.count_distinct(vocabulary, found.words)
+                _, lengths = tokenizer.encode_distinct(vocabulary, found.words)
                 parts.append(pa.array(arrow.ragged_sums(lengths[found.codes], found.offsets)))
             yield pa.concat_arrays(parts)
 

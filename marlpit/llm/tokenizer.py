@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -11,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from marlpit.llm.arrow import gather
+from marlpit.llm.arrow import text_bytes as arrow_bytes
+from marlpit.llm.merges import Merges, byte_letters
 
 
 def vocabulary_path(name: str) -> str:
@@ -86,90 +89,72 @@ def _cache(name: str) -> WordCache:
     return WordCache()
 
 
-#: Fixed value: the tokenizer's own pattern of pieces, for lower-case ASCII.
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-#: Words that are encoded as one text.
-JOINED = 64
+#: How a tokenizers file must prepare texts for its pieces to be cut as :func:`pieces_of` does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words that are cut here: printable ASCII and Latin letters that are one code point, without special strings and contractions.
+PLAIN = r"^[!-&(-;=-{}~À-ÖØ-öø-ÿ]+$"
 
 
 @lru_cache(maxsize=4)
-def _ends(name: str) -> np.ndarray | None:
-    """Which ids end a piece; none if the tokenizer doesn't mark ends of pieces so, or isn't one that drops white space."""
-    found = load(name)
-    vocab = found.get_vocab(with_added_tokens=False)
-    if not all(f"{c}</w>" in vocab for c in map(chr, range(33, 127)) if not c.isupper()):
+def _merges(name: str) -> tuple[Merges, np.ndarray] | None:
+    """The file's merges, and the ids of bytes, then those of bytes at the end of a piece; none if it isn't of this kind."""
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        found = json.load(f)
+    model, cut = found["model"], found["pre_tokenizer"] or {}
+    patterns = [x.get("pattern") for x in cut.get("pretokenizers", [])]
+    if found["normalizer"] != NORMALIZER or patterns != [{"Regex": PIECES}, None] or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
         return None
-    out = np.zeros(max(found.get_vocab().values()) + 1, bool)
-    out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-    return out
+    vocab = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    sides = ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs])
+    letters = byte_letters()
+    return Merges(*(np.array([vocab[x] for x in side], np.int64) for side in sides)), np.array([vocab[c] for c in letters] + [vocab[c + "</w>"] for c in letters], np.int64)
 
 
-def encode_new(name: str, words: list[str], step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, lengths) of words by the library, each as a text of its own.
-
-    ASCII words are joined by spaces, which the tokenizer drops, and encoded many at once; as each piece of a word
-    ends with one marked id, the words' ids are told apart by counting pieces. Others, and those that might hold a special
-    string, are encoded one by one. The empty word has no ids.
-    """
-    tokenizer, ends = load(name), _ends(name)
-    column = pa.array(words, pa.string())
-    joined = np.zeros(len(words), bool)
-    if ends is not None and len(words):
-        plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring_regex(column, r"[<|\x00-\x20\x7f]")))
-        length = pc.binary_length(column)
-        joined = pc.and_(plain, pc.and_(pc.greater(length, 0), pc.less_equal(length, 64))).to_numpy(zero_copy_only=False)
-    parts: list[np.ndarray] = []
-    sizes = np.zeros(len(words), np.int64)
-    order: list[np.ndarray] = []
-    one = np.flatnonzero(~joined)
-    for at in range(0, len(one), step):
-        own = one[at : at + step]
-        found = [x.ids for x in tokenizer.encode_batch_fast([words[k] for k in own.tolist()], add_special_tokens=False)]
-        sizes[own] = [len(x) for x in found]
-        parts += [np.array([i for x in found for i in x], np.int32)]
-        order.append(own)
-    many = np.flatnonzero(joined)
-    pieces = pc.count_substring_regex(pc.ascii_lower(column.take(pa.array(many))), ASCII_PIECES).to_numpy() if len(many) else np.zeros(0, np.int64)
-    for at in range(0, len(many), step):
-        own = many[at : at + step].tolist()
-        texts = [" ".join(words[k] for k in own[i : i + JOINED]) for i in range(0, len(own), JOINED)]
-        ids = np.array([i for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int32)
-        stop = np.flatnonzero(ends[ids]) + 1
-        counted = np.cumsum(pieces[at : at + step])
-        if len(stop) != counted[-1]:
-            raise ValueError(f"{name} cuts words into {len(stop)} pieces instead of {counted[-1]}")
-        last = stop[counted - 1]
-        sizes[own] = np.diff(last, prepend=0)
-        parts.append(ids)
-        order.append(many[at : at + step])
-    if not order:
-        return np.zeros(0, np.int32), sizes
-    own, flat = np.concatenate(order), np.concatenate(parts)
-    starts = np.zeros(len(words), np.int64)
-    starts[own] = np.cumsum(sizes[own]) - sizes[own]
-    return gather(flat, starts, sizes), sizes
+def pieces_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of lower-case plain words: runs of letters, digits one by one, runs of the rest."""
+    digit = (raw >= 48) & (raw <= 57)
+    kind = np.where((raw >= 97) & (raw <= 122) | (raw >= 128), 1, 2)
+    begins = np.ones(len(raw), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | digit[1:] | digit[:-1]
+    begins[at[:-1]] = True
+    return np.flatnonzero(begins)
 
 
 def encode_distinct(name: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, lengths) of each word of an array of distinct words.
+    """(ids, lengths) of each word of an array of distinct words, none of them empty.
 
     The tokenizer must drop white space (as ``word_bpe_49k.json`` does), so that a text's ids are its
-    words' ids one after another: white space is then a safe boundary. No special string holds white space.
+    words' ids one after another: white space is then a safe boundary. No special string holds white space. Plain words
+    are cut and merged together here; all others are words that the library encodes, each as a text of its own.
     """
-    return _cache(name).look_up(words.to_pylist(), lambda new: encode_new(name, new))
+    known = _merges(name)
+    if known is None or not len(words):
+        return _cache(name).look_up(words.to_pylist(), lambda new: by_library(name, new))
+    merges, byte_id = known
+    plain = pc.match_substring_regex(words, PLAIN)
+    raw, at = arrow_bytes(pc.utf8_lower(words.filter(plain)))
+    first = pieces_of(raw, at)
+    own = raw.astype(np.int64)
+    own[np.append(first[1:], len(raw))[: len(first)] - 1] += 256
+    ids, counts = merges.merge(byte_id[own], first)
+    place = np.searchsorted(first, at)
+    plain = plain.to_numpy(zero_copy_only=False)
+    sizes = np.zeros(len(words), np.int64)
+    sizes[plain] = np.diff(np.concatenate([[0], np.cumsum(counts)])[place])
+    if plain.all():
+        return ids, sizes
+    other_ids, sizes[~plain] = _cache(name).look_up(words.filter(pa.array(~plain)).to_pylist(), lambda new: by_library(name, new))
+    starts = np.zeros(len(words), np.int64)
+    starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+    starts[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+    return gather(np.concatenate([ids, other_ids]), starts, sizes), sizes
 
 
-@lru_cache(maxsize=4)
-def _counts(name: str) -> dict[str, int]:
-    return {}
-
-
-def count_distinct(name: str, words: pa.Array, most: int = 500_000, longest: int = 64) -> np.ndarray:
-    """How many tokens each word has. Counts of up to ``most`` words are kept for this worker process."""
-    known, asked = _counts(name), words.to_pylist()
-    if len(known) + len(asked) > most:
-        known.clear()
-    new = [w for w in asked if w not in known]
-    fresh = dict(zip(new, encode_new(name, new)[1].tolist(), strict=True))
-    known.update((w, n) for w, n in fresh.items() if len(w) <= longest)
-    return np.fromiter((known[w] if w in known else fresh[w] for w in asked), np.int64, len(asked))
+def by_library(name: str, words: list[str], step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of words by the library, each as a text of its own."""
+    tokenizer, found = load(name), []
+    for at in range(0, len(words), step):
+        found += [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(words[at : at + step], add_special_tokens=False)]
+    return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
