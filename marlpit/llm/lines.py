@@ -1,7 +1,7 @@
 """Line deduplication by MinHash over character shingles, with DataFrame operations alone.
 
 Equal lines are one item. Each item's shingles (ten code points) are hashed once, and the least hash of each of 36
-buckets makes its signature, by grouped aggregations without a shuffle of shingles. Twelve bands of three
+buckets makes its signature, by one grouped aggregation without a shuffle of shingles. Twelve bands of three
 values give candidates; whole shingle sets confirm them; components keep their first line.
 
 A changed character touches ten shingles of ten, which is too many for lines under 79 code points. Those are also held
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.linking import Sketches, components, few, link
-from marlpit.llm.tables import written
+from marlpit.llm.tables import fresh, written
 
 SHINGLE, BUCKETS, BAND = 10, 36, 3
 #: Code points of the shortest line that stays similar with one character changed, by bigrams, and of the longest that may be near a line under 79.
@@ -24,9 +24,11 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, line and its 64-bit hash, of every line that has a word. Null texts have none."""
-    parts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_no", "line"))
-    return parts.filter(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
+    """doc_id, copy (a hash of the text, which tells rows of one id apart), line_no, line and two 64-bit hashes of it, of every
+    line that has a word. Null texts have none."""
+    text = F.col(f"`{text_col}`")
+    parts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return parts.filter(F.col("line").rlike(WORD)).withColumns({"id": F.xxhash64("line"), "check": F.xxhash64("line", F.lit(1))})
 
 
 def _shingle(encoded: str, at: str) -> Column:
@@ -51,10 +53,10 @@ def band_keys(lines: DataFrame) -> DataFrame:
     # encoded below the explosion: once for each line, not once for each shingle
     coded = distinct.select("id", F.encode("line", "UTF-32").alias("code"), _starts("line").alias("starts"))
     shingles = coded.select("id", "code", F.explode("starts").alias("at"))
-    hashed = shingles.select("id", _shingle("code", "at").alias("h"))
-    least = hashed.groupBy("id", F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.min("h").alias("least"))
-    bands = least.groupBy("id", F.expr(f"bucket div {BAND}").alias("band")).agg(F.bit_xor(F.xxhash64("bucket", "least")).alias("x"))
-    return bands.select("id", F.xxhash64("band", "x").alias("key"))
+    bucket = F.pmod("h", F.lit(BUCKETS)).cast("int")
+    hashed = shingles.select("id", _shingle("code", "at").alias("h")).select("id", "h", F.floor(bucket / BAND).cast("int").alias("band"), (bucket % BAND).alias("slot"))
+    bands = hashed.groupBy("id", "band").agg(*(F.min(F.when(F.col("slot") == k, F.col("h"))).alias(f"least{k}") for k in range(BAND)))
+    return bands.select("id", F.xxhash64("band", *(F.coalesce(f"least{k}", F.lit(0)) for k in range(BAND))).alias("key"))
 
 
 def short_items(lines: DataFrame) -> DataFrame:
@@ -81,19 +83,46 @@ def stretch_keys(items: DataFrame) -> DataFrame:
     return cut.select(F.col("item").alias("id"), key.alias("key"))
 
 
-def short_links(lines: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Edges (a, b) that join the ids of similar short lines."""
+def _sets(line: str) -> Column:
+    """Distinct hashes of the shingles of ``line.k`` code points; a shorter line is one shingle."""
+    # bound to a name, or the line would be encoded once for each shingle
+    return F.expr(f"array_distinct(element_at(transform(array(struct(encode({line}.line, 'UTF-32') as code, {line}.k as k, greatest(length({line}.line) - {line}.k, 0) as last)), c -> transform(sequence(0, c.last), i -> xxhash64(substring(c.code, cast(4 * i + 1 as int), 4 * c.k)))), 1))")
+
+
+def linked_lines(lines: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
+    """(id, component) of the lines that have a link, by either kind of shingles."""
     items = written(short_items(lines))
+    keyed = band_keys(lines).unionByName(stretch_keys(items))
 
     def sets_of(ids: DataFrame, rows: int) -> DataFrame:
-        some = items.join(few(ids.withColumnRenamed("id", "item"), rows), "item", "left_semi")
-        shingles = F.expr("array_distinct(transform(sequence(0, length(line) - k), i -> xxhash64(substring(line, i + 1, k))))")
-        return some.select(F.col("item").alias("id"), shingles.alias("items"))
-
-    labels = link(Sketches(written(stretch_keys(items))), sets_of, numerator, denominator)
-    placed = written(items.select("item", "id").join(labels.withColumnRenamed("id", "item"), "item"))
-    least = placed.groupBy("component").agg(F.min("id").alias("a"))
-    return placed.join(least, "component").select("a", F.col("id").alias("b"))
+        wanted = few(ids, rows)
+        whole = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+        short = items.join(wanted.withColumnRenamed("id", "item"), "item", "left_semi").select(F.col("item").alias("id"), "line", "k")
+        return whole.withColumn("k", F.lit(SHINGLE)).unionByName(short).select("id", F.struct("line", "k").alias("items"))
+
+    labels = link(Sketches(keyed, items=_sets), sets_of, numerator, denominator)
+    placed = written(labels.join(items.select(F.col("item").alias("id"), F.col("id").alias("line_id")), "id", "left"))
+    short = placed.filter("line_id is not null")
+    least = short.groupBy("component").agg(F.min("line_id").alias("a"))
+    edges = short.join(least, "component").select("a", F.col("line_id").alias("b"))
+    whole = placed.filter("line_id is null").select("id", "component")
+    if edges.isEmpty():
+        return whole
+    return components(edges.unionByName(whole.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+
+
+def _grouped(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """doc_id, copy, line_no of each line, with ``first``: the place of its component's first line, or null if it is alone."""
+    place = F.struct("doc_id", "copy", "line_no")
+    # a row for each distinct line from here on, however often it comes
+    lines = written(found.groupBy("id", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")))
+    labels = linked_lines(found, numerator, denominator)
+    labelled = written(lines.join(labels, "id"))
+    first = labelled.groupBy("component").agg(F.min("place").alias("first"))
+    known = labelled.join(first, "component").select("id", "check", "first")
+    alone = lines.filter("n > 1").join(labels, "id", "left_anti").select("id", "check", F.col("place").alias("first"))
+    known = written(known.unionByName(alone))
+    return found.select("doc_id", "copy", "line_no", "id", "check").join(few(known, 5 * known.count()), ["id", "check"], "left").select("doc_id", "copy", "line_no", "first")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -101,48 +130,33 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are cut at newlines and numbered from 0. Two lines are linked if they are equal, or
     ``denominator`` * common shingles >= ``numerator`` * united ones, by shingles of ten code points or, for short
-    lines, of an eighth of the line. The first line of a component, by doc_id (nulls
-    first) and line number, is kept. Rows that share an id are one document. Null and empty texts and blank lines give no rows.
+    lines, of an eighth of the line; lines and shingles are compared by their hashes (128 and 64 bits). The first line of a component, by doc_id (nulls
+    first), a hash of the text and line number, is kept. Rows that share an id and a text are one document; rows that share an id alone are told
+    apart. Null and empty texts, blank lines and empty tables give no rows; a very long line is one item, whole.
     """
-    found = lines_of(docs, id_col, text_col)
-    places = written(found.select("doc_id", "line_no", "id"))
-    keyed = written(band_keys(found))
-
-    def sets_of(ids: DataFrame, rows: int) -> DataFrame:
-        some = found.join(few(ids, rows), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-        coded = some.select("id", F.encode("line", "UTF-32").alias("code"), _starts("line").alias("starts"))
-        # the encoded line is bound to a name, or it would be encoded once for each shingle
-        hashes = F.expr(f"array_distinct(element_at(transform(array(code), c -> transform(starts, i -> xxhash64(substring(c, cast(4 * i + 1 as int), {4 * SHINGLE})))), 1))")
-        return coded.select("id", hashes.alias("items"))
-
-    labels = link(Sketches(keyed), sets_of, numerator, denominator)
-    short = written(short_links(found, numerator, denominator))
-    if not short.isEmpty():
-        labels = components(short.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b"))))
-    grouped = written(places.join(labels, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component")))
-    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = written(first.select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no")))
-    placed = grouped.join(first, "component", "left")
-    alone = F.col("first_line_no").isNull()
-    return placed.select(
-        "doc_id",
-        "line_no",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"),
-        F.coalesce("first_line_no", "line_no").alias("first_line_no"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))).alias("kept"),
-    )
+    found = _grouped(lines_of(docs, id_col, text_col), numerator, denominator)
+    first = F.coalesce("first", F.struct("doc_id", "copy", "line_no"))
+    every = found.select("doc_id", "copy", "line_no", first.alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")) & (F.col("line_no") == F.col("first.line_no"))
+    return every.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), same.alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
-    """``docs`` with all columns, their texts without the lines that :func:`line_groups` doesn't keep.
+    """``docs`` with all columns, whatever their names, their texts without the lines that :func:`line_groups` doesn't keep.
 
-    Rows and their order of lines stay; a text that loses all its lines is empty.
+    Rows and their order of lines stay; a text that loses all its lines is empty. Of rows that share an id and a text
+    each keeps the lines that the first of them keeps. Null texts stay null.
     """
-    gone = line_groups(docs, id_col, text_col, numerator, denominator).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_l_gone"))
-    gone = written(gone.withColumnRenamed("doc_id", "_l_id"))
-    numbers = gone.agg(F.coalesce(F.sum(F.size("_l_gone") + 4), F.lit(0))).first()[0]
-    held = docs.join(few(gone, numbers), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_l_id")), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_l_gone"))
-    text = F.when(F.col("_l_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return held.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    found = _grouped(lines_of(docs, id_col, text_col), numerator, denominator).filter("first is not null")
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("copy") != F.col("first.copy")) | (F.col("line_no") != F.col("first.line_no"))
+    p = fresh(docs, "_l")
+    gone = found.filter(other).groupBy(F.col("doc_id").alias(f"{p}id"), F.col("copy").alias(f"{p}copy")).agg(F.collect_set("line_no").alias(f"{p}gone"))
+    gone = written(gone)
+    numbers = gone.agg(F.coalesce(F.sum(F.size(f"{p}gone") + 4), F.lit(0))).first()[0]
+    text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}copy"))
+    held = docs.join(few(gone, numbers), same, "left")
+    # the lines are bound to a name, or the text would be split once for each of them
+    left = F.expr(f"element_at(transform(array(split(`{text_col}`, '\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), {p}gone), i -> get(x, i)), '\n')), 1)")
+    new = F.when(F.col(f"{p}gone").isNull(), text).otherwise(left)
+    return held.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.llm.tables import BROADCAST_ROWS, written
@@ -27,14 +27,16 @@ BOUNDS = ("size", "shared", *PARITIES)
 
 
 class Sketches(NamedTuple):
-    """``keyed``: (id, key), a row for each band key of each item. ``frame``: id and sketch columns, of which ``likely``
+    """``keyed``: (id, key), a row for each band key of each item; read once. ``frame``: id and sketch columns, of which ``likely``
     takes two functions from a column's name to its value on either side, and says whether the pair may reach the
-    threshold; without columns every pair may."""
+    threshold; without columns every pair may. ``items`` makes the array of a set's distinct values from the column that
+    ``sets_of`` gives."""
 
     keyed: DataFrame
     frame: DataFrame | None = None
     columns: tuple[str, ...] = ()
     likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
+    items: Callable[[str], Column] = F.col
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -66,31 +68,31 @@ def components(edges: DataFrame, spark_ids: tuple[str, str] = ("a", "b")) -> Dat
 def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], numerator: int = 75, denominator: int = 100) -> DataFrame:
     """(id, component) of every item that has a link; items without one are left out.
 
-    ``sets_of(ids, rows)`` gives (id, items) for a table of distinct ids; items is an array of distinct values. Two
+    ``sets_of(ids, rows)`` gives (id, items) for a table of distinct ids; ``sketches.items`` of it is an array of distinct values. Two
     items are linked if ``denominator`` * common >= ``numerator`` * united.
     """
     keyed = sketches.keyed
-    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"))
-    larger = buckets.filter("n > 2").select("key", "low")
-    n_larger = larger.count()
-    members = written(keyed.join(few(larger, n_larger), "key")) if n_larger else keyed.limit(0).withColumn("low", F.col("id"))
-    stars = buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    stars = stars.unionByName(members.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    # keys of one item, which most are, go before anything is written
+    bucket = Window.partitionBy("key")
+    shared = written(keyed.select("id", "key", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"), F.count("*").over(bucket).alias("n")).filter("low < high"))
+    members = shared.filter("n > 2").select("key", "id", "low")
+    n_larger = members.count()
+    stars = shared.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     tried = written(_likely(stars.distinct(), sketches))
-    links = written(_confirmed(tried, sets_of, numerator, denominator))
+    links = written(_confirmed(tried, sets_of, sketches.items, numerator, denominator))
     if links.isEmpty():
         labels = None
     else:
         labels = components(links)
     if not n_larger:
-        return labels if labels is not None else _none(keyed)
+        return labels if labels is not None else _none(shared)
     open_ = _open(members, labels)
     ids = written(open_.select("id").distinct())
     rows = ids.count()
     if not rows:
-        return labels if labels is not None else _none(keyed)
+        return labels if labels is not None else _none(shared)
     sets = written(sets_of(ids, rows))
-    bounds = written(_bounds(sets))
+    bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))))
     # an item of which too much is in no other open item can't have a link
     hopeful = bounds.filter(denominator * F.col("shared") >= numerator * F.col("size"))
     members = written(open_.select("key", "id").join(few(hopeful, rows), "id"))
@@ -107,17 +109,17 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
         apart = (F.col("component") != F.col("to_component")) & _possible("", "to_", numerator, denominator)
         pairs = open_.join(chosen.withColumnRenamed("key", "to_key"), (F.col("key") == F.col("to_key")) & apart).select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
         fresh = written(_likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sketches))
-        more = written(_confirmed(fresh, again, numerator, denominator))
+        more = written(_confirmed(fresh, again, sketches.items, numerator, denominator))
         tried = tried.unionByName(fresh)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         labels = components(links)
     rest = _across(_open(members, labels), sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest), again, numerator, denominator))
+    more = written(_confirmed(written(rest), again, sketches.items, numerator, denominator))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    return labels if labels is not None else _none(keyed)
+    return labels if labels is not None else _none(shared)
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: i
     return one.join(two, same & apart & _possible("a_", "b_", numerator, denominator) & likely).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], numerator: int, denominator: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], items: Callable[[str], Column], numerator: int, denominator: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     rows = ids.count()
@@ -192,7 +194,10 @@ def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame],
         return pairs.limit(0)
     sets = written(sets_of(ids, rows))
     one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
-    common = F.size(F.array_intersect("a_items", "b_items")).cast("bigint")
-    united = F.size("a_items") + F.size("b_items") - F.col("common")
-    held = pairs.join(one, "a").join(two, "b").withColumn("common", common)
-    return held.filter(denominator * F.col("common") >= numerator * united).select("a", "b")
+    held = pairs.join(one, "a").join(two, "b")
+    held = held.select("a", "b", F.inline(F.array(F.struct(items("a_items").alias("one"), items("b_items").alias("two")))))
+    common = F.size(F.array_intersect("one", "two")).cast("bigint")
+    sizes = F.size("one") + F.size("two")
+    # one number comes out of the generator, so that the filter doesn't build the sets again
+    held = held.select("a", "b", F.inline(F.array(F.struct(common.alias("common"), sizes.alias("sizes")))))
+    return held.filter(denominator * F.col("common") >= numerator * (F.col("sizes") - F.col("common"))).select("a", "b")
