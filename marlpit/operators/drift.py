@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.scalar import bin_of, col, common_columns, long_form, number, numeric_columns
+from marlpit.operators.quantiles import exact_quantiles
+
 
 BANDS = ((0.1, "none"), (0.2, "moderate"), (0.5, "significant"))
 
@@ -30,8 +32,10 @@ def tagged(reference: DataFrame, current: DataFrame, columns: list[str]) -> Data
 def quantile_table(reference: DataFrame, columns: list[str], bins: int, mode: str) -> DataFrame:
     """(feature, edges): the sorted distinct inner quantiles of the reference."""
     shares = [k / bins for k in range(1, bins)]
-    one = (lambda c: F.percentile(number(c), shares)) if mode == "exact" else (lambda c: F.percentile_approx(number(c), shares, 10_000))
-    row = reference.agg(*(one(c).alias(f"q{k}") for k, c in enumerate(columns)))
+    if mode == "exact":
+        found = exact_quantiles(long_form(reference.select(*(col(c) for c in columns)), columns), ["feature"], shares)
+        return found.select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
+    row = reference.agg(*(F.percentile_approx(number(c), shares, 10_000).alias(f"q{k}") for k, c in enumerate(columns)))
     rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.array_sort(F.array_distinct(f"q{k}")).alias("edges")) for k, c in enumerate(columns)))
     return row.select(F.explode(rows).alias("p")).select("p.*")
 
@@ -112,10 +116,9 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str] | None = Non
     columns = columns or shared_features(reference, current)
     d = cumulative(reference, current, columns).groupBy("feature").agg(F.max(F.abs(F.col("f_ref") - F.col("f_cur"))).alias("ks_statistic"), F.first("ref_all").alias("n"), F.first("cur_all").alias("m"))
     lam = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("ks_statistic")
-    series = F.lit(0.0)
-    for k in range(1, 101):
-        series = series + (2 if k % 2 else -2) * F.exp(-2 * k * k * lam * lam)
-    p = F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    d = d.withColumn("lam", lam)
+    series = F.expr("aggregate(sequence(1, 100), 0.0D, (s, k) -> s + if(k % 2 = 1, 2, -2) * exp(-2.0D * k * k * lam * lam))")
+    p = F.when(F.col("lam") < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
     return d.select("feature", "ks_statistic", p.alias("ks_pvalue"))
 
 

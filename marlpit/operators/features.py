@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlpit.functions.scalar import col, filled, flag, long_form, number, numeric_columns, parsed_time
+from marlpit.operators.quantiles import exact_quantiles
+from marlpit.sources.scratch import kept
 
 #: The category that stands for all unseen ones, and the day from which days are counted.
 UNKNOWN, REFERENCE_DAY = "__unknown__", "2024-01-01"
@@ -118,10 +120,15 @@ def fit_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.select(pairs).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
     rows = df.sparkSession.createDataFrame([(c, UNKNOWN, 0) for c in columns], "column string, value string, n bigint")
     every = counts.unionByName(rows).groupBy("column", "value").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("column")
+    own = Window.partitionBy("column")  # as many rows as categories
     return every.select("column", "value", (F.dense_rank().over(own.orderBy("value")) - 1).alias("code"), (F.col("n") / F.sum("n").over(own)).alias("frequency"))
 
 
+def _settled(fitted: DataFrame) -> DataFrame:
+    """The fitted table written once, as each column looks it up; one that is cached already, as it is."""
+    return fitted if fitted.is_cached else kept(fitted)
+
+
 def _looked_up(df: DataFrame, fitted: DataFrame, columns: list[str], field_: str, name: str, small: bool) -> DataFrame:
     """``df`` with ``field_`` of each column's category; null where there is none."""
     for c in columns:
@@ -132,6 +139,7 @@ def _looked_up(df: DataFrame, fitted: DataFrame, columns: list[str], field_: str
 
 def label_encode(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with ``{column}_encoded``; a value that the fit didn't see gets the code of the unseen."""
+    fitted = _settled(fitted)
     unseen = {r.column: r.code for r in fitted.filter(F.col("value") == UNKNOWN).collect()}
     found = _looked_up(df, fitted, columns, "code", "{}_encoded", fitted.count() <= BROADCAST_CATEGORIES)
     return found.withColumns({f"{c}_encoded": F.coalesce(f"{c}_encoded", F.lit(unseen[c])) for c in columns})
@@ -139,7 +147,7 @@ def label_encode(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFr
 
 def frequency_encode(df: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:
     """``df`` with ``{column}_freq``: the category's share in the fitted table, 0 if unseen; without one, in ``df`` itself."""
-    fitted = fit_categories(df, columns) if fitted is None else fitted
+    fitted = _settled(fit_categories(df, columns) if fitted is None else fitted)
     found = _looked_up(df, fitted, columns, "frequency", "{}_freq", fitted.count() <= BROADCAST_CATEGORIES)
     return found.withColumns({f"{c}_freq": F.coalesce(f"{c}_freq", F.lit(0.0)) for c in columns})
 
@@ -242,17 +250,18 @@ def fit_transform(train: DataFrame, other: DataFrame, roles: ColumnRoles | None
 def anova_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(feature, score): the F statistic of each column between the classes of the target.
 
-    In closed form from counts, sums and sums of squares of each class; rows without target are left out,
+    From counts, means and variances of each class, so that large means cost no digits; rows without target are left out,
     missing values are 0.
     """
     rows = long_form(df.filter(col(target).isNotNull()), columns, [target]).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    by_class = rows.groupBy("feature", col(target).alias("class")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    whole = by_class.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.count("*").alias("k"))
-    between = F.col("between") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("q") - F.col("between")
-    score = F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))
+    by_class = rows.groupBy("feature", col(target).alias("class")).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    # a row for each class
+    own = Window.partitionBy("feature")
+    held = by_class.withColumn("centre", F.sum(F.col("n") * F.col("m")).over(own) / F.sum("n").over(own))
+    whole = held.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * (F.col("m") - F.col("centre")) ** 2).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    score = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
     # classes that are told apart wholly
-    return whole.select("feature", F.when((within <= 0) & (between > 0), float("inf")).otherwise(score).alias("score"))
+    return whole.select("feature", F.when((F.col("within") <= 0) & (F.col("between") > 0), float("inf")).otherwise(score).alias("score"))
 
 
 def regression_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -296,9 +305,11 @@ def min_max_scale(df: DataFrame, columns: list[str], keep: Iterable[str] = ()) -
 
 
 def quantile_edges(df: DataFrame, columns: list[str], shares: list[float], exact: bool = True, accuracy: int = 10_000) -> dict[str, list[float]]:
-    """Quantiles of each column in one pass; approximate ones need bounded memory."""
-    one = (lambda c: F.percentile(number(c), shares)) if exact else (lambda c: F.percentile_approx(number(c), shares, accuracy))
-    row = df.agg(*(one(c).alias(f"q{k}") for k, c in enumerate(columns))).first()
+    """Quantiles of each column: exact ones in ranges of its values, approximate ones in one pass."""
+    if exact:
+        found = {r.feature: r.quantiles for r in exact_quantiles(long_form(df.select(*(col(c) for c in columns)), columns), ["feature"], shares).collect()}
+        return {c: list(found.get(c, [])) for c in columns}
+    row = df.agg(*(F.percentile_approx(number(c), shares, accuracy).alias(f"q{k}") for k, c in enumerate(columns))).first()
     return {c: list(row[f"q{k}"] or []) for k, c in enumerate(columns)}
 
 

@@ -5,22 +5,24 @@ Each turn's tables are written to the checkpoint folder that the session names,
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.sources.scratch import new_folder
+
 
 class CycleError(ValueError):
     """Raised where an order is asked of items that depend on each other in a circle."""
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, its lineage ended in the checkpoint folder; a temporary folder where the session names none."""
+    """The table, its lineage ended in the checkpoint folder; a temporary folder where a session on one machine names none."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or new_folder(spark, "checkpoint"))
     return df.checkpoint()
 
 
@@ -32,20 +34,21 @@ def edges_of(models: DataFrame, item: str = "model_id", parents: str = "depends_
 def closure(edges: DataFrame, start: DataFrame | None = None, transitive: bool = True) -> DataFrame:
     """(item, ancestor) of all pairs, or of the items in ``start`` (one column) only. Circles end by themselves.
 
-    Each turn joins the pairs found last to the edges, and keeps what wasn't known.
+    Each turn joins the pairs found last to all that are known, or to the edges where only some items are asked for, and keeps
+    what wasn't known. For all items the ways that are covered double in length each turn; pairs found earlier aren't written again.
     """
     own = cut(edges.select(F.col("child").alias("item"), F.col("parent").alias("ancestor")).filter("item is not null and ancestor is not null").distinct())
-    known = own if start is None else own.join(start.select(F.col(start.columns[0]).alias("item")), "item", "left_semi")
-    known = cut(known)
-    new = known
-    step = own.select(F.col("item").alias("ancestor"), F.col("ancestor").alias("above"))
+    new = own if start is None else cut(own.join(start.select(F.col(start.columns[0]).alias("item")), "item", "left_semi"))
+    parts = [new]
     while transitive:
-        found = new.join(step, "ancestor").select("item", F.col("above").alias("ancestor")).distinct()
+        known = reduce(DataFrame.unionByName, parts)
+        above = (known if start is None else own).select(F.col("item").alias("ancestor"), F.col("ancestor").alias("above"))
+        found = new.join(above, "ancestor").select("item", F.col("above").alias("ancestor")).distinct()
         new = cut(found.join(known, ["item", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
-        known = cut(known.unionByName(new))
-    return known
+        parts.append(new)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def upstream(edges: DataFrame, item, transitive: bool = True) -> DataFrame:

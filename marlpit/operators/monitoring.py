@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.operators import checks, drift
+from marlpit.operators.quantiles import exact_quantiles
+from marlpit.sources.scratch import kept
 
 CONSTANT = 1e-10
 PREDICTION_COLUMNS = ("prediction", "probability", "cluster_id", "error")
@@ -16,19 +18,32 @@ def _has(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _quantiles(predictions: DataFrame, wanted: dict[str, list[tuple[str, float]]], exact: bool) -> DataFrame:
+    """(model_id, one column for each name): quantiles of columns by model, given as {column: [(name, share)]}."""
+    shares = sorted({s for own in wanted.values() for _, s in own})
+    values = predictions.filter("model_id is not null").select("model_id", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in wanted))).alias("p")).select("model_id", "p.*")
+    if exact:
+        found = exact_quantiles(values, ["model_id", "feature"], shares)
+    else:
+        found = values.groupBy("model_id", "feature").agg(F.percentile_approx("value", shares, 10_000).alias("quantiles"))
+    own = [F.max(F.when(F.col("feature") == c, F.get("quantiles", F.lit(shares.index(s))))).alias(n) for c, names in wanted.items() for n, s in names]
+    return found.groupBy("model_id").agg(*own)
+
+
 def prediction_stats(predictions: DataFrame, exact: bool = True) -> DataFrame:
-    """A row for each model: count, mean, std, min, max, 10th, 50th and 90th percentile of its predictions."""
-    q = (lambda p: F.percentile("prediction", F.lit(p))) if exact else (lambda p: F.percentile_approx("prediction", p, 10_000).cast("double"))
-    return predictions.groupBy("model_id").agg(
+    """A row for each model: count, mean, std, min, max, 10th, 50th and 90th percentile of its predictions.
+
+    Exact percentiles are found in ranges of values, so that a model's predictions aren't gathered in one task.
+    """
+    found = predictions.groupBy("model_id").agg(
         F.count("*").alias("record_count"),
         F.avg("prediction").alias("pred_mean"),
         F.stddev_samp("prediction").alias("pred_std"),
         F.min("prediction").alias("pred_min"),
         F.max("prediction").alias("pred_max"),
-        q(0.1).alias("pred_p10"),
-        q(0.5).alias("pred_median"),
-        q(0.9).alias("pred_p90"),
     )
+    q = _quantiles(predictions, {"prediction": [("pred_p10", 0.1), ("pred_median", 0.5), ("pred_p90", 0.9)]}, exact)
+    return found.join(q, "model_id", "left")
 
 
 def prediction_distribution(predictions: DataFrame, exact: bool = True) -> DataFrame:
@@ -37,20 +52,17 @@ def prediction_distribution(predictions: DataFrame, exact: bool = True) -> DataF
     The warning is ``constant_predictions`` below a deviation of 1e-10, else ``single_value`` if there is one value only.
     """
     p = predictions.select("model_id", _has(predictions, "prediction", "double").alias("prediction"), _has(predictions, "probability", "double").alias("probability"), _has(predictions, "cluster_id", "int").alias("cluster_id"), _has(predictions, "error", "string").alias("error"))
-    q = (lambda c, s: F.percentile(c, F.lit(s))) if exact else (lambda c, s: F.percentile_approx(c, s, 10_000).cast("double"))
     found = p.groupBy("model_id").agg(
         F.count("*").alias("total_records"),
         F.avg("prediction").alias("pred_mean"),
         F.stddev_samp("prediction").alias("pred_std"),
         F.min("prediction").alias("pred_min"),
         F.max("prediction").alias("pred_max"),
-        q("prediction", 0.5).alias("pred_median"),
         F.avg("probability").alias("prob_mean"),
-        q("probability", 0.1).alias("prob_p10"),
-        q("probability", 0.5).alias("prob_p50"),
-        q("probability", 0.9).alias("prob_p90"),
         F.count("error").alias("error_count"),
     )
+    q = _quantiles(p, {"prediction": [("pred_median", 0.5)], "probability": [("prob_p10", 0.1), ("prob_p50", 0.5), ("prob_p90", 0.9)]}, exact)
+    found = found.join(q, "model_id", "left")
     single = F.col("pred_min") == F.col("pred_max")
     warning = F.when(F.col("pred_std") < CONSTANT, "constant_predictions").when(single, "single_value")
     found = found.withColumn("error_rate", F.col("error_count") / F.col("total_records")).withColumn("warning", warning)
@@ -113,12 +125,13 @@ def metric_drop(before: DataFrame, after: DataFrame, metric: str = "roc_auc", mo
 
 
 def run(reference: DataFrame, current: DataFrame, predictions: DataFrame | None = None, psi_threshold: float = 0.2, ks_threshold: float = 0.05, most_nulls: float = 0.1) -> dict[str, DataFrame]:
-    """The monitoring run: tables ``drift``, ``quality``, ``predictions`` and ``alerts``, each lazy."""
-    table = drift.drift_table(reference, current, psi_threshold=psi_threshold, ks_threshold=ks_threshold)
-    quality = checks.profile(current, most_nulls=most_nulls)
+    """The monitoring run: tables ``drift``, ``quality``, ``predictions`` and ``alerts``."""
+    # a row for each feature, written once, as alerts and roll-ups read them again
+    table = kept(drift.drift_table(reference, current, psi_threshold=psi_threshold, ks_threshold=ks_threshold))
+    quality = kept(checks.profile(current, most_nulls=most_nulls))
     out = {"drift": table, "quality": quality}
     if predictions is not None:
-        out["predictions"] = prediction_distribution(predictions)
+        out["predictions"] = kept(prediction_distribution(predictions))
     out["alerts"] = alerts(drift.drift_summary(table), quality, out.get("predictions"))
     return out
 

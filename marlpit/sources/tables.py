@@ -30,8 +30,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column, low, high, partitions, properties=properties)
 
 
-def read_first_of(spark: SparkSession, names: Iterable[str], fallback_rows: int | None = 50_000) -> DataFrame:
-    """The first of these tables that is there: the first name in whole, others cut to ``fallback_rows`` (None: whole)."""
+def read_first_of(spark: SparkSession, names: Iterable[str], fallback_rows: int | None = None) -> DataFrame:
+    """The first of these tables that is there: the first name in whole, others too unless ``fallback_rows`` cuts them (for a trial run)."""
     for k, name in enumerate(names):
         if spark.catalog.tableExists(name):
             df = spark.table(name)
