@@ -23,6 +23,8 @@ OPEN, NAMED, CLOSE = b"<s>[", b"]\n", b"</s>\n"
 ESCAPED = r"([\\<\[\]])"
 TURN = re.compile(r"<s>\[((?:\\.|[^\\\]])*)\]\n((?:\\.|[^\\<])*)</s>\n", re.DOTALL)
 
+#: Bytes from which a segment is copied by itself.
+LONG = 1 << 16
 PARTS = "conv_id bigint, part bigint, formatted string, loss_start array<bigint>, loss_end array<bigint>"
 
 
@@ -31,7 +33,11 @@ def unescape(text: str) -> str:
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, begin, text_begin, text_end) of all turns in one preallocated buffer; turn k is ``bytes[begin[k]:begin[k + 1]]``."""
+    """(bytes, begin, text_begin, text_end) of all turns in one preallocated buffer; turn k is ``bytes[begin[k]:begin[k + 1]]``.
+
+    Batches of many short turns are scattered at once, at some forty bytes of places for each byte; a long segment is copied
+    as it is, so that a very long text needs little more than its own size.
+    """
     n = len(texts)
     sources = [np.frombuffer(b, np.uint8) for b in (OPEN, NAMED, CLOSE)]
     role, role_at = arrow.text_bytes(pc.replace_substring_regex(roles, ESCAPED, r"\\\1"))
@@ -43,6 +49,10 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     out = np.empty(int(ends[-1, -1]) if n else 0, np.uint8)
     for k, (source, start, length) in enumerate(parts):
         target = ends[:, k] - length
+        long = length > LONG
+        for a, b, size in zip(target[long].tolist(), start[long].tolist(), length[long].tolist(), strict=True):
+            out[a : a + size] = source[b : b + size]
+        target, start, length = target[~long], start[~long], length[~long]
         total = int(length.sum())
         step = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
         out[np.repeat(target, length) + step] = source[np.repeat(start, length) + step]

@@ -27,7 +27,9 @@ KEEP, TO_BACKGROUND, TO_PREVIOUS = 1, 2, 3
 INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
 
 #: Grey levels and colour levels of the histograms.
-GREYS, LEVELS = 16, 4
+LEVELS = 4
+#: Pixels of the largest screen that is opened: 256 MB of colours.
+MAX_PIXELS = 1 << 26
 
 
 class Frame(NamedTuple):
@@ -159,10 +161,15 @@ def _palette(raw: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
 
 
 def read(raw: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, each composited onto what the frames before it have left."""
+    """The frames of a GIF, each composited onto what the frames before it have left.
+
+    A screen or frame of more than ``MAX_PIXELS`` pixels is a ValueError, as a few bytes can claim any size.
+    """
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", raw, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"a screen of {width} x {height} pixels is too large")
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(raw, at, flags)
@@ -180,6 +187,8 @@ def read(raw: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError("an unknown block")
         left, top, w, h, own = struct.unpack_from("<HHHHB", raw, at)
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} pixels is too large")
         at, colours = at + 9, shared
         if own & 0x80:
             colours, at = _palette(raw, at, own)
@@ -227,8 +236,10 @@ def write(payload: bytes, width: int = 64, delay_cs: int = 10) -> bytes:
 def colour_histogram(rgba: np.ndarray) -> np.ndarray:
     """Visible pixels by red, green and blue level, four levels each: 64 counts, red first."""
     seen = rgba.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0].astype(np.int64) * LEVELS >> 8
-    return np.bincount((seen[:, 0] * LEVELS + seen[:, 1]) * LEVELS + seen[:, 2], minlength=LEVELS**3)
+    # the two upper bits of each colour side by side; a pixel that isn't visible counts beyond them
+    place = (seen[:, 0] >> 6 << 4) | (seen[:, 1] >> 6 << 2) | (seen[:, 2] >> 6)
+    place[seen[:, 3] == 0] = LEVELS**3
+    return np.bincount(place, minlength=LEVELS**3 + 1)[: LEVELS**3]
 
 
 # ---------------------------------------------------------------- columns
@@ -253,7 +264,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                         if len(found) >= 16:
                             yield _rows(found)
                             found = []
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, struct.error, MemoryError) as e:
                     found.append((key, None, None, None, None, None, None, str(e)))
                 if found:
                     yield _rows(found)
@@ -286,9 +297,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Adds payload (the samples of all frames, read from the stored bytes) and greys (a histogram of the composited pixels).
-
-    ``greys`` counts the pixels of all frames by their red level, 16 levels.
+    """Adds payload (the samples of all frames, read from the stored bytes), n_frames, delay_ms (of all frames together) and colours:
+    the colour histogram of the composited pixels, summed over the frames.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,16 +307,19 @@ def read_back(stored: DataFrame) -> DataFrame:
             sizes = pc.binary_length(media).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (arrow.BATCH_BYTES // 4), prepend=-1)).tolist() + [len(media)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                payload, greys = [], []
+                payload, frames_, delays, colours = [], [], [], []
                 for raw in media.slice(a, b - a).to_pylist():
-                    found, seen = [], np.zeros(GREYS, np.int64)
+                    found, delay, seen = [], 0, np.zeros(LEVELS**3, np.int64)
                     for f in read(raw):
                         found.append(f.samples.tobytes())
-                        own = f.rgba[: len(f.samples) // f.width, :, 0].ravel()
-                        seen += np.bincount(own >> 4, minlength=GREYS)
+                        delay += f.delay_ms
+                        seen += colour_histogram(f.rgba)
                     payload.append(b"".join(found))
-                    greys.append(seen.tolist())
+                    frames_.append(len(found))
+                    delays.append(delay)
+                    colours.append(seen.tolist())
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(payload, pa.binary()), pa.array(greys, pa.list_(pa.int64()))], [*batch.schema.names, "payload", "greys"])
+                made = [pa.array(payload, pa.binary()), pa.array(frames_, pa.int64()), pa.array(delays, pa.int64()), pa.array(colours, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*batch.schema.names, "payload", "n_frames", "delay_ms", "colours"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(opened, "doc_id bigint, n_bytes bigint, media binary, payload binary, greys array<bigint>")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(opened, "doc_id bigint, n_bytes bigint, media binary, payload binary, n_frames bigint, delay_ms bigint, colours array<bigint>")

@@ -79,7 +79,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts stored as GIF samples and read back, as digests and a grey histogram."""
+    """All texts stored as GIF samples and read back, as digests, with frames, delays and colour histogram."""
     found = gif.read_back(gif.store_texts(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
@@ -89,7 +89,7 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.array_join(F.col("greys").cast("array<string>"), ",").alias("feature"),
+        F.concat_ws(";", "n_frames", "delay_ms", F.array_join(F.col("colours").cast("array<string>"), ",")).alias("feature"),
     )
 
 

@@ -11,10 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 
 
+def named_folder(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (as in tests on one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder; on one machine, where none is set, as in tests, a temporary one."""
+    found = named_folder(spark)
     if not found:
+        if not on_one_machine(spark):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -17,7 +17,8 @@ def token_count(text: Column | str, vocabulary: str = "word_bpe_49k.json", batch
     The column's batches are cut again into ranges of about ``batch_bytes`` text bytes, so that a few very
     long texts don't make one batch much heavier than the others. Texts are split at ASCII white space, a
     safe boundary for a tokenizer that drops white space; each distinct word of a range is encoded once and
-    only its length is kept. Null and empty texts have 0 tokens; rows are neither lost nor reordered.
+    only its length is kept. Null and empty texts have 0 tokens; rows are neither lost nor reordered, equal ones get equal counts, an
+    empty table gives no rows. A very long text is a range of its own, held whole in one task.
     """
 
     @F.arrow_udf("bigint")
@@ -35,5 +36,5 @@ def token_count(text: Column | str, vocabulary: str = "word_bpe_49k.json", batch
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """``docs`` with its tokens counted in ``out_col``, which replaces a column of that name."""
+    """``docs`` with its tokens counted in ``out_col``, which replaces a column of that name; all other columns stay."""
     return docs.withColumn(out_col, token_count(F.col(f"`{text_col}`"), vocabulary))

@@ -100,6 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     ``may_learn`` (a condition on ``id_col``) says which rows labels may be learnt from; no other row is used at
     all. The class prior is the share of 1 among its labels. Both samples are those of lowest hash of the id,
     a bound on what is fitted only: scoring covers every row. Without positives or texts the model is a constant.
+    Null ids and labels are left out, an id with several labels is positive if one of them is; repeated rows count each. Null texts are empty;
+    very long ones are read whole, in one task. Other columns play no part, whatever their names.
     """
     allowed = F.lit(True) if may_learn is None else may_learn
     own = labels.filter(allowed).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).filter("doc_id is not null and label is not null")
@@ -156,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
 
 
 def score(text: Column, model: Model) -> Column:
-    """The model's score of each whole text, from 0 to 1; null counts as the empty text."""
+    """The model's score of each whole text, from 0 to 1; null counts as the empty text, equal texts score alike, an empty table gives no rows.
+
+    A column's batches are cut by bytes; a very long text stands alone.
+    """
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
@@ -168,5 +173,6 @@ def score(text: Column, model: Model) -> Column:
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Rows whose score is below ``threshold``, with all their columns as they were."""
+    """Rows whose score is below ``threshold``, with all their columns as they were. Null and empty texts, which score as the constant
+    does, and repeated rows are rows like any; an empty table stays empty."""
     return docs.filter(score(F.col(f"`{text_col}`"), model) < threshold)

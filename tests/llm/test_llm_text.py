@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -346,6 +347,21 @@ def test_frames_of_a_column(spark):
     assert gif.frames(df.limit(0)).count() == 0
 
 
+def test_frames_of_hostile_headers(spark):
+    """A few bytes that claim a huge screen or frame give an error row; no task runs out of memory."""
+    screen = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    frame = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x00\x3b"
+    df = spark.createDataFrame([(1, screen), (2, frame), (3, gif.write(b"\0" * 64))], "doc_id bigint, media binary")
+    rows = {r.id: r for r in gif.frames(df).collect()}
+    assert "too large" in rows[1].error and "too large" in rows[2].error and rows[3].frame == 0
+
+
+def test_long_segments_are_copied_whole():
+    texts = pa.array(["x" * (chat.LONG + 5), "", "[INST] é", "y" * 3])
+    raw, begin, start, end = chat.assemble(pa.array(["user", "assistant", "user", "a"]), texts)
+    assert [chat.unescape(raw[a:b].tobytes().decode()) for a, b in zip(start, end, strict=True)] == texts.to_pylist() and begin[-1] == len(raw)
+
+
 def test_stored_texts_come_back(spark, tiny):
     docs = queries.table(spark, tiny, "documents").select("doc_id", "text").unionByName(odd(spark).selectExpr("doc_id - 1000 as doc_id", "text"))
     docs.write.mode("overwrite").parquet(f"{(folder := __import__('tempfile').mkdtemp())}/documents.parquet")
@@ -356,4 +372,5 @@ def test_stored_texts_come_back(spark, tiny):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = gif.write(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-        assert r.feature == ",".join(str(n) for n in np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16))
+        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 6, minlength=4)  # one frame of equal reds, greens and blues
+        assert r.feature == "1;100;" + ",".join(str(grey[k // 21] if k % 21 == 0 else 0) for k in range(64))
