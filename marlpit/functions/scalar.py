@@ -39,6 +39,27 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def hex_hash(*keys: Column | str, seed: int = 42) -> Column:
+    """32 hexadecimal digits of the keys and a seed, the same in every session, engine and order of rows."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(k.cast("string"), F.lit("")) for k in (col(k) if isinstance(k, str) else k for k in keys)), F.lit(str(seed))))
+
+
+def uniform(*keys: Column | str, seed: int = 42) -> Column:
+    """A number from 0 to below 1 that hangs on the keys and the seed alone, so that a retried task draws the same."""
+    return F.conv(F.substring(hex_hash(*keys, seed=seed), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def normal(*keys: Column | str, seed: int = 42) -> Column:
+    """A standard normal number, from two uniform ones."""
+    radius = F.sqrt(-2 * F.ln(1 - uniform(*keys, seed=seed)))
+    return radius * F.cos(2 * F.pi() * uniform(*keys, seed=seed + 1))
+
+
+def picked(values: Column, index: Column) -> Column:
+    """The element at a computed place, counted on from the beginning again behind the end; null for an empty array."""
+    return F.when(F.size(values) > 0, F.get(values, F.pmod(index, F.size(values)).cast("int")))
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     """Columns of a numeric type, in their order."""
     left_out = set(exclude)

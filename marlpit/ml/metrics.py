@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.functions.scalar import bin_of
+from marlpit.functions.scalar import bin_of, col, hex_hash
 
 
 def binary_metrics(scored: DataFrame, label: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -59,6 +59,14 @@ def fold_of(key: Column, folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
 
 
+def stratified_fold(df: DataFrame, key: str, target: str, folds: int) -> DataFrame:
+    """``df`` with ``fold``: each class is dealt evenly over the folds. Classes are dealt in 256 parts by hash of the key, so that no task has a whole class."""
+    mark = hex_hash(key)
+    part = F.conv(F.substring(mark, 1, 2), 16, 10).cast("int")
+    order = Window.partitionBy(col(target), part).orderBy(mark, col(key))
+    return df.withColumn("fold", ((F.row_number().over(order) + part) % folds).cast("int"))
+
+
 def fold_summary(folds: DataFrame) -> DataFrame:
     """(model_id, metric, mean, std) over folds (model_id, fold, metric, value); the deviation is the population's."""
     return folds.groupBy("model_id", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

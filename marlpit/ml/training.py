@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
@@ -69,10 +71,10 @@ def sampled_grid(space: dict[str, list], trials: int, seed: int = 42) -> list[di
 def search(df: DataFrame, model_type: str, features: list[str], target: str | None, key: str, space: dict[str, list], trials: int = 4, folds: int = 3, parallelism: int = 2) -> tuple[Model, dict, float]:
     """The best model of a sampled grid, refitted on all rows, with its parameters and the metric it was chosen by.
 
-    Folds are stable hashes of the key. Clusterers go by silhouette, -1 where there is one cluster only.
+    Folds are stable hashes of the key, for classifiers dealt evenly within each class. Clusterers go by silhouette, -1 where there is one cluster only.
     """
     kind, grid = category(model_type), sampled_grid(space, trials)
-    data = _training_rows(df, features, target, key, folds).cache()
+    data = _training_rows(df, features, target, key, folds, kind == "classifier").cache()
     try:
         if kind == "clusterer":
             best = None
@@ -91,25 +93,35 @@ def search(df: DataFrame, model_type: str, features: list[str], target: str | No
         data.unpersist()
 
 
-def _training_rows(df: DataFrame, features: list[str], target: str | None, key: str, folds: int) -> DataFrame:
+def _training_rows(df: DataFrame, features: list[str], target: str | None, key: str, folds: int, stratified: bool = False) -> DataFrame:
     if target is None:
         return assemble(df, features, [key]).withColumn("fold", metrics.fold_of(col(key), folds))
     rows = df.filter(col(target).isNotNull()).withColumn("label", col(target).cast("double"))
-    return assemble(rows, features, [key, "label"]).withColumn("fold", metrics.fold_of(col(key), folds))
+    ready = assemble(rows, features, [key, "label"])
+    return metrics.stratified_fold(ready, key, "label", folds) if stratified else ready.withColumn("fold", metrics.fold_of(col(key), folds))
 
 
-def cluster_metrics(model: Model, data: DataFrame) -> dict[str, float]:
-    """Clusters, silhouette (-1 with one cluster), inertia."""
+def silhouette(assigned: DataFrame, cluster: str = "prediction", rows: int | None = None, keys: list[str] | None = None) -> float:
+    """Mean silhouette of rows with ``features`` and a cluster, of at most ``rows`` drawn by hash of the keys; -1 with one cluster."""
+    from marlpit.operators.features import sampled
+
+    some = sampled(assigned, rows, keys or [cluster]) if rows else assigned
+    own = some.select("features", col(cluster).cast("double").alias("prediction"))
+    return ClusteringEvaluator().evaluate(own) if own.select("prediction").distinct().count() > 1 else -1.0
+
+
+def cluster_metrics(model: Model, data: DataFrame, rows: int | None = None, keys: list[str] | None = None) -> dict[str, float]:
+    """Clusters, silhouette (of a sample if ``rows`` is given), inertia."""
     assigned = model.transform(data)
     n = assigned.select("prediction").distinct().count()
-    value = ClusteringEvaluator().evaluate(assigned) if n > 1 else -1.0
+    value = silhouette(assigned, "prediction", rows, keys)
     return {"n_clusters": float(n), "silhouette_score": value, "inertia": model.summary.trainingCost}
 
 
 def cross_validate(df: DataFrame, model_type: str, features: list[str], target: str, key: str, parameters: dict | None = None, folds: int = 3) -> tuple[Model, DataFrame]:
     """A model fitted on all rows, and (fold, metric, value) of models that each left one fold out."""
     kind = category(model_type)
-    data = _training_rows(df, features, target, key, folds).cache()
+    data = _training_rows(df, features, target, key, folds, kind == "classifier").cache()
     rows = []
     for k in range(folds):
         model = create(model_type, parameters).fit(data.filter(F.col("fold") != k))
@@ -127,15 +139,20 @@ def cross_validate(df: DataFrame, model_type: str, features: list[str], target:
     return model, df.sparkSession.createDataFrame(rows, "fold int, metric string, value double")
 
 
-def train_all(spark: SparkSession, df: DataFrame, registry: list[dict], key: str, run_id: str = "run") -> tuple[dict[str, Model], DataFrame]:
-    """Fits every model of a registry in order of its layers; a failure becomes a row and doesn't stop the others.
+def save_results(results: DataFrame, path: str) -> None:
+    """Training results appended by run; a run written again replaces its own rows only."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def train_all(spark: SparkSession, df: DataFrame, registry: list[dict], key: str, run_id: str = "run", parallelism: int = 4) -> tuple[dict[str, Model], DataFrame]:
+    """Fits every model of a registry, ``parallelism`` at a time, layer after layer; a failure becomes a row and doesn't stop the others.
 
     A registry entry has model_id, model_type, features, and optionally target, training_filter, parameters and
     depends_on. Gives the models and the results (model_id, run_id, metric, value, status, error).
     """
-    order = _ordered(spark, registry)
-    models, rows = {}, []
-    for entry in order:
+    models: dict[str, Model] = {}
+
+    def train(entry: dict) -> list[tuple]:
         name = entry["model_id"]
         try:
             own = df.filter(entry["training_filter"]) if entry.get("training_filter") else df
@@ -146,21 +163,29 @@ def train_all(spark: SparkSession, df: DataFrame, registry: list[dict], key: str
             else:
                 models[name], folds = cross_validate(own, entry["model_type"], entry["features"], entry["target"], key, entry.get("parameters"))
                 found = {r.metric: r.v for r in folds.groupBy("metric").agg(F.avg("value").alias("v")).collect()}
-            rows += [(name, run_id, m, v, "success", None) for m, v in found.items()]
+            return [(name, run_id, m, v, "success", None) for m, v in found.items()]
         except Exception as e:  # one model's failure is a result
-            rows.append((name, run_id, None, None, "failed", str(e)[:500]))
+            return [(name, run_id, None, None, "failed", str(e)[:500])]
+
+    rows = []
+    with ThreadPoolExecutor(parallelism) as pool:
+        for layer in _layers(spark, registry):
+            rows += [r for found in pool.map(inheritable_thread_target(spark)(train), layer) for r in found]
     return models, spark.createDataFrame(rows, RESULTS)
 
 
-def _ordered(spark: SparkSession, registry: list[dict]) -> list[dict]:
-    """Parents before those that depend on them."""
+def _layers(spark: SparkSession, registry: list[dict]) -> list[list[dict]]:
+    """Parents in layers before those that depend on them."""
     pairs = [(e["model_id"], p) for e in registry for p in e.get("depends_on", ())]
     if not pairs:
-        return registry
+        return [registry]
     from marlpit.operators.lineage import layers
 
     layer = {r.item: r.layer for r in layers(spark.createDataFrame(pairs, "child string, parent string")).collect()}
-    return sorted(registry, key=lambda e: layer.get(e["model_id"], 0))
+    held: dict[int, list[dict]] = {}
+    for e in registry:
+        held.setdefault(layer.get(e["model_id"], 0), []).append(e)
+    return [held[k] for k in sorted(held)]
 
 
 # ---------------------------------------------------------------- scoring

@@ -76,6 +76,13 @@ def tally(results: DataFrame) -> DataFrame:
     return results.groupBy("dataset").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
 
 
+def scorecard(results: DataFrame, good: float = 0.95, fair: float = 0.8) -> DataFrame:
+    """(dataset, checks, score, grade): the share of checks passed, in percent, and whether that is good, fair or poor."""
+    found = results.groupBy("dataset").agg(F.count("*").alias("checks"), F.avg(F.col("passed").cast("double")).alias("share"))
+    grade = F.when(F.col("share") >= good, "good").when(F.col("share") >= fair, "fair").otherwise("poor")
+    return found.select("dataset", "checks", (100 * F.col("share")).alias("score"), grade.alias("grade"))
+
+
 class ExpectationFailed(ValueError):
     """Raised by the action ``fail``."""
 
@@ -183,6 +190,11 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return rows.crossJoin(lost)
 
 
+def newest(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """(keys, newest, rows): the last time of each entity."""
+    return df.groupBy(*(col(k) for k in keys)).agg(F.max(col(time).cast("timestamp")).alias("newest"), F.count("*").alias("rows"))
+
+
 def retained(df: DataFrame, time: str, now: Column, days: int) -> DataFrame:
     """Rows not older than so many days."""
     return df.filter(col(time).cast("timestamp") >= now - F.make_interval(days=F.lit(days)))

@@ -149,6 +149,25 @@ def drift_table(reference: DataFrame, current: DataFrame, columns: list[str] | N
     return flags.withColumn("is_drifted", F.col("psi_drifted") | F.col("ks_drifted"))
 
 
+def drifted(table: DataFrame) -> DataFrame:
+    """The rows of a drift table whose feature has drifted."""
+    return table.filter("is_drifted")
+
+
+def reference_of(history: DataFrame, run: str, current, choice: str = "training") -> DataFrame:
+    """Rows that the run ``current`` is compared with: those of the first run (``training``), of the one before it
+    (``previous``), or of the run that ``choice`` names. Runs are in the order of their values."""
+    own = col(run)
+    runs = history.select(own.alias("run")).distinct()
+    if choice == "training":
+        wanted = runs.agg(F.min("run").alias("run"))
+    elif choice == "previous":
+        wanted = runs.filter(F.col("run") < F.lit(current)).agg(F.max("run").alias("run"))
+    else:
+        wanted = runs.filter(F.col("run").cast("string") == choice)
+    return history.join(F.broadcast(wanted.withColumnRenamed("run", "_run")), own == F.col("_run"), "left_semi")  # one row
+
+
 def drift_summary(table: DataFrame) -> DataFrame:
     """(drifted, total, drift_pct) of a drift table; 0 percent if it is empty."""
     found = table.agg(F.count_if("is_drifted").alias("drifted"), F.count("*").alias("total"))

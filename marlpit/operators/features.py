@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlpit.functions.scalar import col, filled, flag, long_form, number, numeric_columns, parsed_time
+from marlpit.functions.scalar import col, filled, flag, hex_hash, long_form, number, numeric_columns, parsed_time
 from marlpit.operators.quantiles import exact_quantiles
 from marlpit.sources.scratch import kept
 
@@ -373,8 +373,9 @@ def one_hot(df: DataFrame, column: str, categories: list[str], keep: Iterable[st
 
 
 def hash_buckets(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
-    """``df`` with ``{column}_bucket``, for columns of very many categories."""
-    return df.withColumn(f"{column}_bucket", F.pmod(F.xxhash64(_category(column)), F.lit(buckets)).cast("int"))
+    """``df`` with ``{column}_bucket``, for columns of very many categories; the hash is one that any engine has."""
+    place = F.conv(F.substring(F.md5(_category(column)), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn(f"{column}_bucket", F.pmod(place, F.lit(buckets)).cast("int"))
 
 
 def hash_if_many(df: DataFrame, column: str, most: int = 50, buckets: int = 100) -> DataFrame:
@@ -432,6 +433,30 @@ def importance(model, columns: list[str], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, float(model.featureImportances[k])) for k, c in enumerate(columns)], "feature string, score double")
 
 
+def select_by_importance(scores: DataFrame, share: float = 0.95) -> DataFrame:
+    """(feature, score, place): the best features, as few as have ``share`` of all scores together; ties go by name.
+
+    ``scores`` is (feature, score), as from :func:`importance`: a row for each feature, ordered in one task.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "feature")
+    ranked = scores.filter("score > 0").withColumn("place", F.row_number().over(order).cast("bigint"))
+    summed = ranked.withColumn("before", F.coalesce(F.sum("score").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    whole = summed.withColumn("whole", F.sum("score").over(Window.partitionBy(F.lit(0))))
+    return whole.filter(F.col("before") < share * F.col("whole")).select("feature", "score", "place")
+
+
+def sampled(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """``n`` rows drawn evenly: those of lowest hash of the keys. Each task keeps its own lowest only."""
+    return df.orderBy(hex_hash(*keys, seed=seed), *(col(k) for k in keys)).limit(n)
+
+
+def text_features(df: DataFrame, columns: list[str], keep: Iterable[str] = ()) -> DataFrame:
+    """Code points and words of each text column as doubles, 0 where it is missing."""
+    words = lambda c: F.regexp_count(col(c), F.lit(r"[^\t\n\x0B\f\r ]+"))
+    out = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"text_{name}_{c}") for c in columns for name, v in (("len", F.length(col(c))), ("words", words(c)))]
+    return df.select(*(col(k) for k in keep), *out)
+
+
 def feature_columns(df: DataFrame, exclude: Iterable[str] = ("record_id", "target_binary", "target_continuous")) -> list[str]:
     """Numeric columns that are neither ids, targets nor metadata (names beginning with an underscore)."""
     return [c for c in numeric_columns(df, exclude) if not c.startswith("_")]

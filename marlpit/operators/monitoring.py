@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.operators import checks, drift
+from marlpit.operators import checks, drift, features
 from marlpit.operators.quantiles import exact_quantiles
 from marlpit.sources.scratch import kept
 
@@ -136,6 +136,18 @@ def run(reference: DataFrame, current: DataFrame, predictions: DataFrame | None
     return out
 
 
+def sampled_report(reference: DataFrame, current: DataFrame, columns: list[str], keys: list[str], rows: int = 10_000, seed: int = 42) -> DataFrame:
+    """(feature, ref_mean, cur_mean, mean_shift, null_rate) of at most so many rows of either table, drawn by hash of the keys."""
+    one, two = (kept(features.sampled(df.select(*keys, *columns), rows, keys, seed)) for df in (reference, current))
+    nulls = checks.profile(two, columns).select("feature", "null_rate")
+    return drift.mean_shift(one, two, columns).join(nulls, "feature")
+
+
+def successful(training: DataFrame) -> DataFrame:
+    """The models whose training ended well: (model_id), each once."""
+    return training.filter(F.col("status") == "success").select("model_id").distinct()
+
+
 def save(results: dict[str, DataFrame], path: str) -> None:
     """Each table under the path: alerts as JSON, the others as Parquet."""
     for name, df in results.items():

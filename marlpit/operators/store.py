@@ -74,6 +74,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return latest(old.unionByName(new, allowMissingColumns=True), keys, order)
 
 
+def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The change feed from one version to the next: rows of the new one, or the old one's where it lacks the key, with
+    ``_change``: insert, update or delete. Rows that are alike aren't in it."""
+    values = [c for c in new.columns if c not in keys]
+    one = old.select(*(col(k) for k in keys), F.struct(*(col(c) for c in values)).alias("_old"))
+    two = new.select(*(col(k) for k in keys), F.struct(*(col(c) for c in values)).alias("_new"))
+    both = one.join(two, keys, "full")
+    kind = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~F.col("_old").eqNullSafe(F.col("_new")), "update")
+    found = both.withColumn("_change", kind).filter("_change is not null").withColumn("_row", F.coalesce("_new", "_old"))
+    return found.select(*(col(k) for k in keys), *(F.col(f"_row.`{c}`").alias(c) for c in values), "_change")
+
+
+def apply_changes(old: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
+    """The next version, from a version and its change feed; unchanged rows are taken as they are."""
+    untouched = old.join(feed.select(*(col(k) for k in keys)), keys, "left_anti")
+    return untouched.unionByName(feed.filter("_change <> 'delete'").drop("_change"))
+
+
 @dataclass(frozen=True)
 class FeatureSet:
     """A training table, not yet run, with what it was made of."""

@@ -131,6 +131,9 @@ SELECT 'price_model' AS model_id, 1.0 + l_extendedprice * 0.001 + l_discount * -
 _SUMMARY = f"WITH {_long('1.5')}, {_PSI}, {_KS}, s AS (SELECT count(*) FILTER (psi > 0.2 OR ks_pvalue < 0.05) AS drifted, count(*) AS total FROM psi JOIN ks USING (feature))"
 
 
+_SUMMARY_PRICE = f"WITH {_long('1.5')}, {_PSI}, {_KS}, s AS (SELECT count(*) FILTER (psi > 0.2 OR ks_pvalue < 0.05) AS drifted, count(*) AS total FROM psi JOIN ks USING (feature) WHERE feature = 'o_totalprice')"
+
+
 def _change(c: str) -> str:
     return f"SELECT '{c}' AS feature, count(DISTINCT {c}) FILTER (side = 0) AS before, count(DISTINCT {c}) FILTER (side = 1) AS after FROM ({_SIDES})"
 
@@ -142,8 +145,9 @@ ORACLES: dict[str, str] = {
     "wasserstein": f"WITH {_long()}, {_KS}, n AS (SELECT feature, abs(fr - fc) * (lead(v) OVER (PARTITION BY feature ORDER BY v) - v) AS part FROM f) SELECT feature, round(sum(part), 3) AS wasserstein FROM n GROUP BY feature",
     "mean_shift": f"WITH {_long()} SELECT feature, round(avg(v) FILTER (side = 0), 5) AS ref_mean, round(avg(v) FILTER (side = 1), 5) AS cur_mean, round(abs(avg(v) FILTER (side = 1) - avg(v) FILTER (side = 0)) / (stddev_pop(v) FILTER (side = 0) + 1e-8), 5) AS mean_shift FROM l GROUP BY feature",
     "drift_summary": f"{_SUMMARY} SELECT drifted, total, round(100.0 * drifted / total, 6) AS drift_pct FROM s",
-    "drift_alerts": """SELECT 'P1' AS severity, 'feature_drift' AS type, '100.0% of features show drift' AS message UNION ALL SELECT 'P3', 'data_quality', '1 features have data quality issues'
-        UNION ALL SELECT 'P1', 'constant_predictions', 'model flat_model predicts one value'""",
+    "drift_alerts": f"""{_SUMMARY_PRICE}, {_PREDICTIONS}, i AS (SELECT (count(DISTINCT o_totalprice) <= 1)::INT + 1 AS n FROM ({_SIDES}) WHERE side = 1)
+        SELECT CASE WHEN drifted / total > 0.5 THEN 'P1' ELSE 'P2' END AS severity, 'feature_drift' AS type, printf('%.1f%% of features show drift', 100.0 * drifted / total) AS message FROM s WHERE drifted / total > 0.2
+        UNION ALL SELECT 'P3', 'data_quality', n || ' features have data quality issues' FROM i UNION ALL SELECT 'P1', 'constant_predictions', 'model ' || model_id || ' predicts one value' FROM p GROUP BY model_id HAVING stddev_samp(prediction) < 1e-10""",
     "chi2_drift": f"""WITH k AS (SELECT o_orderpriority AS v, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS c FROM ({_SIDES}) GROUP BY 1), s AS (SELECT *, sum(r) OVER () AS rs, sum(c) OVER () AS cs, r + c AS t FROM k),
         e AS (SELECT *, t * rs / (rs + cs) AS er, t * cs / (rs + cs) AS ec FROM s)
         SELECT 'o_orderpriority' AS feature, round(sum((r - er) ** 2 / er + (c - ec) ** 2 / ec), 6) AS chi2, count(*) - 1 AS degrees FROM e""",
@@ -157,6 +161,7 @@ ORACLES: dict[str, str] = {
         round(avg(probability), 5) AS prob_mean, round(stddev_samp(probability), 5) AS prob_std, 0::BIGINT AS n_clusters, 0::BIGINT AS error_count FROM p GROUP BY 1""",
     "cluster_sizes": """WITH c AS (SELECT 'half_' || (vec_id % 2) AS model_id, label, count(*) AS n FROM embeddings GROUP BY 1, 2)
         SELECT model_id, count(*) AS n_clusters, string_agg(label || ':' || n, ',' ORDER BY label) AS cluster_sizes FROM c GROUP BY 1""",
-    "monitoring_run": f"""{_SUMMARY} SELECT 2::BIGINT AS models_ok, 1::BIGINT AS models_failed, (SELECT 3 * count(*) FROM lineitem) AS predictions, 3::BIGINT AS models_scored,
-        (drifted / total > 0.5)::BIGINT + 1 AS alerts_p1, (drifted / total > 0.2 AND drifted / total <= 0.5)::BIGINT AS alerts_p2, 0::BIGINT AS alerts_p3, drifted, total, round(100.0 * drifted / total, 6) AS drift_pct FROM s""",
+    "monitoring_run": f"""{_SUMMARY}, {_PREDICTIONS}, m AS (SELECT model_id, count(*) AS n, coalesce(stddev_samp(prediction), 1) < 1e-10 AS flat, min(prediction) = max(prediction) AS one FROM p GROUP BY 1)
+        SELECT (SELECT count(*) FILTER (NOT flat AND NOT one) FROM m) AS models_ok, (SELECT count(*) FILTER (flat OR one) FROM m) AS models_failed, (SELECT sum(n)::BIGINT FROM m) AS predictions, (SELECT count(*) FROM m) AS models_scored,
+        (drifted / total > 0.5)::BIGINT + (SELECT count(*) FILTER (flat) FROM m) AS alerts_p1, (drifted / total > 0.2 AND drifted / total <= 0.5)::BIGINT AS alerts_p2, 0::BIGINT AS alerts_p3, drifted, total, round(100.0 * drifted / total, 6) AS drift_pct FROM s""",
 }

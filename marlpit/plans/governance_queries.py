@@ -242,14 +242,6 @@ def dependency_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree with some parents taken away, one edge turned into a circle and an item without edges."""
-    edges = _part_edges(spark, sf_dir).filter("child < 100 and child % 7 <> 0")
-    edges = edges.unionByName(spark.range(1).select(F.lit(2).cast("bigint").alias("child"), F.lit(4).cast("bigint").alias("parent")))
-    items = table(spark, sf_dir, "part").filter("p_partkey < 100 and p_partkey <> 3").select("p_partkey")
-    return lineage.edge_checks(edges, items)
-
-
-def edge_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts and all edges of their tree, where every 7th child has lost its edge, every 11th part is missing and
     every 101st is in a circle with its first child."""
     parts = table(spark, sf_dir, "part").select("p_partkey")
@@ -264,9 +256,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         training_set_left, training_set_multi, asof_features, asof_recent_features, features_by_key, features_as_of, feature_tables, dataset_fingerprint, dedup_latest, upsert_rows,
         stream_ingest, stream_deduplicated, stream_upsert, partition_overwrite, csv_round_trip, pii_scan, pii_mask, pii_mask_numbers, compliance_report, erasure_counts, erasure_plan, erasure_apply,
-        audit_filter, audit_by_operation, audit_recent, audit_log, snapshots, upstream_closure, downstream_items, dependency_layers, edge_checks, edge_checks_whole,
+        audit_filter, audit_by_operation, audit_recent, audit_log, snapshots, upstream_closure, downstream_items, dependency_layers, edge_checks,
     )
-}
+} | {"edge_checks_whole": edge_checks}
 
 
 def _hits(column: str, source: str, category: str) -> str:
@@ -282,6 +274,13 @@ _TREE = """e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part W
 _LAST = "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
 _SUBJECTS = "(SELECT c_custkey FROM customer WHERE c_nationkey = 7)"
 
+_EDGE_CHECKS = """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 AND p_partkey % 7 <> 0
+        UNION ALL SELECT k.p_partkey, 2 * k.p_partkey FROM part k JOIN part v ON v.p_partkey = 2 * k.p_partkey WHERE k.p_partkey % 101 = 2), i AS (SELECT p_partkey AS item FROM part WHERE p_partkey % 11 <> 3),
+        c AS (SELECT child AS item, parent AS ancestor FROM e UNION SELECT c.item, e.parent FROM c JOIN e ON e.child = c.ancestor)
+        SELECT DISTINCT 'unknown_parent' AS "check", parent AS item FROM e WHERE parent NOT IN (SELECT item FROM i)
+        UNION ALL SELECT 'orphan', item FROM i WHERE item NOT IN (SELECT child FROM e) AND item NOT IN (SELECT parent FROM e)
+        UNION ALL SELECT DISTINCT 'cycle', item FROM c WHERE item = ancestor OR ancestor IN (SELECT item FROM c WHERE item = ancestor)"""
+
 ORACLES: dict[str, str] = {
     "training_set_left": "SELECT o_custkey AS record_id, o_orderkey, 'order' AS c_name, c.c_name AS c_name_customer, round(c.c_acctbal, 6) AS c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey",
     "training_set_multi": """SELECT o_custkey AS record_id, o_orderkey, round(a.c_acctbal, 6) AS c_acctbal, b.c_mktsegment, round(b.c_acctbal / 2, 6) AS c_acctbal_segment FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey
@@ -315,9 +314,6 @@ ORACLES: dict[str, str] = {
     "upstream_closure": f"WITH RECURSIVE {_TREE} SELECT item, ancestor FROM c",
     "downstream_items": f"WITH RECURSIVE {_TREE} SELECT item FROM c WHERE ancestor = 5",
     "dependency_layers": f"WITH RECURSIVE {_TREE} SELECT item, count(*) AS layer FROM c GROUP BY 1 UNION ALL SELECT DISTINCT parent, 0::BIGINT FROM e WHERE parent NOT IN (SELECT child FROM e)",
-    "edge_checks": """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey BETWEEN 2 AND 99 AND p_partkey % 7 <> 0 UNION ALL SELECT 2, 4), i AS (SELECT p_partkey AS item FROM part WHERE p_partkey < 100 AND p_partkey <> 3),
-        c AS (SELECT child AS item, parent AS ancestor FROM e UNION SELECT c.item, e.parent FROM c JOIN e ON e.child = c.ancestor)
-        SELECT DISTINCT 'unknown_parent' AS "check", parent AS item FROM e WHERE parent NOT IN (SELECT item FROM i)
-        UNION ALL SELECT 'orphan', item FROM i WHERE item NOT IN (SELECT child FROM e) AND item NOT IN (SELECT parent FROM e)
-        UNION ALL SELECT DISTINCT 'cycle', item FROM c WHERE item = ancestor OR ancestor IN (SELECT item FROM c WHERE item = ancestor)""",
+    "edge_checks": _EDGE_CHECKS,
+    "edge_checks_whole": _EDGE_CHECKS,
 }

@@ -39,8 +39,10 @@ def read_first_of(spark: SparkSession, names: Iterable[str], fallback_rows: int
     raise LookupError(f"none of the tables is there: {', '.join(names)}")
 
 
-def use_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def use_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Makes the database if it isn't there, under ``location`` if one is given, and the current one."""
+    at = "" if location is None else f" LOCATION '{location}'"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{at}")
     spark.catalog.setCurrentDatabase(name)
 
 

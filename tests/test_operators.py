@@ -422,3 +422,46 @@ def test_names_with_odd_characters(spark):
     assert scalar.numeric_columns(df) == ["a.b", "c`d"]
     assert [r.value for r in scalar.long_form(df, df.columns).collect()] == [1.0, 2.0]
     assert features.fit_scaler(df, ["a.b"])["a.b"] == (1.0, 1.0)
+
+
+def test_exact_quantiles_of_odd_groups(spark):
+    """Ties, single values, missing values and a value of most rows, against numpy."""
+    import numpy as np
+
+    from marlpit.operators.quantiles import exact_quantiles
+
+    draw = np.random.default_rng(1)
+    groups = {"even": draw.random(500).tolist(), "hot": [3.0] * 400 + draw.random(50).tolist(), "one": [7.5], "two": [1.0, 2.0], "steps": [float(k % 5) for k in range(333)], "none": [None, None]}
+    rows = spark.createDataFrame([(g, v) for g, own in groups.items() for v in [*own, None]], "g string, value double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {r.g: r.quantiles for r in exact_quantiles(rows, ["g"], shares, ranges=8).collect()}
+    assert set(found) == set(groups) - {"none"}
+    for g, own in found.items():
+        assert np.allclose(own, np.quantile(groups[g], shares))
+    assert exact_quantiles(rows.limit(0), ["g"], shares).count() == 0
+
+
+def test_as_of_join_across_ranges(spark):
+    """One key of very many rows, dealt into ranges of time: values are carried over ranges without features."""
+    features = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:00:05", 2.0), (2, "2024-03-01 00:00:00", 9.0)], "k int, at string, v double").withColumn("at", F.col("at").cast("timestamp"))
+    entities = spark.range(500).select(F.lit(1).alias("k"), F.expr("timestamp'2024-01-01 00:00:03' + make_interval(0, 0, 0, 0, cast(id as int))").alias("t"), "id")
+    entities = entities.unionByName(spark.createDataFrame([(None, None, -1), (2, None, -2), (3, None, -3)], "k int, t timestamp, id bigint"))
+    found = {r.id: r.v for r in store.as_of_join(entities, features, "k", "t", "at", ["v"]).collect()}
+    assert len(found) == 503 and found[0] == 1.0 and found[-1] is None and found[-2] is None and found[-3] is None
+    assert all(found[k] == 2.0 for k in range(1, 500))
+
+
+def test_folds_are_even_within_classes(spark):
+    from marlpit.ml import metrics
+
+    df = spark.range(6000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
+    counts = {(r.y, r.fold): r.n for r in metrics.stratified_fold(df, "id", "y", 3).groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(counts[1, k] - 200) < 30 and abs(counts[0, k] - 1800) < 60 for k in range(3))
+
+
+def test_changes_are_those_between_versions(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
+    new = spark.createDataFrame([(2, None), (3, "d"), (4, None)], "k int, v string")
+    feed = store.changes(old, new, ["k"])
+    assert {(r.k, r.v, r["_change"]) for r in feed.collect()} == {(1, "a", "delete"), (3, "d", "update"), (4, None, "insert")}
+    assert sorted((r.k, r.v or "") for r in store.apply_changes(old, feed, ["k"]).collect()) == [(2, ""), (3, "d"), (4, "")]
