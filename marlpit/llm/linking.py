@@ -30,13 +30,15 @@ class Sketches(NamedTuple):
     """``keyed``: (id, key), a row for each band key of each item; read once. ``frame``: id and sketch columns, of which ``likely``
     takes two functions from a column's name to its value on either side, and says whether the pair may reach the
     threshold; without columns every pair may. ``items`` makes the array of a set's distinct values from the column that
-    ``sets_of`` gives."""
+    ``sets_of`` gives; where sets are small, as those of lines are, ``inside`` has them compared within the join of blocks, so that
+    links alone come out of it."""
 
     keyed: DataFrame
     frame: DataFrame | None = None
     columns: tuple[str, ...] = ()
     likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
     items: Callable[[str], Column] = F.col
+    inside: bool = False
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -115,8 +117,12 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
             break
         links = links.unionByName(more)
         labels = components(links)
-    rest = _across(_open(members, labels), sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest), again, sketches.items, numerator, denominator))
+    left = _open(members, labels)
+    if sketches.inside:
+        more = written(_across(left.join(sets.select("id", sketches.items("items").alias("items")), "id"), sketches, numerator, denominator))
+    else:
+        rest = _across(left, sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
+        more = written(_confirmed(written(rest), again, sketches.items, numerator, denominator))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return labels if labels is not None else _none(shared)
@@ -171,19 +177,24 @@ def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
 
 
 def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
-    """Likely pairs (a, b) of items in different components of one bucket, block against block."""
+    """Likely pairs (a, b) of items in different components of one bucket, block against block; links, where the items' sets are given."""
     held = open_.join(sketches.frame.select("id", *sketches.columns), "id") if sketches.columns else open_
+    sets = ("items",) if sketches.inside else ()
     blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
     dealt = written(held.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")))
     # each item goes to the pairs of blocks that its own is in
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    one = spread.select(F.col("key").alias("a_key"), "x", "y", *(F.col(c).alias(f"a_{c}") for c in BOUNDS), F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
-    two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.col(c).alias(f"b_{c}") for c in BOUNDS), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
+    one = spread.select(F.col("key").alias("a_key"), "x", "y", *(F.col(c).alias(f"a_{c}") for c in (*BOUNDS, *sets)), F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
+    two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.col(c).alias(f"b_{c}") for c in (*BOUNDS, *sets)), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
     apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & ((F.col("x") == F.col("y")) | (F.col("a_own") != F.col("b_own")))
     likely = sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) if sketches.columns else F.lit(True)
     same = (F.col("a_key") == F.col("b_key")) & (F.col("x") == F.col("b_x")) & (F.col("y") == F.col("b_y"))
-    return one.join(two, same & apart & _possible("a_", "b_", numerator, denominator) & likely).select("a", "b").distinct()
+    test = same & apart & _possible("a_", "b_", numerator, denominator) & likely
+    if sets:  # common >= share * united, as common * (numerator + denominator) >= numerator * sizes
+        common = F.size(F.array_intersect("a_items", "b_items")).cast("bigint")
+        test = test & ((numerator + denominator) * common >= numerator * (F.col("a_size") + F.col("b_size")))
+    return one.join(two, test).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], items: Callable[[str], Column], numerator: int, denominator: int) -> DataFrame:
