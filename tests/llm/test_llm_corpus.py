@@ -399,6 +399,15 @@ def test_scores_of_odd_rows(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in nothing)
 
 
+def test_subwords_are_those_of_the_pattern():
+    words = ["a", "Ab12,;x", "<|endoftext|>", "don't", "日本", "éÀ9ß!", "x²", "--", "a" * 300, "1234567", "ªº", "\u00a0x", "(it's)", "~"]
+    vocab = lm.byte_bpe.vocabulary(lm.VOCABULARY)
+    ids, sizes = lm.subwords(pa.array(words))
+    expected, counts = vocab.encode_segments([b" " + w.encode() for w in words], False)
+    assert ids.tolist() == expected.tolist() and sizes.tolist() == counts.tolist()
+    assert len(lm.subwords(pa.array([], pa.string()))[0]) == 0
+
+
 def test_windows_score_each_subword_once():
     sizes = [1, 24, 25, 100, 1]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -486,7 +495,7 @@ def test_scores_by_brute_force(spark, tiny, monkeypatch):
 
     def stretches_of(words):
         """(three words, words after them up to and with the next cut, whether they end the text)."""
-        code = lambda w: lm.xxhash.xxh3_64_intdigest(w)
+        code = lambda w: int(lm.hashes_of(pa.array([w]))[0])
         odd, top = int(lm.ODD), (1 << 64) - 1
         cuts = []
         for i in range(len(words) - 2):
