@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before has kept, and is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of documents.
+
+Every stage takes empty tables (and gives none, or no rows), null and empty texts, repeated rows and further columns of any
+name. Null and empty texts score as the constant does in the first stage and fail the fixed rule of the second; rows without an
+id pass the others as documents of their own. Ties go to the lowest id. Very long texts are read whole, each in one task.
 """
 
 from __future__ import annotations
@@ -14,29 +18,35 @@ from marlpit.llm.tables import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7; the classifier learns from the labels of the tables given."""
+    """Documents whose toxicity score is below 0.7; the classifier learns from the labels of the tables given.
+
+    Without labels, or texts that bear them, the score is a constant below that, and all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the fixed rule nor the learnt decision list rejects."""
+    """Documents that neither the fixed rule nor the learnt decision list rejects; without labels the list is empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.learn(docs, labels))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are near copies of an earlier one; n_chars follows the text."""
+    """Documents without lines that are near copies of an earlier one; n_chars follows the text.
+
+    A document that loses all its lines stays, with an empty text; of rows that share an id and a text each keeps the same lines.
+    """
     return lines.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the least id; rows that share the id all stay."""
     return minhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, in sequences of at most 4096 tokens."""
+    """Pieces of the documents left, in sequences of at most 4096 tokens; a null or empty text is one piece, its end alone."""
     return packing.pack_documents(docs)
 
 
