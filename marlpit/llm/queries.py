@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import byte_bpe, chat, gif, lines, lm, minhash, packing, quality, token_counts, toxicity
+from marlpit.llm import byte_bpe, chat, gif, lines, lm, minhash, packing, quality, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of all usable vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    found = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.array(*(F.lit(v).cast("double") for v in model.explained)).cast("array<double>")
+    return found.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        explained[F.col("k")].alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_gif": op9_gif,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
 }
 
 #: DuckDB SQL for those that SQL can express.
