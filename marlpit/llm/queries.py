@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import byte_bpe, chat, gif, lines, lm, minhash, packing, quality, token_counts, toxicity, whitening
+from marlpit.llm import byte_bpe, chat, gif, lines, lm, minhash, packing, prefix_trie, quality, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt on the first one of their block."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif": op9_gif,
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: DuckDB SQL for those that SQL can express.
