@@ -144,5 +144,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_main_text": op13_main_text,
 }
 
+#: CRC-32 by its table: eight halvings for each byte's entry, then one look-up for each digit of the id.
+_CRC32 = """
+    WITH crc AS (
+        SELECT list(v ORDER BY i) AS entries FROM (
+            SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i)
+        )
+    )"""
+
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_prefix_trie": f"""{_CRC32},
+    own AS (
+        SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    convs AS (
+        SELECT c, n, c - c % 5 AS base,
+            xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+        FROM (SELECT c, count(*) AS n FROM own GROUP BY c), crc
+    ),
+    turns AS (
+        SELECT v.c, b.p AS d, b.role, b.text FROM convs v JOIN own b ON b.c = v.base AND b.p <= v.h
+        UNION ALL
+        SELECT v.c, least(v.h, coalesce(w.n, 0)) + o.p - v.h, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h LEFT JOIN convs w ON w.c = v.base
+    ),
+    -- a beginning's name is the digest of the name before it and of its last turn
+    steps AS (SELECT c, d, octet_length(encode(text)) AS size, sha256(length(role) || ':' || role || text) AS own FROM turns),
+    beginnings AS (
+        SELECT c, 0 AS d, 0 AS size, '' AS name FROM convs
+        UNION ALL
+        SELECT c, d, size, sha256(string_agg(own, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) FROM steps
+    ),
+    paths AS (SELECT c, d, size, min(c) OVER (PARTITION BY d, name) AS m, count(*) OVER (PARTITION BY d, name) AS n, max(d) OVER (PARTITION BY c) AS total FROM beginnings),
+    nodes AS (SELECT m, d, n, size, (SELECT min(u.m) FROM paths u WHERE u.c = paths.m AND u.d = paths.d - 1) AS parent FROM paths WHERE c = m),
+    offspring AS (SELECT parent AS m, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+    ended AS (SELECT m, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM paths WHERE d = total GROUP BY ALL),
+    each AS (SELECT n.*, coalesce(o.n_children, 0) AS n_children FROM nodes n LEFT JOIN offspring o USING (m, d)),
+    below AS (
+        SELECT a.m, a.d, sum((e.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((e.n - 1) * e.size)::BIGINT AS saved_tokens
+        FROM each e JOIN paths a ON a.c = e.m AND a.d <= e.d GROUP BY a.m, a.d
+    )
+    SELECT e.m AS conv_id, e.d AS depth, e.parent AS parent_conv_id, e.n AS n_convs, e.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+    FROM each e JOIN below b USING (m, d) LEFT JOIN ended x USING (m, d)
+    """,
+}

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -60,7 +61,13 @@ def test_trie_of_conversations(spark, small):
     rows = [tuple(r) for r in queries.table(spark, small, "conversations").select("conv_id", "turn", "role", "text").collect()]
     result = queries.op12_prefix_trie(spark, small)
     assert result.columns == list(prefix_trie.NODE)
-    assert order(tuple(r) for r in result.collect()) == order(expected(rows))
+    ours = order(tuple(r) for r in result.collect())
+    assert ours == order(expected(rows))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    theirs = db.sql(queries.ORACLES["op12_prefix_trie"])
+    assert theirs.columns == list(prefix_trie.NODE)
+    assert ours == order(theirs.fetchall())
 
 
 @pytest.mark.parametrize(("segment", "parts"), [(4096, "1"), (4096, "7"), (3, "2"), (1, "5"), (5, "16")])
