@@ -6,11 +6,13 @@ those ranges are looked at: as distinct values with counts, so that a value of v
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.scalar import bin_of, col
-from marlpit.sources.scratch import kept
+from marlpit.sources.scratch import kept, scratch
 
 #: Groups whose range ends may be sent to every executor: some 2 KB each.
 BROADCAST_GROUPS = 10_000
@@ -19,13 +21,19 @@ BROADCAST_GROUPS = 10_000
 def exact_quantiles(rows: DataFrame, by: list[str], shares: list[float], ranges: int = 256) -> DataFrame:
     """(by, quantiles): an array in the order of ``shares``, interpolated linearly between neighbours, for each group of (by, value).
 
-    Missing values are left out; a group without values has no row. ``by`` columns must not be null.
+    Missing values are left out; a group without values has no row. ``by`` columns must not be null. Values are dealt into ranges once and
+    written; those tables are deleted, and only the result's is left.
     """
+    with scratch(rows.sparkSession) as held:
+        return kept(_exact_quantiles(rows, by, shares, ranges, held))
+
+
+def _exact_quantiles(rows: DataFrame, by: list[str], shares: list[float], ranges: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     given = rows.filter("value is not null").select(*(col(b) for b in by), F.col("value").cast("double").alias("value"))
     ends = kept(given.groupBy(*by).agg(F.percentile_approx("value", [k / ranges for k in range(1, ranges)], 10_000).alias("_ends"), F.count("*").alias("_n")))
     groups = ends.count()
     ready = ends.select(*by, F.array_sort(F.array_distinct("_ends")).alias("_ends"))
-    dealt = given.join(F.broadcast(ready) if groups <= BROADCAST_GROUPS else ready, by).select(*by, "value", bin_of(F.col("value"), F.col("_ends")).alias("_range"))
+    dealt = kept(given.join(F.broadcast(ready) if groups <= BROADCAST_GROUPS else ready, by).select(*by, "value", bin_of(F.col("value"), F.col("_ends")).alias("_range")))
     sizes = kept(dealt.groupBy(*by, "_range").agg(F.count("*").alias("_size")))
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
     placed = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(below), F.lit(0)))
