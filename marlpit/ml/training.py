@@ -212,30 +212,33 @@ def score_linear(df: DataFrame, key: str, models: dict[str, dict[str, float]]) -
     return df.select(col(key).alias("record_id"), F.explode(F.array(*scores)).alias("s")).select("s.model_id", "record_id", "s.prediction")
 
 
-def score_models(df: DataFrame, key: str, models: dict[str, tuple[Model, list[str]]], persist: bool = True) -> DataFrame:
-    """Predictions of MLlib models over one persisted table; a model that can't be applied gives one row with its error.
+def score_models(df: DataFrame, key: str, models: dict[str, tuple[Model, list[str]]]) -> DataFrame:
+    """Predictions of MLlib models; a model that can't be applied gives one row with its error.
 
-    Classifiers give the chance of class 1 as probability, clusterers a cluster_id.
+    Classifiers give the chance of class 1 as probability, clusterers a cluster_id. Boosted trees and centres score the table in one pass for
+    all of them; a model of another kind takes a scan of its own.
     """
-    if persist:
-        df = df.persist()
-    out = None
+    from marlpit.ml import flat
+
+    kind = df.schema[key].dataType.simpleString()
+    ready, failed, others = {}, [], {}
     for name, (model, features) in models.items():
         try:
-            scored = model.transform(assemble(df, selected(df, features), [key]))
-            none = F.lit(None)
-            clusters = hasattr(model, "clusterCenters")
-            one = scored.select(
-                F.lit(name).alias("model_id"),
-                col(key).alias("record_id"),
-                (none if clusters else F.col("prediction")).cast("double").alias("prediction"),
-                (vector_to_array("probability")[1] if "probability" in scored.columns else none).cast("double").alias("probability"),
-                (F.col("prediction") if clusters else none).cast("int").alias("cluster_id"),
-                none.cast("string").alias("error"),
-            )
+            found = selected(df, features)
+            if getattr(model, "numFeatures", len(found)) != len(found):
+                raise ValueError(f"the table lacks {', '.join(f for f in features if f not in found)}")
+            arrays = flat.flat(model)
         except Exception as e:  # the others go on
-            one = df.sparkSession.range(1).select(F.lit(name).alias("model_id"), F.lit(None).cast("bigint").alias("record_id"), F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("int").alias("cluster_id"), F.lit(str(e)[:500]).alias("error"))
-        out = one if out is None else out.unionByName(one)
+            failed.append((name, None, None, None, None, str(e)[:500]))
+            continue
+        (others if arrays is None else ready)[name] = (model if arrays is None else arrays, found)
+    out = flat.score_flat(df, key, ready)
+    if failed:
+        out = out.unionByName(df.sparkSession.createDataFrame(failed, f"model_id string, record_id {kind}, prediction double, probability double, cluster_id int, error string"))
+    for name, (model, features) in others.items():
+        scored, none = model.transform(assemble(df, features, [key])), F.lit(None)
+        chance = vector_to_array("probability")[1] if "probability" in scored.columns else none
+        out = out.unionByName(scored.select(F.lit(name).alias("model_id"), col(key).alias("record_id"), F.col("prediction").cast("double").alias("prediction"), chance.cast("double").alias("probability"), none.cast("int").alias("cluster_id"), none.cast("string").alias("error")))
     return out
 
 

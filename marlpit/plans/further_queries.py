@@ -85,7 +85,7 @@ def clusters_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means of three groups that lie far apart: clusters are the groups."""
     given = table(spark, sf_dir, "customer").withColumn("group", F.col("c_custkey") % 3).withColumn("x", F.col("group") * 1_000_000 + F.col("c_acctbal"))
     models, results = training.train_all(spark, given, [{"model_id": "groups", "model_type": "kmeans", "features": ["x"], "parameters": {"n_clusters": 3}}], "c_custkey")
-    found = training.score_models(given, "c_custkey", {"groups": (models["groups"], ["x"])}, persist=False)
+    found = training.score_models(given, "c_custkey", {"groups": (models["groups"], ["x"])})
     held = found.join(given.select(F.col("c_custkey").alias("record_id"), "group"), "record_id")
     good = results.agg(F.min(F.when(F.col("metric") == "silhouette_score", F.col("value") > 0.99)).alias("apart"))
     return held.groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters")).crossJoin(good)  # one row
