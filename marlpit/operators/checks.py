@@ -111,18 +111,51 @@ def expect(df: DataFrame, rules: list[Rule], action: str = "keep") -> DataFrame:
 # ---------------------------------------------------------------- profiles
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, unique_count): how many different values each column has; missing ones, NaN among them, don't count.
+
+    Tasks make the pairs of column and value distinct before the one exchange that they take, so that a column of few values costs next to nothing
+    and one of many is spread over all tasks. Maps and variants, which can't be compared, give null.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    none = {"l": F.lit(None).cast("bigint"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+
+    def slot(k: int, c: str) -> Column:
+        kind, x = kinds[c], col(c)
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            own = {"l": x.cast("bigint")}
+        elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            own = {"d": number(c)}
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            own = {"l": F.unix_micros(x.cast("timestamp"))}
+        elif isinstance(kind, T.BinaryType):
+            own = {"s": F.hex(x)}
+        else:
+            own = {"s": F.to_json(F.struct(x.alias("v"))) if isinstance(kind, (T.ArrayType, T.StructType)) else x.cast("string")}
+        if isinstance(kind, (T.ArrayType, T.StructType)):
+            own = {"s": F.when(x.isNotNull(), own["s"])}
+        return F.struct(F.lit(k).alias("k"), *((none | own)[n].alias(n) for n in "lds"))
+
+    comparable = [k for k, c in enumerate(columns) if not isinstance(kinds[c], (T.MapType, T.VariantType))]
+    pairs = df.select(F.inline(F.array(*(slot(k, columns[k]) for k in comparable)))).distinct() if comparable else None
+    names = F.array(*map(F.lit, columns))
+    counted = pairs.groupBy("k").agg(F.count_if(F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), "s").isNotNull()).alias("u")) if pairs is not None else df.sparkSession.createDataFrame([], "k int, u bigint")
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("k"))
+    out = every.join(F.broadcast(counted), "k", "left")  # a row for each column
+    return out.select(F.get(names, "k").alias("feature"), F.when(F.col("k").isin(comparable), F.coalesce("u", F.lit(0))).alias("unique_count"))
+
+
 PROFILE = ("n", "nulls", "unique_count", "mean", "std", "min", "max", "zeros", "inf_count")
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, most_nulls: float = 0.1, exact: bool = True) -> DataFrame:
     """A row for each column: rates, distinct values, moments, zeros, infinities and issues.
 
-    Numbers' deviation is that of the sample, and a missing value isn't a zero. ``exact=False`` estimates distinct
-    values in bounded memory. All columns come from one aggregate.
+    Numbers' deviation is that of the sample, and a missing value isn't a zero. All columns come from one aggregate, and their distinct values from
+    :func:`distinct_counts`; ``exact=False`` estimates those within the aggregate.
     """
     columns = columns or df.columns
     kinds = {f.name: f.dataType for f in df.schema}
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     out = []
     for k, c in enumerate(columns):
         numeric = isinstance(kinds[c], T.NumericType)
@@ -132,7 +165,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, most_nulls: float =
         values = {
             "n": F.count("*"),
             "nulls": F.count_if(x.isNull()),
-            "unique_count": distinct(x) if not isinstance(kinds[c], (T.MapType, T.VariantType)) else F.lit(None).cast("bigint"),
+            "unique_count": F.lit(None).cast("bigint") if exact or isinstance(kinds[c], (T.MapType, T.VariantType)) else F.approx_count_distinct(x),
             "mean": F.avg(x) if numeric else none,
             "std": F.stddev_samp(x) if numeric else none,
             "min": F.min(x) if numeric else none,
@@ -144,6 +177,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, most_nulls: float =
     row = df.agg(*out)
     rows = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"{n}_{k}").alias(n) for n in PROFILE)) for k, c in enumerate(columns)))
     p = row.select(F.explode(rows).alias("p")).select("p.*")
+    if exact:
+        p = p.drop("unique_count").join(F.broadcast(distinct_counts(df, columns)), "feature")  # a row for each column
     rate = lambda x: F.try_divide(F.col(x), F.col("n"))
     p = p.select("feature", rate("nulls").alias("null_rate"), "unique_count", rate("unique_count").alias("unique_rate"), "mean", "std", "min", "max", rate("zeros").alias("zero_rate"), "inf_count")
     issues = F.array_compact(
@@ -175,9 +210,7 @@ def cardinality_change(reference: DataFrame, current: DataFrame, columns: list[s
     """(feature, before, after, change, flagged): how the number of distinct values has moved."""
     sides = []
     for name, df in (("before", reference), ("after", current)):
-        row = df.agg(*(F.count_distinct(col(c)).alias(f"d{k}") for k, c in enumerate(columns)))
-        pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"d{k}").alias(name)) for k, c in enumerate(columns)))
-        sides.append(row.select(F.explode(pairs).alias("p")).select("p.*"))
+        sides.append(distinct_counts(df, columns).withColumnRenamed("unique_count", name))
     both = sides[0].join(sides[1], "feature")
     change = F.try_divide(F.abs(F.col("after") - F.col("before")), F.col("before"))
     return both.select("feature", "before", "after", change.alias("change"), F.coalesce(change > most, F.lit(True)).alias("flagged"))

@@ -9,7 +9,7 @@ from marlpit.operators import layout
 from marlpit.operators.incremental import IncrementalFeatures
 from marlpit.plans.base import Query, rounded, table
 from marlpit.sources.scratch import new_folder
-from marlpit.streaming import ingest
+from marlpit.streaming import evolving, ingest
 from marlpit.streaming.keyed_table import KeyedTable, upsert_stream
 
 
@@ -72,7 +72,19 @@ def stream_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(held.read().drop("ts"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (zordered_reads, incremental_features, merged_on_read, stream_merge_on_read)}
+def stream_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines in three files: the second brings a column, the third values of a wrong type; through one checkpoint, no row lost."""
+    out = new_folder(spark, "evolving")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    wrong = F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    for rest, rows in enumerate((events.drop("event_type"), events, events.withColumn("value", wrong))):
+        rows.filter(F.col("event_id") % 3 == rest).coalesce(1).write.mode("append").json(f"{out}/landing")
+    restarts = evolving.append_evolving(spark, f"{out}/landing", f"{out}/bronze", f"{out}/checkpoint", files_per_trigger=1)
+    found = evolving.read_evolved(spark, f"{out}/bronze").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum("value").alias("total"), F.count("_rescued").alias("rescued"))
+    return rounded(found.withColumn("restarts", F.lit(restarts).cast("bigint")), 4)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (zordered_reads, stream_new_columns, incremental_features, merged_on_read, stream_merge_on_read)}
 
 
 def _narrow(key: str, parent: str, last: str) -> str:
@@ -96,5 +108,7 @@ ORACLES: dict[str, str] = {
     "zordered_reads": f"{_narrow('l_partkey', 'part', 'p_partkey')} UNION ALL {_narrow('l_suppkey', 'supplier', 's_suppkey')}",
     "incremental_features": f"""WITH {_LEFT} SELECT user_id, count(value) AS n, round(sum(value), 9) + 0.0 AS total, round(avg(value), 9) + 0.0 AS mean, round(min(value), 9) + 0.0 AS low, round(max(value), 9) + 0.0 AS high FROM l GROUP BY user_id""",
     "merged_on_read": f"WITH {_LEFT} SELECT event_id, user_id, round(value, 6) + 0.0 AS value, seq::BIGINT AS seq FROM l",
+    "stream_new_columns": """SELECT CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(coalesce(value, 0)) FILTER (NOT (event_id % 3 = 2 AND event_id % 7 = 0)), 4) + 0.0 AS total,
+        count(*) FILTER (event_id % 3 = 2 AND event_id % 7 = 0) AS rescued, 2::BIGINT AS restarts FROM events GROUP BY 1""",
     "stream_merge_on_read": "SELECT event_id, user_id, event_type, round(value, 6) + 0.0 AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
 }
