@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlpit.functions.scalar import col, filled, flag, hex_hash, long_form, number, numeric_columns, parsed_time
+from marlpit.functions.scalar import bin_of, col, filled, flag, hex_hash, long_form, number, numeric_columns, parsed_time
 from marlpit.operators.quantiles import exact_quantiles
 from marlpit.sources.scratch import kept
 
@@ -322,8 +322,6 @@ def robust_scale(df: DataFrame, columns: list[str], keep: Iterable[str] = (), ex
 def quantile_bins(df: DataFrame, columns: list[str], bins: int = 10, keep: Iterable[str] = (), exact: bool = True) -> DataFrame:
     """The bin of each value, from 0, by the table's inner quantiles; null stays null."""
     q = quantile_edges(df, columns, [k / bins for k in range(1, bins)], exact)
-    from marlpit.functions.scalar import bin_of
-
     edges = {c: F.array(*(F.lit(e) for e in sorted(set(q[c])))) for c in columns}
     return df.select(*(col(k) for k in keep), *(F.when(number(c).isNotNull(), bin_of(number(c), edges[c])).alias(f"{c}_bin") for c in columns))
 
@@ -335,20 +333,78 @@ def polynomial(df: DataFrame, columns: list[str], keep: Iterable[str] = ()) -> D
     return df.select(*(col(k) for k in keep), *out)
 
 
-def lags(df: DataFrame, key: str, order: list[str], value: str, periods: Iterable[int] = (1, 7, 30)) -> DataFrame:
-    """``df`` with the key's value so many rows before."""
-    w = Window.partitionBy(col(key)).orderBy(*(col(o) for o in order))
-    return df.select("*", *(F.lag(col(value), n).over(w).alias(f"{value}_lag_{n}") for n in periods))
+#: Rows from which a key is dealt into ranges, and ranges of such a key.
+HOT_ROWS, HOT_RANGES = 1_000_000, 64
+
+
+def _split_hot(df: DataFrame, key: str, most_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of other keys, rows of keys of more than ``most_rows``); None if there are no such keys. Those are few by their definition."""
+    counts = df.groupBy(col(key).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most_rows)
+    if counts.isEmpty():
+        return None
+    hot = kept(counts.select("_hot"))
+    same = col(key).eqNullSafe(F.col("_hot"))
+    return df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
 
 
-def rolling(df: DataFrame, key: str, time: str, value: str, days: Iterable[int] = (7, 30, 90)) -> DataFrame:
-    """``df`` with the key's mean and number of values in the days up to each row, that instant included."""
-    at = F.unix_micros(col(time).cast("timestamp"))
-    out = []
-    for n in days:
-        w = Window.partitionBy(col(key)).orderBy(at).rangeBetween(-n * 86_400_000_000, 0)
-        out += [F.avg(col(value)).over(w).alias(f"{value}_mean_{n}d"), F.count(col(value)).over(w).alias(f"{value}_count_{n}d")]
-    return df.select("*", *out)
+def lags(df: DataFrame, key: str, order: list[str], value: str, periods: Iterable[int] = (1, 7, 30), most_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with the key's value so many rows before.
+
+    Keys of more than ``most_rows`` are cut into blocks of as many rows by place in their order; a block gets the last rows of the one before, as many
+    as the longest period, so that no task has such a key to itself.
+    """
+    periods = list(periods)
+    split = _split_hot(df, key, most_rows) if periods else None
+
+    def lagged(rows: DataFrame, by: list[Column], at: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*at)
+        return rows.select("*", *(F.lag(col(value), n).over(w).alias(f"{value}_lag_{n}") for n in periods))
+
+    if split is None:
+        return lagged(df, [col(key)], [col(o) for o in order])
+    cold, hot = split
+    # places: within a range of the order by a window, before it by the counts of earlier ranges of the key, of which each has one at most
+    laid = kept(hot.repartitionByRange(HOT_RANGES, col(key), *(col(o) for o in order)).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = laid.groupBy(col(key).alias("_key"), "_part").agg(F.count("*").alias("_n")).select("_key", F.col("_part").alias("_of"), F.sum("_n").over(before).alias("_earlier")).filter("_earlier > 0")
+    own = F.row_number().over(Window.partitionBy(col(key), "_part").orderBy(*(col(o) for o in order)))
+    placed = laid.withColumn("_own", own).join(F.broadcast(earlier), col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
+    size = max(most_rows, *periods)
+    place = F.col("_own") + F.coalesce("_earlier", F.lit(0)) - 1
+    placed = placed.withColumn("_place", place).withColumn("_block", F.expr(f"_place div {size}"))
+    halo = F.when(F.col("_place") % size >= size - max(periods), F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))
+    spread = placed.withColumn("_in", F.explode(halo))
+    done = lagged(spread, [col(key), F.col("_in")], [F.col("_place")]).filter("_in = _block")
+    columns = [*(col(c) for c in df.columns), *(F.col(f"`{value}_lag_{n}`") for n in periods)]
+    return lagged(cold, [col(key)], [col(o) for o in order]).unionByName(done.select(*columns))
+
+
+def rolling(df: DataFrame, key: str, time: str, value: str, days: Iterable[int] = (7, 30, 90), most_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with the key's mean and number of values in the days up to each row, that instant included.
+
+    Keys of more than ``most_rows`` are dealt into ranges of time of about as many rows each; a row goes to those later ranges too that begin within the longest
+    window after it. A row is so copied as often as ranges begin within that time.
+    """
+    at, days = F.unix_micros(col(time).cast("timestamp")), list(days)
+    split = _split_hot(df, key, most_rows) if days else None
+
+    def rolled(rows: DataFrame, by: list[Column]) -> DataFrame:
+        out = []
+        for n in days:
+            w = Window.partitionBy(*by).orderBy(at).rangeBetween(-n * 86_400_000_000, 0)
+            out += [F.avg(col(value)).over(w).alias(f"{value}_mean_{n}d"), F.count(col(value)).over(w).alias(f"{value}_count_{n}d")]
+        return rows.select("*", *out)
+
+    if split is None:
+        return rolled(df, [col(key)])
+    cold, hot = split
+    ends = hot.groupBy(col(key).alias("_key")).agg(F.array_distinct(F.percentile_approx(at, [k / HOT_RANGES for k in range(1, HOT_RANGES)], 1_000)).alias("_ends"))
+    placed = hot.join(F.broadcast(ends), col(key).eqNullSafe(F.col("_key")))
+    none = F.lit(0)
+    placed = placed.withColumn("_own", F.coalesce(bin_of(at, F.col("_ends")), none)).withColumn("_last", F.coalesce(bin_of(at + max(days) * 86_400_000_000, F.col("_ends")), none))
+    spread = placed.withColumn("_in", F.explode(F.sequence("_own", "_last"))).drop("_ends", "_key", "_last")
+    done = rolled(spread, [col(key), F.col("_in")]).filter("_in = _own").drop("_in", "_own")
+    return rolled(cold, [col(key)]).unionByName(done)
 
 
 def target_encode(df: DataFrame, column: str, target: str) -> DataFrame:

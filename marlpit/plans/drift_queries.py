@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.ml import training
-from marlpit.operators import checks, drift, monitoring
+from marlpit.operators import checks, drift, monitoring, sketches
 from marlpit.plans.base import CUT_DAY, Query, orders_sides, rounded, table
+from marlpit.sources.scratch import new_folder
 
 COLUMNS = ["o_totalprice", "o_custkey"]
 #: Fixed linear models of order lines; the last predicts one value.
@@ -56,6 +57,21 @@ def _shifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return before, after.withColumn("o_totalprice", F.col("o_totalprice") * 1.5)
 
 
+def stored_sketch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift between years of orders from sketches of each month that were written before, against the exact measures of the rows."""
+    before, after = _shifted(spark, sf_dir)
+    rows = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1))).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    path = new_folder(spark, "sketches")
+    sketches.save(sketches.sketch(rows, COLUMNS, ["side", "month"]), path, "v1")
+    held = sketches.load(spark, path, "v1")
+    one, two = (sketches.merge(held.filter(F.col("side") == k)) for k in (0, 1))
+    found = sketches.drift(one, two)
+    exact = drift.psi(before, after, COLUMNS).withColumnRenamed("psi", "exact_psi").join(drift.ks(before, after, COLUMNS).select("feature", F.col("ks_statistic").alias("exact_ks")), "feature")
+    near = lambda a, b, most: F.abs(F.col(a) - F.col(b)) < most
+    out = found.join(exact, "feature").select("feature", "ref_n", "cur_n", "ref_mean", "cur_mean", near("psi", "exact_psi", 0.05).alias("psi_near"), near("ks_statistic", "exact_ks", 2 * sketches.RANK_ERROR).alias("ks_near"))
+    return rounded(out, 4)
+
+
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.drift_summary(drift.drift_table(*_shifted(spark, sf_dir), COLUMNS)))
 
@@ -104,7 +120,7 @@ def monitoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (psi_exact, psi_approximate, psi_histogram, ks_drift, wasserstein, mean_shift, drift_summary, drift_alerts, chi2_drift, cardinality_change, prediction_stats, prediction_distribution, inference_summary, cluster_sizes, monitoring_run)
+    for f in (stored_sketch_drift, psi_exact, psi_approximate, psi_histogram, ks_drift, wasserstein, mean_shift, drift_summary, drift_alerts, chi2_drift, cardinality_change, prediction_stats, prediction_distribution, inference_summary, cluster_sizes, monitoring_run)
 }
 
 _SIDES = f"SELECT *, (o_orderdate >= TIMESTAMP '{CUT_DAY}')::INT AS side FROM orders"
@@ -141,6 +157,8 @@ def _change(c: str) -> str:
 ORACLES: dict[str, str] = {
     "psi_exact": f"WITH {_long()}, {_PSI} SELECT feature, round(psi, 8) AS psi FROM psi",
     "psi_histogram": f"WITH {_long()}, {_PSI} SELECT feature, bin::BIGINT AS bin, r AS ref_n, c AS cur_n FROM a WHERE feature = 'o_totalprice'",
+    "stored_sketch_drift": f"""WITH {_long('1.5')} SELECT feature, count(*) FILTER (side = 0) AS ref_n, count(*) FILTER (side = 1) AS cur_n, round(avg(v) FILTER (side = 0), 4) AS ref_mean, round(avg(v) FILTER (side = 1), 4) AS cur_mean,
+        true AS psi_near, true AS ks_near FROM l GROUP BY feature""",
     "ks_drift": f"WITH {_long()}, {_KS} SELECT feature, round(ks_statistic, 8) AS ks_statistic, round(ks_pvalue, 8) AS ks_pvalue FROM ks",
     "wasserstein": f"WITH {_long()}, {_KS}, n AS (SELECT feature, abs(fr - fc) * (lead(v) OVER (PARTITION BY feature ORDER BY v) - v) AS part FROM f) SELECT feature, round(sum(part), 3) AS wasserstein FROM n GROUP BY feature",
     "mean_shift": f"WITH {_long()} SELECT feature, round(avg(v) FILTER (side = 0), 5) AS ref_mean, round(avg(v) FILTER (side = 1), 5) AS cur_mean, round(abs(avg(v) FILTER (side = 1) - avg(v) FILTER (side = 0)) / (stddev_pop(v) FILTER (side = 0) + 1e-8), 5) AS mean_shift FROM l GROUP BY feature",

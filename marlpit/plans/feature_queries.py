@@ -117,9 +117,20 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    found = features.rolling(events, "user_id", "ts", "value").drop("ts")
-    # means of two-digit values often end in a five; a little more takes all of them up
-    return rounded(found.withColumns({c: F.col(c) + 1e-9 for c in found.columns if "_mean_" in c}))
+    return rounded(features.rolling(events, "user_id", "ts", "value").drop("ts"), 9)
+
+
+def lags_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags over all events as one key, in blocks of a thousand rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.lit(0).alias("one"))
+    return rounded(features.lags(events, "one", ["ts", "event_id"], "value", most_rows=1000).drop("ts", "one"))
+
+
+def rolling_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over all events as one key, in ranges of time; counts of values and of those above ten."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.lit("all").alias("one"), (F.col("value") > 10).cast("int").alias("high"))
+    found = features.rolling(events, "one", "ts", "high", days=(1, 7), most_rows=1000)
+    return rounded(found.drop("ts", "one"), 9)
 
 
 def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +187,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         numeric_features, standard_scale, interactions, label_encode, label_encode_unseen, frequency_encode, temporal_features, variance_topk, anova_f_topk, regression_f_topk, feature_pipeline,
-        expectations, expectation_tally, quality_profile, range_violations, referential_integrity, volume_by_segment, lag_features, rolling_features, target_encode, woe_encode, hash_bucket_count,
+        expectations, expectation_tally, quality_profile, range_violations, referential_integrity, volume_by_segment, lag_features, rolling_features, lags_of_one_key, rolling_of_one_key, target_encode, woe_encode, hash_bucket_count,
         min_max_scale, robust_scale, quantile_bins, polynomial, one_hot, correlations, mutual_information, term_weights,
     )
 }
@@ -262,10 +273,15 @@ ORACLES: dict[str, str] = {
     "volume_by_segment": "SELECT event_type AS segment, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, count(*) AS rows, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY 1, 2",
     "lag_features": "SELECT event_id, user_id, round(value, 6) AS value, " + ", ".join(f"round(lag(value, {n}) OVER w, 6) AS value_lag_{n}" for n in (1, 7, 30)) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "hash_bucket_count": "SELECT ('0x' || substr(md5(c_name), 1, 8))::BIGINT % 100 AS c_name_bucket, count(*) AS n FROM customer GROUP BY 1",
-    "rolling_features": "SELECT event_id, user_id, round(value, 6) AS value, "
-    + ", ".join(f"round(avg(value) OVER w{n} + 1e-9, 6) AS value_mean_{n}d, count(value) OVER w{n} AS value_count_{n}d" for n in (7, 30, 90))
+    "rolling_features": "SELECT event_id, user_id, round(value, 9) AS value, "
+    + ", ".join(f"round(avg(value) OVER w{n}, 9) AS value_mean_{n}d, count(value) OVER w{n} AS value_count_{n}d" for n in (7, 30, 90))
     + " FROM events WINDOW "
     + ", ".join(f"w{n} AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND CURRENT ROW)" for n in (7, 30, 90)),
+    "lags_of_one_key": "SELECT event_id, round(value, 6) AS value, " + ", ".join(f"round(lag(value, {n}) OVER w, 6) AS value_lag_{n}" for n in (1, 7, 30)) + " FROM events WINDOW w AS (ORDER BY ts, event_id)",
+    "rolling_of_one_key": "SELECT event_id, (value > 10)::INT AS high, "
+    + ", ".join(f"round(avg((value > 10)::INT) OVER w{n}, 9) AS high_mean_{n}d, count((value > 10)::INT) OVER w{n} AS high_count_{n}d" for n in (1, 7))
+    + " FROM events WINDOW "
+    + ", ".join(f"w{n} AS (ORDER BY ts RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND CURRENT ROW)" for n in (1, 7)),
     "target_encode": "SELECT o_orderpriority AS value, count(*) AS n, round(avg(o_totalprice), 4) AS target_mean FROM orders GROUP BY 1",
     "woe_encode": """WITH c AS (SELECT o_orderpriority AS value, count(*) FILTER (o_orderstatus = 'F') AS events, count(*) FILTER (o_orderstatus <> 'F') AS others FROM orders GROUP BY 1),
         s AS (SELECT *, (events + 0.5) / (sum(events) OVER () + 0.5) AS g, (others + 0.5) / (sum(others) OVER () + 0.5) AS b FROM c)
