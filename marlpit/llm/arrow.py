@@ -68,11 +68,16 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(words, codes, offsets)
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``flat[starts[i] : starts[i] + lengths[i]]`` for all i, one after another."""
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]`` to ``starts[i] + lengths[i]`` for all i, one after another."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``flat[starts[i] : starts[i] + lengths[i]]`` for all i, one after another."""
+    return flat[places(starts, lengths)]
 
 
 def ragged_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -244,6 +244,8 @@ def colour_histogram(rgba: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- columns
 
+#: Bytes of pixels that a batch of frames may have, but for one frame, and pixels of all frames of one value.
+FRAME_BYTES, VALUE_PIXELS = 64 << 20, 1 << 28
 FRAMES = "id bigint, frame int, delay_ms int, width int, height int, rgba binary, colours array<bigint>, error string"
 
 
@@ -251,19 +253,24 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     """One row for each frame of each GIF: its delay, composited pixels and colour histogram.
 
     Null and empty values have no frames. A value that can't be read gives the frames before the fault, then one
-    row with ``error`` set and ``frame`` null; other rows go on. Repeated rows give repeated frames.
+    row with ``error`` set and ``frame`` null; other rows go on. So does one whose frames have more than ``VALUE_PIXELS`` pixels together, which a few
+    bytes can say. Frames are given in batches of about ``FRAME_BYTES``. Repeated rows give repeated frames.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = []
+                found, held, pixels = [], 0, 0
                 try:
                     for k, f in enumerate(read(raw) if raw else ()):
-                        found.append((key, k, f.delay_ms, f.width, f.height, f.rgba.tobytes(), colour_histogram(f.rgba).tolist(), None))
-                        if len(found) >= 16:
+                        pixels += f.width * f.height
+                        if pixels > VALUE_PIXELS:
+                            raise ValueError(f"frames have more than {VALUE_PIXELS} pixels")
+                        if found and held + f.rgba.nbytes > FRAME_BYTES:
                             yield _rows(found)
-                            found = []
+                            found, held = [], 0
+                        found.append((key, k, f.delay_ms, f.width, f.height, f.rgba.tobytes(), colour_histogram(f.rgba).tolist(), None))
+                        held += f.rgba.nbytes
                 except (ValueError, IndexError, struct.error, MemoryError) as e:
                     found.append((key, None, None, None, None, None, None, str(e)))
                 if found:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from marlpit.llm.arrow import gather
+from marlpit.llm.arrow import gather, places
 from marlpit.llm.arrow import text_bytes as arrow_bytes
 from marlpit.llm.merges import Merges, byte_letters
 
@@ -38,49 +38,49 @@ def load(name: str):
 
 
 class WordCache:
-    """Ids of words met before in this worker process. Emptied when it holds ``most`` words, so memory is bounded."""
+    """Ids of words met before in this worker process. Emptied before it would hold more than ``most`` words or ``most_ids`` ids; words longer than
+    ``longest`` and their ids aren't kept at all, so that memory is bounded whatever the texts are."""
 
-    def __init__(self, most: int = 250_000, longest: int = 64):
-        self.most, self.longest = most, longest
+    def __init__(self, most: int = 250_000, longest: int = 64, most_ids: int = 4_000_000):
+        self.most, self.longest, self.most_ids = most, longest, most_ids
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def look_up(self, words: list, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of distinct words; ``encode`` is asked for the new ones. Long words are not kept."""
-        if len(self.slot) + len(words) > self.most:
-            self.clear()
+        """(ids, lengths) of distinct words; ``encode`` is asked for the new ones."""
         get = self.slot.get
         slots = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(slots < 0)
+        new, old = np.flatnonzero(slots < 0), np.flatnonzero(slots >= 0)
         fresh = [words[k] for k in new.tolist()]
         new_ids, new_sizes = encode(fresh) if fresh else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        flat = np.concatenate([self.ids[: self.used], new_ids])
-        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        old = slots >= 0
-        starts[old], sizes[old] = self.start[slots[old]], self.size[slots[old]]
-        at = np.cumsum(new_sizes) - new_sizes
-        starts[new], sizes[new] = self.used + at, new_sizes
-        ids = gather(flat, starts, sizes)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[old], sizes[new] = self.size[slots[old]], new_sizes
+        begins, at = np.cumsum(sizes) - sizes, np.cumsum(new_sizes) - new_sizes
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        ids[places(begins[old], sizes[old])] = self.ids[places(self.start[slots[old]], sizes[old])]
+        ids[places(begins[new], new_sizes)] = new_ids
         self._keep(fresh, new_ids, at, new_sizes)
         return ids, sizes
 
     def _keep(self, words: list, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
-        if len(self.slot) + len(words) > self.most:
+        short = [k for k, w in enumerate(words) if len(w) <= self.longest]
+        own = gather(ids, at[short], sizes[short])
+        if len(self.slot) + len(short) > self.most or self.used + len(own) > self.most_ids:
+            self.clear()
+        if len(short) > self.most or len(own) > self.most_ids:
             return
-        n, m = len(self.slot), len(self.slot) + len(words)
+        n, m = len(self.slot), len(self.slot) + len(short)
         if m > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * m), np.resize(self.size, 2 * m)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-        short = [k for k, w in enumerate(words) if len(w) <= self.longest]
-        m = n + len(short)
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[n:m], self.size[n:m] = self.used + at[short], sizes[short]
-        self.used += len(ids)
+        if self.used + len(own) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(own)))
+        self.ids[self.used : self.used + len(own)] = own
+        self.start[n:m], self.size[n:m] = self.used + np.cumsum(sizes[short]) - sizes[short], sizes[short]
+        self.used += len(own)
         self.slot.update(zip([words[k] for k in short], range(n, m), strict=True))
 
 

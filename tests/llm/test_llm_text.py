@@ -47,6 +47,26 @@ def test_by_bytes_covers_all_rows_once():
     assert all(len(p) == 1 or sum(map(len, p)) <= 8 for p in parts)
 
 
+def test_long_words_fill_no_cache(word_bpe):
+    """Texts without spaces: their ids are the library's, and nothing of them is kept."""
+    draw = np.random.default_rng(5)
+    words = ["".join(chr(c) for c in draw.integers(0x4E00, 0x9000, 100)) for _ in range(10_000)]
+    cache = tokenizer.WordCache()
+    encode = lambda new: tokenizer.by_library("word_bpe_49k.json", new)
+    for at in range(0, len(words), 1000):
+        ids, sizes = cache.look_up(words[at : at + 1000], encode)
+        if at == 3000:
+            assert ids.tolist() == sum((x.ids for x in word_bpe.encode_batch(words[3000:4000], add_special_tokens=False)), [])
+    assert cache.used == 0 and not cache.slot and len(cache.ids) == 1 << 16
+    # short words are kept up to the bound of ids, mixed with long ones and met again
+    small = tokenizer.WordCache(most=100, longest=5, most_ids=60)
+    for k in range(50):
+        some = [f"w{k}", f"w{k % 7}x", "長い言葉です" * 3] if k % 7 != k else [f"w{k}"]
+        ids, sizes = small.look_up(some, encode)
+        assert ids.tolist() == sum((x.ids for x in word_bpe.encode_batch(some, add_special_tokens=False)), [])
+        assert small.used <= 60 and sizes.sum() == len(ids)
+
+
 def test_token_counts_are_the_librarys(spark, word_bpe):
     found = {r.doc_id: r for r in token_counts.count_tokens(odd(spark)).collect()}
     for k, t in enumerate(ODD):
@@ -347,6 +367,19 @@ def test_frames_of_a_column(spark):
     assert gif.frames(df.limit(0)).count() == 0
 
 
+def test_frames_of_many_large_screens_come_in_small_batches(spark, monkeypatch):
+    """A screen of 2048 x 2048 with frames of one pixel: a few hundred bytes that say 16 MB of pixels each."""
+    monkeypatch.setattr(gif, "VALUE_PIXELS", 5 << 22)
+    one = gif.write(bytes(64), 64)
+    body = one[13 + 768 : -1]
+    screen = b"GIF89a" + struct.pack("<HHBBB", 2048, 2048, 0xF7, 0, 0) + one[13 : 13 + 768]
+    df = spark.createDataFrame([(1, screen + body * 3 + b"\x3b"), (2, screen + body * 9 + b"\x3b"), (3, one)], "doc_id bigint, media binary")
+    rows = gif.frames(df.coalesce(1)).drop("rgba").collect()
+    by = {k: [r for r in rows if r.id == k] for k in (1, 2, 3)}
+    assert [len(by[k]) for k in (1, 2, 3)] == [3, 6, 1]
+    assert "pixels" in by[2][-1].error and by[2][-1].frame is None and all(r.error is None for r in by[1] + by[3] + by[2][:-1])
+
+
 def test_frames_of_hostile_headers(spark):
     """A few bytes that claim a huge screen or frame give an error row; no task runs out of memory."""
     screen = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
