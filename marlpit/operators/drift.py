@@ -29,34 +29,34 @@ def tagged(reference: DataFrame, current: DataFrame, columns: list[str]) -> Data
     return one.unionByName(two).filter("value is not null")
 
 
-def quantile_table(reference: DataFrame, columns: list[str], bins: int, mode: str) -> DataFrame:
-    """(feature, edges): the sorted distinct inner quantiles of the reference."""
+def quantile_table(reference: DataFrame, columns: list[str], bins: int, mode: str, accuracy: int = 10_000) -> DataFrame:
+    """(feature, edges): the sorted distinct inner quantiles of the reference; approximate ones are wrong by one in ``accuracy`` ranks at most."""
     shares = [k / bins for k in range(1, bins)]
     if mode == "exact":
         found = exact_quantiles(long_form(reference.select(*(col(c) for c in columns)), columns), ["feature"], shares)
         return found.select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
-    row = reference.agg(*(F.percentile_approx(number(c), shares, 10_000).alias(f"q{k}") for k, c in enumerate(columns)))
+    row = reference.agg(*(F.percentile_approx(number(c), shares, accuracy).alias(f"q{k}") for k, c in enumerate(columns)))
     rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.array_sort(F.array_distinct(f"q{k}")).alias("edges")) for k, c in enumerate(columns)))
     return row.select(F.explode(rows).alias("p")).select("p.*")
 
 
-def histogram(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, mode: str = "exact") -> DataFrame:
+def histogram(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, mode: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """(feature, bin, ref_n, cur_n, bins): counts by the reference's quantile bins, those without rows included."""
-    edges = quantile_table(reference, columns, bins, mode).filter("edges is not null")
+    edges = quantile_table(reference, columns, bins, mode, accuracy).filter("edges is not null")
     values = tagged(reference, current, columns).join(F.broadcast(edges), "feature")  # a row for each column
     counts = values.groupBy("feature", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count_if(F.col("side") == 0).alias("ref_n"), F.count_if(F.col("side") == 1).alias("cur_n"))
     every = edges.select("feature", (F.size("edges") + 1).alias("bins"), F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     return every.join(counts, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("ref_n", F.lit(0)).alias("ref_n"), F.coalesce("cur_n", F.lit(0)).alias("cur_n"), "bins")
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, mode: str = "exact") -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, mode: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """(feature, psi): the population stability index. Features without values on either side are left out.
 
     ``exact``: the reference's quantiles, and one added to each count. ``approx``: approximate quantiles, no
     smoothing, and a share of 0.001 where a bin is empty.
     """
     columns = columns or shared_features(reference, current)
-    counts = histogram(reference, current, columns, bins, mode)
+    counts = histogram(reference, current, columns, bins, mode, accuracy)
     own = counts.groupBy("feature").agg(F.sum("ref_n").alias("ref_all"), F.sum("cur_n").alias("cur_all")).filter("ref_all > 0 and cur_all > 0")
     held = counts.join(F.broadcast(own), "feature")
     if mode == "exact":

@@ -441,12 +441,23 @@ def hash_if_many(df: DataFrame, column: str, most: int = 50, buckets: int = 100)
 
 
 def term_weights(df: DataFrame, text: str, key: str, features: int = 1 << 18) -> DataFrame:
-    """key and tfidf: hashed term frequencies times inverse document frequencies, by MLlib."""
-    from pyspark.ml.feature import IDF, HashingTF
+    """(key, buckets, counts, tfidf): the buckets of each text's words in order, how often each comes, and counts times inverse document frequencies.
 
-    words = df.select(col(key), F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"\W+"), lambda w: w != "").alias("_words"))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(words)
-    return IDF(inputCol="_tf", outputCol="tfidf").fit(counted).transform(counted).select(col(key), "tfidf")
+    A word is a run of ASCII letters, digits and underscores of the lower-cased text; its bucket is the first 32 bits of its MD5 by ``features``. The
+    inverse frequency is ``ln((texts + 1) / (texts with the bucket + 1))``. Rows of one key are one text; null and empty texts have no buckets.
+    Words are counted by key and bucket before anything is gathered; the one table that is sent to the executors has ``features`` rows at most.
+    """
+    own = df.select(col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text"))
+    words = own.select("_key", F.explode(F.split(F.lower("_text"), r"\W+")).alias("_word")).filter("_word <> ''")
+    bucket = F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("bigint") % features
+    counted = words.groupBy("_key", bucket.cast("int").alias("_bucket")).agg(F.count("*").alias("_n"))
+    texts = own.select("_key").distinct().agg(F.count("*").alias("_texts"))
+    rarity = counted.groupBy("_bucket").agg(F.count("*").alias("_in")).crossJoin(F.broadcast(texts)).select("_bucket", F.ln((F.col("_texts") + 1) / (F.col("_in") + 1)).alias("_idf"))
+    weighed = counted.join(F.broadcast(rarity), "_bucket").select("_key", F.struct(F.col("_bucket").alias("b"), F.col("_n").alias("n"), (F.col("_n") * F.col("_idf")).alias("w")).alias("_t"))
+    held = weighed.groupBy("_key").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    held = held.withColumnRenamed("_key", "_of")
+    every = own.select("_key").distinct().join(held, F.col("_key").eqNullSafe(F.col("_of")), "left").select(F.col("_key").alias(key), F.coalesce("_ts", F.array().cast("array<struct<b:int,n:bigint,w:double>>")).alias("_ts"))
+    return every.select(col(key), F.col("_ts.b").alias("buckets"), F.col("_ts.n").alias("counts"), F.col("_ts.w").alias("tfidf"))
 
 
 def drop_constant(df: DataFrame, columns: list[str], least: float = 0.01) -> list[str]:

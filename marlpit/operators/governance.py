@@ -62,13 +62,22 @@ def pii_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return found.withColumn("rate", F.coalesce(F.try_divide(F.col("hits"), F.col("present")), F.lit(0.0)))
 
 
+def sampled_pii_rates(df: DataFrame, rows: int) -> DataFrame:
+    """As :func:`pii_rates`, of the first ``rows`` values of each string column that aren't missing."""
+    columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    out = pii_rates(df.select(), [])
+    for c in columns:
+        out = out.unionByName(pii_rates(df.select(col(c)).filter(col(c).isNotNull()).limit(rows), [c]))
+    return out
+
+
 def detect_pii(df: DataFrame, threshold: float = 0.1, sample_rows: int | None = None) -> dict[str, list[str]]:
     """Categories of each column that has any: by its name first, then those that more than the threshold of its values match.
 
-    All rows are looked at unless ``sample_rows`` asks for fewer.
+    All rows are looked at unless ``sample_rows`` asks for so many values of each column; missing ones aren't among them.
     """
     found = hinted(df.columns)
-    rows = pii_rates(df.limit(sample_rows) if sample_rows else df).filter(F.col("hits") > threshold * F.col("present")).collect()
+    rows = (sampled_pii_rates(df, sample_rows) if sample_rows else pii_rates(df)).filter(F.col("hits") > threshold * F.col("present")).collect()
     order = list(PATTERNS)
     for r in sorted(rows, key=lambda r: (df.columns.index(r.column), order.index(r.category))):
         if r.category not in found.setdefault(r.column, []):
@@ -113,6 +122,27 @@ def compliance_report(df: DataFrame, dataset: str = "unnamed", threshold: float
     )
 
 
+def dataset_summary(df: DataFrame, dataset: str = "unnamed", threshold: float = 0.1, audit: DataFrame | None = None, last: int = 10) -> DataFrame:
+    """One row about a whole table: rows, columns, cells that are missing, different rows, columns that hold personal data and the class that gives it.
+
+    With ``audit`` (entries with ``entry_id`` and ``operation``), also the operations of the ``last`` entries, latest first.
+    """
+    report = compliance_report(df, dataset, threshold)
+    cells = [F.count_if(col(c).isNull()) for c in df.columns]
+    missing = cells[0]
+    for c in cells[1:]:
+        missing = missing + c
+    row = df.agg(F.count("*").alias("rows"), F.try_divide(missing, F.count("*") * len(df.columns)).alias("missing_rate"))
+    different = df.distinct().agg(F.count("*").alias("different_rows"))
+    held = report.agg(F.count("*").alias("columns"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_pii"), F.col("column")))), ",").alias("pii_columns"), F.first("classification").alias("classification"))
+    out = row.crossJoin(different).crossJoin(held).withColumn("dataset", F.lit(dataset))  # one row each
+    if audit is not None:
+        some = audit.orderBy(F.desc("entry_id")).limit(last)
+        names = some.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("entry_id", "operation")))), lambda e: e["operation"]), ",").alias("last_operations"))
+        out = out.crossJoin(names)
+    return out
+
+
 # ---------------------------------------------------------------- erasure
 
 

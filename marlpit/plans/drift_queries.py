@@ -31,8 +31,8 @@ def psi_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psi_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drift.psi(*orders_sides(spark, sf_dir), COLUMNS, mode="approx")
-    return found.withColumn("band", drift.psi_band(F.col("psi")))
+    found = drift.psi(*_shifted(spark, sf_dir), COLUMNS, mode="approx", accuracy=100_000)
+    return rounded(found.withColumn("band", drift.psi_band(F.col("psi"))), 8)
 
 
 def psi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,9 @@ def _change(c: str) -> str:
 
 ORACLES: dict[str, str] = {
     "psi_exact": f"WITH {_long()}, {_PSI} SELECT feature, round(psi, 8) AS psi FROM psi",
+    "psi_approximate": f"""WITH {_long('1.5')}, {_PSI.replace('quantile_cont', 'quantile_disc')}, p AS (SELECT feature, CASE WHEN r > 0 THEN r / rn ELSE 0.001 END AS p, CASE WHEN c > 0 THEN c / cn ELSE 0.001 END AS q FROM a JOIN t USING (feature)),
+        i AS (SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM p GROUP BY feature)
+        SELECT feature, round(psi, 8) + 0.0 AS psi, CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.2 THEN 'moderate' WHEN psi < 0.5 THEN 'significant' ELSE 'severe' END AS band FROM i""",
     "psi_histogram": f"WITH {_long()}, {_PSI} SELECT feature, bin::BIGINT AS bin, r AS ref_n, c AS cur_n FROM a WHERE feature = 'o_totalprice'",
     "stored_sketch_drift": f"""WITH {_long('1.5')} SELECT feature, count(*) FILTER (side = 0) AS ref_n, count(*) FILTER (side = 1) AS cur_n, round(avg(v) FILTER (side = 0), 4) AS ref_mean, round(avg(v) FILTER (side = 1), 4) AS cur_mean,
         true AS psi_near, true AS ks_near FROM l GROUP BY feature""",

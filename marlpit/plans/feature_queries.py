@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.functions.scalar import parsed_time
 from marlpit.operators import checks, features
 from marlpit.plans.base import CUT_DAY, LINE_NUMBERS, Query, orders_sides, rounded, table
 
@@ -175,19 +176,36 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The buckets of each document's terms, in order, and their weights."""
+    """The buckets of each document's terms, in order, with their counts, and the weights: their sum, the greatest, and how many are above 0."""
     found = features.term_weights(table(spark, sf_dir, "documents"), "text", "doc_id")
-    # a sparse vector's fields can be had as JSON alone; an array of all 2^18 places would be 2 MB a document
-    sparse = F.from_json(F.to_json(F.struct("tfidf")), "tfidf struct<indices: array<int>, values: array<double>>")["tfidf"]
-    own = found.select("doc_id", sparse.alias("v"))
-    return own.select("doc_id", F.size(F.filter("v.values", lambda x: x > 0)).alias("terms"), F.col("v.indices").alias("buckets"), F.transform("v.values", lambda x: F.round(x, 6)).alias("weights"))
+    total = F.aggregate("tfidf", F.lit(0.0), lambda a, w: a + w)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rounded(found.select("doc_id", joined("buckets").alias("buckets"), joined("counts").alias("counts"), total.alias("total"), F.coalesce(F.array_max("tfidf"), F.lit(0.0)).alias("greatest"), F.size(F.filter("tfidf", lambda w: w > 0)).cast("bigint").alias("terms")), 5)
+
+
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order days from text, of which some isn't a day; counted by month, those that couldn't be read under none."""
+    text = F.when(F.col("o_orderkey") % 10 == 3, F.lit("not a day")).when(F.col("o_orderkey") % 10 == 4, F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("day"))
+    day = parsed_time("day", orders.schema["day"].dataType)
+    return orders.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def columns_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that are left of line items when constant ones go, and of two that move together the later one."""
+    lines = table(spark, sf_dir, "lineitem").withColumns({"double": F.col("l_quantity") * 2 + 1, "same": F.lit(4.0), "sum": F.col("l_quantity") + F.col("l_linenumber")})
+    given = ["l_linenumber", "l_quantity", "double", "same", "sum", "l_discount"]
+    varying = features.drop_constant(lines, given, 1e-4)
+    left = features.drop_correlated(lines, varying, 0.95)
+    names = spark.createDataFrame([(c, k) for k, c in enumerate(left)], "feature string, place bigint")
+    return rounded(names.join(features.variances(lines, left), "feature"), 4)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         numeric_features, standard_scale, interactions, label_encode, label_encode_unseen, frequency_encode, temporal_features, variance_topk, anova_f_topk, regression_f_topk, feature_pipeline,
-        expectations, expectation_tally, quality_profile, range_violations, referential_integrity, volume_by_segment, lag_features, rolling_features, lags_of_one_key, rolling_of_one_key, target_encode, woe_encode, hash_bucket_count,
+        expectations, expectation_tally, quality_profile, range_violations, referential_integrity, volume_by_segment, lag_features, rolling_features, lags_of_one_key, rolling_of_one_key, parsed_times, columns_pruned, target_encode, woe_encode, hash_bucket_count,
         min_max_scale, robust_scale, quantile_bins, polynomial, one_hot, correlations, mutual_information, term_weights,
     )
 }
@@ -277,6 +295,15 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"round(avg(value) OVER w{n}, 9) AS value_mean_{n}d, count(value) OVER w{n} AS value_count_{n}d" for n in (7, 30, 90))
     + " FROM events WINDOW "
     + ", ".join(f"w{n} AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND CURRENT ROW)" for n in (7, 30, 90)),
+    "term_weights": r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\W+')) AS word FROM documents),
+        c AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 262144 AS b, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+        i AS (SELECT b, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c GROUP BY b),
+        t AS (SELECT doc_id, string_agg(b::VARCHAR, ',' ORDER BY b) AS buckets, string_agg(n::VARCHAR, ',' ORDER BY b) AS counts, sum(n * idf) AS total, max(n * idf) AS greatest, count(*) FILTER (n * idf > 0) AS terms FROM c JOIN i USING (b) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(buckets, '') AS buckets, coalesce(counts, '') AS counts, round(coalesce(total, 0), 5) + 0.0 AS total, round(coalesce(greatest, 0), 5) + 0.0 AS greatest, coalesce(terms, 0) AS terms FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN t USING (doc_id)""",
+    "parsed_times": """SELECT CASE WHEN o_orderkey % 10 NOT IN (3, 4) THEN strftime(o_orderdate, '%Y-%m') END AS month, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1""",
+    "columns_pruned": """WITH s AS (SELECT var_samp(l_linenumber) AS v0, var_samp(l_quantity) AS v1, var_samp(l_quantity * 2 + 1) AS v2, var_samp(l_quantity + l_linenumber) AS v3, var_samp(l_discount) AS v4, corr(l_linenumber, l_quantity) AS c01, corr(l_quantity, l_quantity + l_linenumber) AS c13 FROM lineitem),
+        k AS (SELECT 'l_linenumber' AS feature, v0 AS variance, true AS stays FROM s UNION ALL SELECT 'l_quantity', v1, abs(c01) <= 0.95 FROM s UNION ALL SELECT 'double', v2, false FROM s UNION ALL SELECT 'sum', v3, abs(c13) <= 0.95 FROM s UNION ALL SELECT 'l_discount', v4, v4 > 1e-4 FROM s)
+        SELECT feature, row_number() OVER (ORDER BY CASE feature WHEN 'l_linenumber' THEN 0 WHEN 'l_quantity' THEN 1 WHEN 'sum' THEN 3 ELSE 4 END) - 1 AS place, round(variance, 4) AS variance FROM k WHERE stays""",
     "lags_of_one_key": "SELECT event_id, round(value, 6) AS value, " + ", ".join(f"round(lag(value, {n}) OVER w, 6) AS value_lag_{n}" for n in (1, 7, 30)) + " FROM events WINDOW w AS (ORDER BY ts, event_id)",
     "rolling_of_one_key": "SELECT event_id, (value > 10)::INT AS high, "
     + ", ".join(f"round(avg((value > 10)::INT) OVER w{n}, 9) AS high_mean_{n}d, count((value > 10)::INT) OVER w{n} AS high_count_{n}d" for n in (1, 7))

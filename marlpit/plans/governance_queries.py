@@ -10,6 +10,7 @@ from marlpit.plans.base import Query, rounded, table
 from marlpit.sources import tables
 from marlpit.sources.scratch import new_folder
 from marlpit.streaming import ingest
+from marlpit.streaming.keyed_table import KeyedTable, upsert_stream
 
 
 # ---------------------------------------------------------------- joins and store
@@ -118,8 +119,9 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and type, merged batch by batch."""
     out = new_folder(spark, "stream")
     stream = ingest.file_stream(spark, _events(sf_dir)).select("event_id", "user_id", "event_type", "ts", "value")
-    ingest.upsert_available(stream, f"{out}/silver", f"{out}/checkpoint", ["user_id", "event_type"], ["ts", "event_id"])
-    return rounded(ingest.current(spark, f"{out}/silver").drop("ts"))
+    held = KeyedTable(spark, f"{out}/silver", ["user_id", "event_type"], ["ts", "event_id"], buckets=8)
+    upsert_stream(stream, held, f"{out}/checkpoint")
+    return rounded(held.read().drop("ts"))
 
 
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +164,12 @@ def compliance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("categories", F.array_join("categories", ",")))
 
 
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as a dataset, with the last operations of the events' log."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.col("event_type").alias("operation"))
+    return rounded(governance.dataset_summary(table(spark, sf_dir, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))), "customer", audit=log))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_nationkey = 7").select("c_custkey")
 
@@ -255,7 +263,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         training_set_left, training_set_multi, asof_features, asof_recent_features, features_by_key, features_as_of, feature_tables, dataset_fingerprint, dedup_latest, upsert_rows,
-        stream_ingest, stream_deduplicated, stream_upsert, partition_overwrite, csv_round_trip, pii_scan, pii_mask, pii_mask_numbers, compliance_report, erasure_counts, erasure_plan, erasure_apply,
+        stream_ingest, stream_deduplicated, stream_upsert, partition_overwrite, csv_round_trip, pii_scan, pii_mask, pii_mask_numbers, compliance_report, dataset_summary, erasure_counts, erasure_plan, erasure_apply,
         audit_filter, audit_by_operation, audit_recent, audit_log, snapshots, upstream_closure, downstream_items, dependency_layers, edge_checks,
     )
 } | {"edge_checks_whole": edge_checks}
@@ -302,6 +310,11 @@ ORACLES: dict[str, str] = {
     "csv_round_trip": "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part",
     "pii_scan": " UNION ALL ".join(_hits(c, s, k) for c, s in (("text", "documents"), ("source", "documents"), ("html", "pages")) for k in governance.PATTERNS),
     "pii_mask_numbers": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\d{3}-\d{2}-(\d{4})', '***-**-\1', 'g'), '\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?(\d{4})', '****-****-****-\1', 'g'), '(\d{3})[-.\s]?\d{3}[-.\s]?(\d{4})', '\1-***-\2', 'g') AS text, '[REDACTED]' AS source FROM documents""",
+    "dataset_summary": """SELECT 'customer' AS dataset, count(*) AS rows, 5 AS columns, round(count(*) FILTER (c_acctbal <= 0) / (5 * count(*)), 6) + 0.0 AS missing_rate, count(DISTINCT c_custkey) AS different_rows, 'c_name' AS pii_columns, 'pii' AS classification,
+        (SELECT string_agg(event_type, ',' ORDER BY event_id DESC) FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 10)) AS last_operations FROM customer""",
+    "pii_mask": r"""WITH p AS (SELECT doc_id, text, string_split(text, '@') AS parts FROM documents),
+        m AS (SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: CASE WHEN i = len(parts) THEN x ELSE left(x, length(x) - length(regexp_extract(x, '[a-zA-Z0-9._%+-]*$'))) || repeat('*', length(regexp_extract(x, '[a-zA-Z0-9._%+-]*$'))) END), '@') AS text FROM p)
+        SELECT doc_id, regexp_replace(regexp_replace(text, '\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?(\d{4})', '****-****-****-\1', 'g'), '(\d{3})[-.\s]?\d{3}[-.\s]?(\d{4})', '\1-***-\2', 'g') AS text FROM m""",
     "compliance_report": " UNION ALL ".join(_reported(c, t, p) for c, t, p in (("c_custkey", "bigint", ""), ("c_name", "string", "name"), ("c_nationkey", "int", ""), ("c_acctbal", "double", ""), ("c_mktsegment", "string", ""))),
     "erasure_counts": f"SELECT 'orders' AS \"table\", 'o_custkey' AS key_column, count(*) AS affected FROM orders WHERE o_custkey IN {_SUBJECTS} UNION ALL SELECT 'customer', 'c_custkey', count(*) FROM customer WHERE c_nationkey = 7",
     "erasure_plan": f"SELECT 'orders' AS \"table\", 'o_custkey' AS key_column, count(*) AS affected, 'gold,scores' AS cascade FROM orders WHERE o_custkey IN {_SUBJECTS} UNION ALL SELECT 'customer', 'c_custkey', count(*), 'gold,scores' FROM customer WHERE c_nationkey = 7",

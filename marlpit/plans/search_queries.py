@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.ml import grouped, halving, training
+from marlpit.operators import features as transforms
 from marlpit.plans.base import Query, rounded, table
 
 #: Columns whose bins are single values, in the order in which splits of one gain are taken.
@@ -69,7 +70,16 @@ def flat_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (halving_search, grouped_lines, grouped_stumps, grouped_tree_scores, flat_scored)}
+def model_importance_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a fitted model goes by: as few as have nine tenths of its importance."""
+    rows, features = _either(spark, sf_dir), ["o_totalprice", "b", "a"]
+    model, _ = training.cross_validate(rows, "lightgbm_classifier", features, "either", "o_orderkey", {"max_depth": 2, "n_estimators": 3}, folds=2)
+    chosen = transforms.select_by_importance(transforms.importance(model, features, spark), 0.9)
+    ones = rows.agg(*(F.sum(f).alias(f) for f in ("a", "b"))).select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("bigint").alias("ones")) for f in ("a", "b")))))
+    return chosen.select("feature").join(ones, "feature", "left")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (model_importance_selection, halving_search, grouped_lines, grouped_stumps, grouped_tree_scores, flat_scored)}
 
 #: The best split of each supplier: of every value of a feature but the lowest, what lies below it.
 _STUMPS = """v AS (SELECT l_suppkey, l_orderkey, l_quantity AS y, l_discount AS x0, l_linenumber::DOUBLE AS x1 FROM lineitem),
@@ -83,6 +93,7 @@ _STUMPS = """v AS (SELECT l_suppkey, l_orderkey, l_quantity AS y, l_discount AS
     b AS (SELECT * FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY gain DESC, f, x) = 1)"""
 
 ORACLES: dict[str, str] = {
+    "model_importance_selection": "SELECT 'a' AS feature, count(*) FILTER (o_orderkey % 3 = 0) AS ones FROM orders UNION ALL SELECT 'b', count(*) FILTER (o_custkey % 4 = 0) FROM orders",
     "halving_search": """WITH o AS (SELECT ((o_orderkey % 3 = 0) <> (o_custkey % 4 = 0))::INT AS either FROM orders)
         SELECT either, count(*) AS n, count(*) AS right, 3::BIGINT AS max_depth, true AS as_grid, true AS under_half, 7::BIGINT AS fits FROM o GROUP BY either""",
     "grouped_lines": """SELECT l_partkey, count(*) AS n, round(CASE WHEN var_pop(l_quantity) > 0 THEN regr_intercept(l_extendedprice, l_quantity) ELSE avg(l_extendedprice) END, 4) + 0.0 AS intercept,

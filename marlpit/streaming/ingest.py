@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marlpit.functions.scalar import col
-from marlpit.operators.store import latest, upsert
 
 
 def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, files_per_trigger: int | None = None, **options: str) -> DataFrame:
@@ -52,35 +51,6 @@ def deduplicated(df: DataFrame, keys: list[str], time: str, delay: str = "1 hour
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_available(df: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keeps, under ``path``, the last row of each key: each batch is merged into a new version, then named as the current one.
-
-    A batch that is run again after a failure writes its own version again, so no row counts twice.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current(spark, path, number - 1)
-        new = latest(batch, keys, order)
-        (new if before is None else upsert(before, new, keys, order)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
-def current(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame | None:
-    """The last version that :func:`upsert_available` has written, up to batch ``newest``; none if there is none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return None
-    found = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("batch=")]
-    done = [int(p.getName().split("=")[1]) for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    done = [n for n in done if newest is None or n <= newest]
-    return spark.read.parquet(f"{path}/batch={max(done)}") if done else None
-
-
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: T.StructType) -> DataFrame:
     """Rows of JSON messages; needs Spark's Kafka package on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()

@@ -14,6 +14,7 @@ from marlpit.ml import metrics, training
 from marlpit.operators import checks, drift, features, governance, lineage, monitoring, store
 from marlpit.sources import tables
 from marlpit.streaming import ingest
+from marlpit.streaming.keyed_table import KeyedTable, upsert_stream
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -409,12 +410,13 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 def test_stream_upserts(spark, tmp_path):
     one = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, t int, v string")
     one.write.parquet(f"{tmp_path}/in")
-    go = lambda: ingest.upsert_available(ingest.file_stream(spark, f"{tmp_path}/in").select("k", "t", "v"), f"{tmp_path}/out", f"{tmp_path}/c", ["k"], ["t"])
+    held = KeyedTable(spark, f"{tmp_path}/out", ["k"], ["t"], buckets=4)
+    go = lambda: upsert_stream(ingest.file_stream(spark, f"{tmp_path}/in").select("k", "t", "v"), held, f"{tmp_path}/c")
     go()
     spark.createDataFrame([(1, 2, "c"), (3, 0, "d"), (2, 0, "old")], "k int, t int, v string").write.mode("append").parquet(f"{tmp_path}/in")
     go()
-    assert {r.k: r.v for r in ingest.current(spark, f"{tmp_path}/out").collect()} == {1: "c", 2: "b", 3: "d"}
-    assert ingest.current(spark, f"{tmp_path}/nowhere") is None
+    assert {r.k: r.v for r in held.read().collect()} == {1: "c", 2: "b", 3: "d"}
+    assert KeyedTable(spark, f"{tmp_path}/nowhere", ["k"], ["t"]).read() is None
 
 
 def test_names_with_odd_characters(spark):
