@@ -34,20 +34,16 @@ def parsed_time(name: str, dtype: T.DataType) -> Column:
     return F.try_to_timestamp(col(name)) if isinstance(dtype, T.StringType) else col(name).cast("timestamp")
 
 
-#: Steps of a search among up to 1023 edges.
-_STEPS = [1 << k for k in range(9, -1, -1)]
-
-
-def bin_of(value: Column, edges: Column) -> Column:
+def bin_of(value: Column, edges: Column, most: int = 1023) -> Column:
     """How many of the sorted edges are at or below the value: bins are closed on the left. Null for a missing value.
 
-    A step is taken if the edge that it leads to is not above the value, the longest ones first, so ten comparisons find one of up to
-    1023 edges; more of them are counted one by one.
+    A step is taken if the edge that it leads to is not above the value, the longest ones first, so as many comparisons as ``most`` has bits find one of up to
+    ``most`` edges; more of them are counted one by one.
     """
-    steps = F.array(*map(F.lit, _STEPS))
+    steps = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)))
     reached = lambda at, step: F.coalesce(F.get(edges, at + step - 1) <= value, F.lit(False))
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
-    few = F.size(edges) < 1 << len(_STEPS)
+    few = F.size(edges) < 1 << most.bit_length()
     return F.when(value.isNotNull() & edges.isNotNull(), F.when(few, found).otherwise(F.size(F.filter(edges, lambda e: e <= value))))
 
 

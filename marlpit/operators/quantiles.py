@@ -1,54 +1,79 @@
 """Exact quantiles by group, without a group's values in one task.
 
-Approximate quantiles cut each group's values into ranges, counts say which range holds a rank, and only the values of
-those ranges are looked at: as distinct values with counts, so that a value of very many rows is one row.
+Approximate quantiles a little below and above each rank bracket its value. A count of what lies below the bracket says which place the rank
+has inside it, and only the values inside are looked at: as distinct values with counts, so that a value of very many rows is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.functions.scalar import bin_of, col
+from marlpit.functions.scalar import col
 from marlpit.sources.scratch import kept, scratch
 
-#: Groups whose range ends may be sent to every executor: some 2 KB each.
+#: Groups whose brackets may be sent to every executor: some hundred bytes each.
 BROADCAST_GROUPS = 10_000
+#: Approximate ranks are wrong by one in so many at most.
+ACCURACY = 10_000
+#: Half a bracket's share of ranks, for groups of at least so many rows: wider than that error and the two ranks next to a quantile; smaller groups are one bracket.
+BRACKETS = ((200_000, 0.0005), (400, 0.01))
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], shares: list[float], ranges: int = 256) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
     """(by, quantiles): an array in the order of ``shares``, interpolated linearly between neighbours, for each group of (by, value).
 
-    Missing values are left out; a group without values has no row. ``by`` columns must not be null. Values are dealt into ranges once and
-    written; those tables are deleted, and only the result's is left.
+    Missing values are left out; a group without values has no row. ``by`` columns must not be null. Rows are read three times, compared with the
+    ends of brackets alone, and only those in one are shuffled: a thousandth for each share of a large group. Tables written on the way are deleted, and only the
+    result's, a row for each group, is left.
     """
     with scratch(rows.sparkSession) as held:
-        return kept(_exact_quantiles(rows, by, shares, ranges, held))
+        return kept(_exact_quantiles(rows, by, shares, held))
 
 
-def _exact_quantiles(rows: DataFrame, by: list[str], shares: list[float], ranges: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _brackets(shares: list[float]) -> tuple[list[float], list[tuple[Column, Column]]]:
+    """The shares that approximate quantiles are asked for, and each share's ends as columns of them (``_p``), ``_min``, ``_max`` and ``_n``."""
+    points: list[float] = []
+    ends = []
+    for s in shares:
+        low, high = F.col("_min"), F.col("_max")
+        for least, half in reversed(BRACKETS):
+            for side, end in ((s - half, "_min"), (s + half, "_max")):
+                at = F.col(end)
+                if 0 < side < 1:
+                    at = F.col("_p")[len(points)]
+                    points.append(side)
+                if end == "_min":
+                    low = F.when(F.col("_n") >= least, at).otherwise(low)
+                else:
+                    high = F.when(F.col("_n") >= least, at).otherwise(high)
+        ends.append((low, high))
+    return points or [0.5], ends
+
+
+def _exact_quantiles(rows: DataFrame, by: list[str], shares: list[float], kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     given = rows.filter("value is not null").select(*(col(b) for b in by), F.col("value").cast("double").alias("value"))
-    ends = kept(given.groupBy(*by).agg(F.percentile_approx("value", [k / ranges for k in range(1, ranges)], 10_000).alias("_ends"), F.count("*").alias("_n")))
-    groups = ends.count()
-    ready = ends.select(*by, F.array_sort(F.array_distinct("_ends")).alias("_ends"))
-    dealt = kept(given.join(F.broadcast(ready) if groups <= BROADCAST_GROUPS else ready, by).select(*by, "value", bin_of(F.col("value"), F.col("_ends")).alias("_range")))
-    sizes = kept(dealt.groupBy(*by, "_range").agg(F.count("*").alias("_size")))
-    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-    placed = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(below), F.lit(0)))
-    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("share")) for k, s in enumerate(shares))))
-    ranks = ends.select(*by, "_n", asked.alias("a")).select(*by, F.col("a.k").alias("_k"), (F.col("a.share") * (F.col("_n") - 1)).alias("_at"))
-    ranks = ranks.select(*by, "_k", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct()
-    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
-    wanted = kept(ranks.join(placed, by).filter(inside).select(*by, "_range", "_k", "_at", "_rank", (F.col("_rank") - F.col("_before")).alias("_own")))
-    few = groups * len(shares) * 2 <= 100_000
-    needed = wanted.select(*by, "_range").distinct()
-    counts = dealt.join(F.broadcast(needed) if few else needed, [*by, "_range"], "left_semi").groupBy(*by, "_range", "value").agg(F.count("*").alias("_c"))
-    up_to = Window.partitionBy(*by, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    places = range(len(shares))
+    points, ends = _brackets([float(s) for s in shares])
+    found = given.groupBy(*by).agg(F.percentile_approx("value", points, ACCURACY).alias("_p"), F.min("value").alias("_min"), F.max("value").alias("_max"), F.count("*").alias("_n"))
+    brackets = kept(found.select(*by, "_n", *(e.alias(f"_{side}{k}") for k in places for side, e in zip(("low", "high"), ends[k], strict=True))))
+    groups = brackets.count()
+    few = groups <= BROADCAST_GROUPS
+    dealt = given.join(F.broadcast(brackets) if few else brackets, by)
+    below = kept(dealt.groupBy(*by).agg(F.max("_n").alias("_n"), *(F.count_if(F.col("value") < F.col(f"_low{k}")).alias(f"_below{k}") for k in places)))
+    inside = [F.col("value").between(F.col(f"_low{k}"), F.col(f"_high{k}")) for k in places]
+    some = dealt.filter(reduce(lambda a, b: a | b, inside)).select(*by, "value", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(inside))))).alias("_k"))
+    counts = some.groupBy(*by, "_k", "value").agg(F.count("*").alias("_c"))
+    up_to = Window.partitionBy(*by, "_k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     summed = counts.withColumn("_upto", F.sum("_c").over(up_to))
-    held = summed.join(F.broadcast(wanted) if few else wanted, [*by, "_range"]).filter("_own < _upto and _own >= _upto - _c")
+    asked = F.inline(F.array(*(F.struct(F.lit(k).alias("_k"), (F.lit(float(s)) * (F.col("_n") - 1)).alias("_at"), F.col(f"_below{k}").alias("_before")) for k, s in enumerate(shares))))
+    ranks = below.select(*by, asked)
+    ranks = ranks.select(*by, "_k", "_at", "_before", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank")).withColumn("_own", F.col("_rank") - F.col("_before"))
+    held = summed.join(F.broadcast(ranks) if few else ranks, [*by, "_k"]).filter("_own < _upto and _own >= _upto - _c")
     ends_of = held.groupBy(*by, "_k").agg(F.min(F.struct("_rank", "value")).alias("lo"), F.max(F.struct("_rank", "value")).alias("hi"), F.first("_at").alias("_at"))
     value = F.col("lo.value") + (F.col("_at") - F.col("lo._rank")) * (F.col("hi.value") - F.col("lo.value"))
-    found = ends_of.select(*by, F.struct("_k", value.alias("v")).alias("q"))
-    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["v"]).alias("quantiles"))
+    each = ends_of.select(*by, F.struct("_k", value.alias("v")).alias("q"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["v"]).alias("quantiles"))

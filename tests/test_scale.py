@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def test_bins_by_steps_are_bins_by_counting(spark):
         assert all(r.b == sum(e <= r.v for e in edges) for r in df.collect())
 
 
-def test_quantiles_deal_values_once_and_leave_only_their_result(spark, tmp_path, monkeypatch):
+def test_quantiles_are_exact_and_leave_only_their_result(spark, tmp_path, monkeypatch):
     folders = []
     real = scratch.new_folder
     monkeypatch.setattr(scratch, "new_folder", lambda session, name="scratch": folders.append(real(session, name)) or folders[-1])
@@ -145,10 +146,21 @@ def test_quantiles_deal_values_once_and_leave_only_their_result(spark, tmp_path,
     found = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], [0.0, 0.25, 0.5, 1.0]).collect()}
     for g in range(3):
         assert found[g] == np.quantile([float(k * 7919 % 5000) for k in range(5000) if k % 3 == g], [0, 0.25, 0.5, 1]).tolist()
+    # groups of all sizes that have brackets of their own, with ties, one value, and few distinct ones
+    draw, groups = np.random.default_rng(9), {}
+    for n in (1, 2, 5, 399, 400, 1000, 30_000):
+        for values in (draw.normal(size=n), draw.integers(0, 3, n).astype(float), np.full(n, 2.5), np.sort(draw.gamma(1, 5, n))):
+            groups[len(groups)] = values
+    some = spark.createDataFrame(pd.DataFrame({"g": np.repeat(list(groups), [len(v) for v in groups.values()]), "value": np.concatenate(list(groups.values()))}))
+    large = spark.range(250_000).select(F.lit(-1).cast("bigint").alias("g"), (F.col("id") * 7919 % 250_000).cast("double").alias("value"))
+    groups[-1] = np.arange(250_000.0)
+    shares = [0.0, 0.001, 0.1, 0.5, 0.75, 0.9995, 1.0]
+    for r in exact_quantiles(some.unionByName(large), ["g"], shares).collect():
+        assert np.allclose(r.quantiles, np.quantile(groups[r.g], shares), rtol=0, atol=1e-9)
     import os
 
     left = [f for f in folders if os.path.exists(f)]
-    assert len(left) == 1 and spark.read.parquet(left[0]).count() == 3
+    assert sorted(spark.read.parquet(f).count() for f in left) == [3, 29]
 
 
 # ---------------------------------------------------------------- hot keys
