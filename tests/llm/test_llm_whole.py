@@ -8,27 +8,28 @@ from marlpit.llm import arrow, lines, lm
 
 
 def test_network_is_fitted_on_a_share_that_grows(spark, monkeypatch):
-    """Slopes and neighbours cover all windows of the texts given, and the fit goes through one in so many of them."""
-    monkeypatch.setattr(lm, "ONE_IN", 2)
-    draw = np.random.default_rng(0)
-    counts = draw.integers(1, 50, lm.END + 1).astype(float)
-    some = draw.integers(0, lm.END, (4, lm.WINDOW)), draw.integers(0, lm.END, (4, lm.SCORED))
-    net = lm.train(counts, *some, epochs=1)
+    """A round goes through every window of its texts, the rounds through all texts of a small corpus and the root of a larger one."""
     words = [f"word{k}" for k in range(40)]
-    texts = [" ".join(words[(k * j) % 40] for j in range(30 + k)) for k in range(60)] + [None, ""]
+    texts = [" ".join(words[(k * j) % 40] for j in range(30 + k)) for k in range(400)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     found = arrow.split_words(arrow.texts_of(pa.array(texts)), lower=True)
     ids, offsets = lm.sequences(found, *lm.subwords(found.words))
-    inputs, targets, _ = lm.windows(ids, offsets)
-    loss, slope = lm.backward(net, inputs, targets)
-    n, mean, slopes = lm.all_slopes(df, net, 3)
-    assert n == len(ids) and mean == pytest.approx(loss, rel=1e-4)
-    assert all(np.allclose(slopes[k], slope[k], atol=1e-5) for k in lm.TRAINED)
-    near = lm._neighbours(lm.count_words(df), counts)
-    own = np.bincount(ids, minlength=lm.END + 1)
-    own[lm.END] = 0
-    assert (near[:, : lm.SINGLE + 1].sum(1) == own).all() and near.sum() == 2 * own.sum()
-    assert lm.backward(lm.fitted_to_share(net, df, 3), inputs, targets)[0] < loss
+    counts = np.bincount(ids, minlength=lm.END + 1).astype(float)
+    net = lm.untrained(counts)
+    inputs, targets = lm._windows_of(net, arrow.texts_of(pa.array(texts)))
+    before = lm.backward(net, inputs, targets)[0]
+    n, loss, new = lm.fitted_round(df, net, 1e-2, 3)
+    after = lm.backward(new, inputs, targets)[0]
+    assert n == len(ids) and after < loss < before
+    taken = []
+    whole = lm.fitted_round
+    monkeypatch.setattr(lm, "fitted_round", lambda *a: (taken.append(a[0].count()), whole(*a))[1])
+    assert lm.backward(lm.fitted(df, counts), inputs, targets)[0] < before
+    assert sum(taken) == len(texts)
+    taken.clear()
+    monkeypatch.setattr(lm, "WHOLE", int(counts.sum()) // lm.SCORED // 16)
+    lm.fitted(df, counts)
+    assert len(texts) / 6 < sum(taken) < len(texts) / 3
 
 
 def test_short_lines_with_one_edit_are_linked(spark):
