@@ -10,11 +10,13 @@ id pass the others as documents of their own. Ties go to the lowest id. Very lon
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import lines, minhash, packing, quality, toxicity
-from marlpit.llm.tables import written
+from marlpit.llm.tables import remove, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each but the last is written in the shared folder and read again. A stage's intermediate tables
+    and the table it has read are deleted when it is written, so that the last stage's input is all that stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scope(spark) as result:
+            docs = result(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = os.path.dirname(docs.inputFiles()[0])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from marlpit.llm import arrow, tokenizer
 from marlpit.llm.frequent import most_frequent
 from marlpit.llm.merges import Merges, byte_letters
-from marlpit.llm.tables import written
+from marlpit.llm.tables import scope, written
 from marlpit.llm.tokenizer import vocabulary_path
 
 #: White space of the tokenizer's pattern (Unicode White_Space), and its contractions.
@@ -68,8 +68,9 @@ def frequent_words(docs: DataFrame, text_col: str = "text", size: int = 65_536)
                 yield pa.RecordBatch.from_arrays([found.words, pa.array(n)], ["segment", "n"])
 
     rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(counted, "segment binary, n bigint")
-    counts = written(rows.groupBy("segment").agg(F.sum("n").alias("n")).filter(F.octet_length("segment").between(1, 64)))
-    return sorted((bytes(r.segment), r.n) for r in most_frequent(counts, "n", size).collect())
+    with scope(docs.sparkSession):
+        counts = written(rows.groupBy("segment").agg(F.sum("n").alias("n")).filter(F.octet_length("segment").between(1, 64)))
+        return sorted((bytes(r.segment), r.n) for r in most_frequent(counts, "n", size).collect())
 
 
 # ---------------------------------------------------------------- vocabulary

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.linking import Sketches, components, few, link
-from marlpit.llm.tables import fresh, written
+from marlpit.llm.tables import fresh, scope, written
 
 SHINGLE, BUCKETS, BAND = 10, 36, 3
 #: Code points of the shortest line that stays similar with one character changed, by bigrams, and of the longest that may be near a line under 79.
@@ -114,14 +114,15 @@ def linked_lines(lines: DataFrame, numerator: int = 75, denominator: int = 100)
 def _grouped(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """doc_id, copy, line_no of each line, with ``first``: the place of its component's first line, or null if it is alone."""
     place = F.struct("doc_id", "copy", "line_no")
-    # a row for each distinct line from here on, however often it comes
-    lines = written(found.groupBy("id", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")))
-    labels = linked_lines(found, numerator, denominator)
-    labelled = written(lines.join(labels, "id"))
-    first = labelled.groupBy("component").agg(F.min("place").alias("first"))
-    known = labelled.join(first, "component").select("id", "check", "first")
-    alone = lines.filter("n > 1").join(labels, "id", "left_anti").select("id", "check", F.col("place").alias("first"))
-    known = written(known.unionByName(alone))
+    with scope(found.sparkSession) as result:
+        # a row for each distinct line from here on, however often it comes
+        lines = written(found.groupBy("id", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")))
+        labels = linked_lines(found, numerator, denominator)
+        labelled = written(lines.join(labels, "id"))
+        first = labelled.groupBy("component").agg(F.min("place").alias("first"))
+        known = labelled.join(first, "component").select("id", "check", "first")
+        alone = lines.filter("n > 1").join(labels, "id", "left_anti").select("id", "check", F.col("place").alias("first"))
+        known = result(known.unionByName(alone))
     return found.select("doc_id", "copy", "line_no", "id", "check").join(few(known, 5 * known.count()), ["id", "check"], "left").select("doc_id", "copy", "line_no", "first")
 
 
@@ -147,11 +148,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows and their order of lines stay; a text that loses all its lines is empty. Of rows that share an id and a text
     each keeps the lines that the first of them keeps. Null texts stay null.
     """
-    found = _grouped(lines_of(docs, id_col, text_col), numerator, denominator).filter("first is not null")
-    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("copy") != F.col("first.copy")) | (F.col("line_no") != F.col("first.line_no"))
     p = fresh(docs, "_l")
-    gone = found.filter(other).groupBy(F.col("doc_id").alias(f"{p}id"), F.col("copy").alias(f"{p}copy")).agg(F.collect_set("line_no").alias(f"{p}gone"))
-    gone = written(gone)
+    with scope(docs.sparkSession) as result:
+        found = _grouped(lines_of(docs, id_col, text_col), numerator, denominator).filter("first is not null")
+        other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("copy") != F.col("first.copy")) | (F.col("line_no") != F.col("first.line_no"))
+        gone = found.filter(other).groupBy(F.col("doc_id").alias(f"{p}id"), F.col("copy").alias(f"{p}copy")).agg(F.collect_set("line_no").alias(f"{p}gone"))
+        gone = result(gone)
     numbers = gone.agg(F.coalesce(F.sum(F.size(f"{p}gone") + 4), F.lit(0))).first()[0]
     text = F.col(f"`{text_col}`")
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}copy"))

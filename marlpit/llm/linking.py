@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.tables import BROADCAST_ROWS, written
+from marlpit.llm.tables import BROADCAST_ROWS, scope, written
 
 #: Rows of a bucket that one task holds against as many others.
 BLOCK = 256
@@ -48,21 +48,22 @@ def components(edges: DataFrame, spark_ids: tuple[str, str] = ("a", "b")) -> Dat
     """(id, component) of every id in ``edges``: the least id reachable. Distributed union-find.
 
     Each turn takes the least label among neighbours, then the label of that label, so that long chains
-    shrink by half. Ends when no label changes.
+    shrink by half. Ends when no label changes; only the last labels are left.
     """
-    a, b = spark_ids
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "id")
-        lower = labels.join(near, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
-        above = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        new = lower.join(above, "component").select("id", F.least("component", "jump").alias("component"), "before")
-        new = written(new)
-        labels = new.select("id", "component")
-        if new.filter("component < before").isEmpty():
-            return labels
+    with scope(edges.sparkSession) as result:
+        a, b = spark_ids
+        pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+        both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")))
+        while True:
+            near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "id")
+            lower = labels.join(near, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
+            above = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+            new = lower.join(above, "component").select("id", F.least("component", "jump").alias("component"), "before")
+            new = written(new)
+            labels = new.select("id", "component")
+            if new.filter("component < before").isEmpty():
+                return result(labels)
 
 
 def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -79,7 +80,7 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     n_larger = members.count()
     stars = shared.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     tried = written(_likely(stars.distinct(), sketches))
-    links = written(_confirmed(tried, sets_of, sketches.items, numerator, denominator))
+    links = _confirmed(tried, sets_of, sketches.items, numerator, denominator)
     if links.isEmpty():
         labels = None
     else:
@@ -109,14 +110,14 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
         apart = (F.col("component") != F.col("to_component")) & _possible("", "to_", numerator, denominator)
         pairs = open_.join(chosen.withColumnRenamed("key", "to_key"), (F.col("key") == F.col("to_key")) & apart).select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
         fresh = written(_likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sketches))
-        more = written(_confirmed(fresh, again, sketches.items, numerator, denominator))
+        more = _confirmed(fresh, again, sketches.items, numerator, denominator)
         tried = tried.unionByName(fresh)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         labels = components(links)
     rest = _across(_open(members, labels), sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest), again, sketches.items, numerator, denominator))
+    more = _confirmed(written(rest), again, sketches.items, numerator, denominator)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return labels if labels is not None else _none(shared)
@@ -187,17 +188,18 @@ def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: i
 
 
 def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], items: Callable[[str], Column], numerator: int, denominator: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    rows = ids.count()
-    if not rows:
-        return pairs.limit(0)
-    sets = written(sets_of(ids, rows))
-    one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
-    held = pairs.join(one, "a").join(two, "b")
-    held = held.select("a", "b", F.inline(F.array(F.struct(items("a_items").alias("one"), items("b_items").alias("two")))))
-    common = F.size(F.array_intersect("one", "two")).cast("bigint")
-    sizes = F.size("one") + F.size("two")
-    # one number comes out of the generator, so that the filter doesn't build the sets again
-    held = held.select("a", "b", F.inline(F.array(F.struct(common.alias("common"), sizes.alias("sizes")))))
-    return held.filter(denominator * F.col("common") >= numerator * (F.col("sizes") - F.col("common"))).select("a", "b")
+    """Pairs whose whole sets reach the threshold, written; the sets are deleted."""
+    with scope(pairs.sparkSession) as result:
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        rows = ids.count()
+        if not rows:
+            return pairs.limit(0)
+        sets = written(sets_of(ids, rows))
+        one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
+        held = pairs.join(one, "a").join(two, "b")
+        held = held.select("a", "b", F.inline(F.array(F.struct(items("a_items").alias("one"), items("b_items").alias("two")))))
+        common = F.size(F.array_intersect("one", "two")).cast("bigint")
+        sizes = F.size("one") + F.size("two")
+        # one number comes out of the generator, so that the filter doesn't build the sets again
+        held = held.select("a", "b", F.inline(F.array(F.struct(common.alias("common"), sizes.alias("sizes")))))
+        return result(held.filter(denominator * F.col("common") >= numerator * (F.col("sizes") - F.col("common"))).select("a", "b"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marlpit.llm import arrow
 from marlpit.llm.linking import Sketches, few, link
-from marlpit.llm.tables import fresh, written
+from marlpit.llm.tables import fresh, scope, written
 
 SHINGLE = 5
 BUCKET_BITS, MANTISSA = 7, 10
@@ -166,34 +166,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no shingles, are linked with nothing and kept. Rows without an id are linked
     with nothing and kept, their component null. Rows that share an id are one document.
     """
-    table = written(signed(docs, id_col, text_col))
-    full = table.filter("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    # by both, of which no pair is in many rows, so that a text of very many copies is no hot key
-    frame = full.withColumn("id", F.col("doc_id")).join(classes.select("set_hash", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "keys", "n", *SKETCH)
-
-    def sets_of(ids: DataFrame, rows: int) -> DataFrame:
-        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1)), arrow.BATCH_BYTES // 2):
-                    sets = shingle_sets(texts)
-                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                    items = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], ["id", "items"])
-
-        own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        return own.join(few(ids, rows), "id", "left_semi").mapInArrow(made, "id bigint, items array<bigint>")
-
-    keyed = frame.select("id", F.explode("keys").alias("key"))
-    labels = link(Sketches(keyed, frame, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
-    # copies take their class' component, which is looked up once for each class; all other rows go by their own id
-    several = written(classes.filter("copies > 1").join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("of_class")))
-    own = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("of_row"))
-    placed = full.select("doc_id", "n", "set_hash").join(few(several, 3 * several.count()), "set_hash", "left").join(own, "doc_id", "left")
-    found = placed.select("doc_id", "n", F.coalesce("of_class", "of_row", "doc_id").alias("component_id"))
-    alone = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    every = found.unionByName(alone)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with scope(docs.sparkSession) as result:
+        table = written(signed(docs, id_col, text_col))
+        full = table.filter("n > 0 and doc_id is not null")
+        classes = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+        # by both, of which no pair is in many rows, so that a text of very many copies is no hot key
+        frame = full.withColumn("id", F.col("doc_id")).join(classes.select("set_hash", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "keys", "n", *SKETCH)
+
+        def sets_of(ids: DataFrame, rows: int) -> DataFrame:
+            def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1)), arrow.BATCH_BYTES // 2):
+                        sets = shingle_sets(texts)
+                        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                        items = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], ["id", "items"])
+
+            own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+            return own.join(few(ids, rows), "id", "left_semi").mapInArrow(made, "id bigint, items array<bigint>")
+
+        keyed = frame.select("id", F.explode("keys").alias("key"))
+        labels = link(Sketches(keyed, frame, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
+        # copies take their class' component, which is looked up once for each class; all other rows go by their own id
+        several = written(classes.filter("copies > 1").join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("of_class")))
+        own = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("of_row"))
+        placed = full.select("doc_id", "n", "set_hash").join(few(several, 3 * several.count()), "set_hash", "left").join(own, "doc_id", "left")
+        found = placed.select("doc_id", "n", F.coalesce("of_class", "of_row", "doc_id").alias("component_id"))
+        alone = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        every = found.unionByName(alone)
+        return result(every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,6 +203,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that share the kept id all stay; null and empty texts and rows without an id stay; an empty table stays empty.
     """
     m = fresh(docs, "_m")
-    gone = written(near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(m)).distinct())
+    with scope(docs.sparkSession) as result:
+        gone = result(near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(m)).distinct())
     key = F.col(f"`{id_col}`").cast("bigint")
     return docs.join(few(gone, gone.count()), key == F.col(m), "left_anti")

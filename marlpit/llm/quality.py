@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.tables import fresh, written
+from marlpit.llm.tables import fresh, scope, written
 
 #: White space between words, and the characters that count as symbols.
 BREAK, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
@@ -149,45 +149,46 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.select("_q_id", "_q_bad", (place % 3 > 0).alias("_q_grow"))
     known = with_statistics(texts.join(F.broadcast(own), "_q_id"))
     values = measures()
-    rows = written(known.select(F.col("_q_grow").alias("grow"), F.col("_q_bad").alias("bad"), *(v.alias(k) for k, v in values.items())))
-    names = list(values)
-    shares = [k / bins for k in range(1, bins)]
-    found = rows.agg(*(F.percentile_approx(k, shares, 10_000).alias(k) for k in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(k)), shares, 10_000).alias(f"{k}_bad") for k in names)).first()
-    edges = {k: sorted({*(found[k] or []), *(found[f"{k}_bad"] or [])}) for k in names}
-    if not any(edges.values()):
-        return []
-    at = F.array(*(_bin(k, edges[k]) for k in names))
-    binned = written(rows.select("grow", "bad", *names, at.alias("at")))
-    columns = {k: F.col(k) for k in names}
-    rules: list[Rule] = []
-    while len(rules) < max_rules:
-        left = binned
-        for rule in rules:
-            left = left.filter(~rule.column(columns))
-        conditions: list[Condition] = []
-        while len(conditions) < max_conditions:
-            covered = left.filter("grow")
-            for c in conditions:
-                covered = covered.filter(c.column(columns))
-            best = _best(covered, names, edges)
-            if best is None or best in conditions:
+    with scope(docs.sparkSession):
+        rows = written(known.select(F.col("_q_grow").alias("grow"), F.col("_q_bad").alias("bad"), *(v.alias(k) for k, v in values.items())))
+        names = list(values)
+        shares = [k / bins for k in range(1, bins)]
+        found = rows.agg(*(F.percentile_approx(k, shares, 10_000).alias(k) for k in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(k)), shares, 10_000).alias(f"{k}_bad") for k in names)).first()
+        edges = {k: sorted({*(found[k] or []), *(found[f"{k}_bad"] or [])}) for k in names}
+        if not any(edges.values()):
+            return []
+        at = F.array(*(_bin(k, edges[k]) for k in names))
+        binned = written(rows.select("grow", "bad", *names, at.alias("at")))
+        columns = {k: F.col(k) for k in names}
+        rules: list[Rule] = []
+        while len(rules) < max_rules:
+            left = binned
+            for rule in rules:
+                left = left.filter(~rule.column(columns))
+            conditions: list[Condition] = []
+            while len(conditions) < max_conditions:
+                covered = left.filter("grow")
+                for c in conditions:
+                    covered = covered.filter(c.column(columns))
+                best = _best(covered, names, edges)
+                if best is None or best in conditions:
+                    break
+                # a tighter threshold takes the place of a looser one on the same side
+                conditions = [c for c in conditions if c[:2] != best[:2]] + [best]
+            if not conditions:
                 break
-            # a tighter threshold takes the place of a looser one on the same side
-            conditions = [c for c in conditions if c[:2] != best[:2]] + [best]
-        if not conditions:
-            break
-        # pruned to the beginning of it that does best on the other part; least conditions among equals
-        tests = [Rule(tuple(conditions[:k]), 0, 0).column(columns) for k in range(1, len(conditions) + 1)]
-        part = lambda name, test: (F.count_if(test & F.col("bad")).alias(f"bad_{name}"), F.count_if(test).alias(f"all_{name}"))
-        seen = left.agg(*(c for k, t in enumerate(tests) for c in (*part(f"prune{k}", t & ~F.col("grow")), *part(f"grow{k}", t & F.col("grow"))))).first()
-        worth = [(2 * seen[f"bad_prune{k}"] - seen[f"all_prune{k}"]) / max(1, seen[f"all_prune{k}"]) for k in range(len(tests))]
-        k = max(range(len(tests)), key=lambda j: (round(worth[j], 3), -j))
-        bad, every = ([seen[f"{x}_{part}{k}"] for part in ("prune", "grow")] for x in ("bad", "all"))
-        rule = Rule(tuple(conditions[: k + 1]), sum(bad) / max(1, sum(every)), sum(every))
-        if min(b - least_precision * n for b, n in zip(bad, every, strict=True)) < 0 or sum(bad) < least_support or 5 * bad[0] < least_support:
-            break
-        rules.append(rule)
-    return rules
+            # pruned to the beginning of it that does best on the other part; least conditions among equals
+            tests = [Rule(tuple(conditions[:k]), 0, 0).column(columns) for k in range(1, len(conditions) + 1)]
+            part = lambda name, test: (F.count_if(test & F.col("bad")).alias(f"bad_{name}"), F.count_if(test).alias(f"all_{name}"))
+            seen = left.agg(*(c for k, t in enumerate(tests) for c in (*part(f"prune{k}", t & ~F.col("grow")), *part(f"grow{k}", t & F.col("grow"))))).first()
+            worth = [(2 * seen[f"bad_prune{k}"] - seen[f"all_prune{k}"]) / max(1, seen[f"all_prune{k}"]) for k in range(len(tests))]
+            k = max(range(len(tests)), key=lambda j: (round(worth[j], 3), -j))
+            bad, every = ([seen[f"{x}_{part}{k}"] for part in ("prune", "grow")] for x in ("bad", "all"))
+            rule = Rule(tuple(conditions[: k + 1]), sum(bad) / max(1, sum(every)), sum(every))
+            if min(b - least_precision * n for b, n in zip(bad, every, strict=True)) < 0 or sum(bad) < least_support or 5 * bad[0] < least_support:
+                break
+            rules.append(rule)
+        return rules
 
 
 def _bin(name: str, edges: list[float]) -> Column:

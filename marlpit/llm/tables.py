@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,42 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written in the shared folder and read again: lineage ends there, whichever executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: The folder of the innermost :func:`scope` of this thread.
+_inner: ContextVar[str | None] = ContextVar("_inner", default=None)
+
+
+def _put(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in the shared folder and read again: lineage ends there, whichever executor is lost. Within a
+    :func:`scope` it is deleted at that one's end."""
+    return _put(df, _inner.get() or shared_folder(df.sparkSession))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block at whose end all tables :func:`written` in it are deleted, whether it fails or not. It gives a function that writes a
+    table to outlast the block; all else that leaves the block must not read its tables."""
+    outer = _inner.get() or shared_folder(spark)
+    folder = f"{outer}/scope-{uuid.uuid4().hex}"
+    token = _inner.set(folder)
+    try:
+        yield lambda df: _put(df, outer)
+    finally:
+        _inner.reset(token)
+        remove(spark, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A function like :func:`written`, whose tables are deleted at the end of the block; what leaves it must not read them."""
@@ -61,5 +91,4 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield kept
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)

@@ -1,10 +1,13 @@
 """What operators for training corpora must cover: all texts and short lines."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlpit.llm import arrow, lines, lm
+import corpus_pipeline
+from marlpit.llm import arrow, lines, lm, queries, tables
 
 
 def test_network_is_fitted_on_a_share_that_grows(spark, monkeypatch):
@@ -47,3 +50,26 @@ def test_short_lines_with_one_edit_are_linked(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in lines.line_groups(df).collect()}
     assert found == expected
+
+
+def tables_in(folder):
+    return sum("_SUCCESS" in names for _, _, names in os.walk(folder))
+
+
+def test_intermediate_tables_are_deleted(spark, tiny, tmp_path, monkeypatch):
+    """What a result still reads is all that is left in the shared folder, also when a step fails."""
+    for name, most in (("op1_line_dedup", 1), ("op2_quality_rules", 0), ("op3_lm_scores", 1), ("op4_near_duplicates", 1)):
+        folder = tmp_path / name
+        monkeypatch.setattr(tables, "shared_folder", lambda _, folder=folder: str(folder))
+        found = queries.QUERIES[name](spark, tiny)
+        assert found.count() > 0
+        assert tables_in(folder) == most and not list(folder.glob("scope-*"))
+    folder = tmp_path / "pipeline"
+    monkeypatch.setattr(tables, "shared_folder", lambda _: str(folder))
+    assert corpus_pipeline.run(spark, tiny).count() > 0
+    assert tables_in(folder) == 1
+    folder = tmp_path / "failed"
+    with pytest.raises(ZeroDivisionError), tables.scope(spark):
+        tables.written(spark.range(3))
+        raise ZeroDivisionError
+    assert tables_in(folder) == 0 and tables._inner.get() is None
