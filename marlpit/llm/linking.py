@@ -5,13 +5,16 @@ its items are held against one representative each, exact links are joined into
 items are in one component are done. Of the items in other buckets those drop out that can't have a link to any, as
 too many of their elements are in no other such item; buckets that are still open get another representative, the
 item with most links. What then still lies in different components is held against each other in blocks, inside a
-join whose condition has an upper bound of the similarity and the sketch estimate, so that only likely pairs come out of it. Nothing is capped; every candidate pair of
+join whose condition has an upper bound of the similarity and the sketch estimate, so that only likely pairs come out of it: first, for
+as long as it pays, only within small blocks that are dealt anew each turn, as few links join most of a large group of near copies, and
+at last block against block. Nothing is capped; every candidate pair of
 different components has been tested in the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +24,8 @@ from marlpit.llm.tables import BROADCAST_ROWS, scope, written
 
 #: Rows of a bucket that one task holds against as many others.
 BLOCK = 256
+#: Rows of a bucket that are held against each other in a turn before all are; such turns go on while one in so many pairs is a link.
+PART, WORTH = 64, 10
 #: Longs of an odd sketch, and all columns that bounds are made of.
 PARITIES = tuple(f"q{k}" for k in range(16))
 BOUNDS = ("size", "shared", *PARITIES)
@@ -96,7 +101,7 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))))
     # an item of which too much is in no other open item can't have a link
     hopeful = bounds.filter(denominator * F.col("shared") >= numerator * F.col("size"))
-    members = written(open_.select("key", "id").join(few(hopeful, rows), "id"))
+    members = written(open_.select("key", "id").join(few(hopeful, (1 + len(BOUNDS)) * rows), "id"))
 
     def again(wanted: DataFrame, n: int) -> DataFrame:
         return sets.join(few(wanted, n), "id", "left_semi")
@@ -116,10 +121,25 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
             break
         links = links.unionByName(more)
         labels = components(links)
-    rest = _across(_open(members, labels), sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
-    more = _confirmed(written(rest), again, sketches.items, numerator, denominator)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for turn in count():
+        open_ = _open(members, labels)
+        if turn:  # smaller buckets are done with the first turn
+            open_ = open_.filter(F.col("in_bucket") > PART)
+        fresh = written(_within(open_, sketches, turn, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
+        more = _confirmed(fresh, again, sketches.items, numerator, denominator)
+        tried = tried.unionByName(fresh)
+        found = more.count()
+        if found:
+            links = links.unionByName(more)
+            labels = components(links)
+        if WORTH * found < fresh.count() or not found:
+            break
+    wide = _open(members, labels).filter(F.col("in_bucket") > PART)
+    if not wide.isEmpty():
+        rest = _across(wide, sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
+        more = _confirmed(written(rest), again, sketches.items, numerator, denominator)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     return labels if labels is not None else _none(shared)
 
 
@@ -171,14 +191,28 @@ def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
     return held.filter(sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
 
 
+def _within(open_: DataFrame, sketches: Sketches, turn: int, numerator: int, denominator: int) -> DataFrame:
+    """Likely pairs (a, b) of items in different components of one bucket, within blocks of about PART rows that are dealt by ``turn``."""
+    blocks = F.ceil(F.col("in_bucket") / PART).cast("int")
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("id", "key", F.lit(turn)), blocks).cast("int"))
+    return _pairs(written(_sketched(dealt, sketches).withColumns({"x": F.col("own"), "y": F.col("own")})), sketches, numerator, denominator)
+
+
 def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
     """Likely pairs (a, b) of items in different components of one bucket, block against block."""
-    held = open_.join(sketches.frame.select("id", *sketches.columns), "id") if sketches.columns else open_
     blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
-    dealt = written(held.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")))
+    dealt = written(_sketched(open_, sketches).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")))
     # each item goes to the pairs of blocks that its own is in
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    return _pairs(spread.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")), sketches, numerator, denominator)
+
+
+def _sketched(open_: DataFrame, sketches: Sketches) -> DataFrame:
+    return open_.join(sketches.frame.select("id", *sketches.columns), "id") if sketches.columns else open_
+
+
+def _pairs(spread: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
+    """Likely pairs (a, b) in different components among rows of one key, x and y; those of two blocks once."""
     one = spread.select(F.col("key").alias("a_key"), "x", "y", *(F.col(c).alias(f"a_{c}") for c in BOUNDS), F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("own").alias("a_own"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns))
     two = spread.select(F.col("key").alias("b_key"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.col(c).alias(f"b_{c}") for c in BOUNDS), F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("own").alias("b_own"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns))
     apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & ((F.col("x") == F.col("y")) | (F.col("a_own") != F.col("b_own")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from marlpit.llm import arrow, lines, lm, queries, tables
+from marlpit.llm import arrow, lines, linking, lm, queries, tables
 
 
 def test_network_is_fitted_on_a_share_that_grows(spark, monkeypatch):
@@ -73,3 +73,25 @@ def test_intermediate_tables_are_deleted(spark, tiny, tmp_path, monkeypatch):
         tables.written(spark.range(3))
         raise ZeroDivisionError
     assert tables_in(folder) == 0 and tables._inner.get() is None
+
+
+def test_large_buckets_are_compared_whole_after_their_blocks(spark, monkeypatch):
+    """A bucket of several families whose members are near some of the family alone: the components are those of all its pairs."""
+    monkeypatch.setattr(linking, "PART", 4)
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    draw, sets = np.random.default_rng(7), {}
+    for k in range(90):
+        start = 1000 * (k % 3) + 3 * int(draw.integers(0, 12))
+        sets[k] = sorted({*range(start, start + 30)} - {start + int(draw.integers(0, 30))})
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len({*sets[a]} & {*sets[b]})
+            if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    alone = {k for k in label if [*label.values()].count(label[k]) == 1}
+    keyed = spark.createDataFrame([(k, key) for k in sets for key in (5, 6)], "id bigint, key bigint")
+    items = spark.createDataFrame(list(sets.items()), "id bigint, items array<bigint>")
+    found = linking.link(linking.Sketches(keyed), lambda wanted, n: items.join(wanted, "id"))
+    assert {tuple(r) for r in found.collect()} == {(k, v) for k, v in label.items() if k not in alone}
