@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from marlpit.functions.scalar import bin_of, col
 
+#: Rows of one range of time in an as-of join, and how many ranges there are at most.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 1024
+
 CATALOG = "name string, version string, row_count bigint, column_count int, columns array<string>, created_at timestamp, data_hash string, source string, description string"
 
 
@@ -33,7 +36,7 @@ def left_join(entities: DataFrame, features: DataFrame, key: str, suffix: str) -
     return entities.join(renamed, key, "left")
 
 
-def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_time: str, feature_time: str, values: list[str], max_age: Column | None = None, ranges: int = 32) -> DataFrame:
+def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_time: str, feature_time: str, values: list[str], max_age: Column | None = None, ranges: int | None = None) -> DataFrame:
     """Entities with the latest features of their key at or before their time; nulls if there are none, or only older ones than ``max_age``.
 
     Both sides are laid over each other and each entity takes the last features above it, so rows aren't multiplied.
@@ -46,16 +49,22 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_time:
     given = F.struct(*(col(c).alias(f"_e{k}") for k, c in enumerate(entities.columns)))
     two = entities.select(col(key).alias("_key"), col(entity_time).alias("_time"), F.lit(1).alias("_side"), given.alias("_entity"))
     both = one.unionByName(two, allowMissingColumns=True)
-    # a key of very many rows is dealt into ranges of time; what a range leaves open comes from the ranges before it
+    # a key of very many rows is dealt into ranges of time, of which there are more the more rows there are; what a range leaves open
+    # comes from the ranges before it
     at = F.unix_micros(F.col("_time").cast("timestamp"))
-    ends = both.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)], 1_000).alias("e")).first().e
-    both = both.withColumn("_range", bin_of(at, F.array(*map(F.lit, sorted(set(ends or [])))).cast("array<bigint>")))
-    order = Window.partitionBy("_key", "_range").orderBy("_time", "_side", "_feature").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("_last", F.last("_feature", ignorenulls=True).over(order)).filter("_side = 1")
-    tails = both.groupBy("_key", "_range").agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_feature"))).alias("_tail"))
-    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-    carried = tails.select("_key", "_range", F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
-    found = inside.join(carried, ["_key", "_range"], "left").withColumn("_last", F.coalesce("_last", "_carried._feature"))
+    seen = both.agg(F.count("*").alias("n"), F.percentile_approx(at, [k / MOST_RANGES for k in range(1, MOST_RANGES)], 10_000).alias("e")).first()
+    wanted = min(ranges or -(-seen.n // RANGE_ROWS), MOST_RANGES)
+    ends = sorted({seen.e[k * MOST_RANGES // wanted - 1] for k in range(1, wanted)}) if seen.e else []
+    last = F.last("_feature", ignorenulls=True)
+    order = Window.partitionBy("_key", *(["_range"] if ends else [])).orderBy("_time", "_side", "_feature").rowsBetween(Window.unboundedPreceding, 0)
+    if ends:
+        both = both.withColumn("_range", bin_of(at, F.array(*map(F.lit, ends)).cast("array<bigint>")))
+    found = both.withColumn("_last", last.over(order)).filter("_side = 1")
+    if ends:
+        tails = both.groupBy("_key", "_range").agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_feature"))).alias("_tail"))
+        before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+        carried = tails.select("_key", "_range", F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
+        found = found.join(carried, ["_key", "_range"], "left").withColumn("_last", F.coalesce("_last", "_carried._feature"))
     good = F.col("_key").isNotNull() & F.col("_time").isNotNull()
     if max_age is not None:
         good = good & (F.col("_last._at") >= F.col("_time") - max_age)

@@ -190,8 +190,9 @@ def test_monitoring_results_are_saved(sample, tmp_path, spark):
 def test_as_of_join_never_looks_ahead(spark):
     entities = spark.createDataFrame([(1, 10, "x"), (1, 5, "x"), (1, 1, "x"), (2, 9, "x"), (None, 9, "x"), (1, None, "x"), (1, 10, "x")], "k int, t int, f string")
     rows = spark.createDataFrame([(1, 5, 50.0), (1, 10, 100.0), (1, 11, 110.0), (1, 2, None), (None, 1, 1.0)], "k int, ft int, v double")
-    found = sorted((r.k or 0, r.t or 0, r.v or -1) for r in store.as_of_join(entities, rows, "k", "t", "ft", ["v"]).collect())
-    assert found == sorted([(1, 10, 100.0), (1, 10, 100.0), (1, 5, 50.0), (1, 1, -1), (2, 9, -1), (0, 9, -1), (1, 0, -1)])
+    for ranges in (None, 3):
+        found = sorted((r.k or 0, r.t or 0, r.v or -1) for r in store.as_of_join(entities, rows, "k", "t", "ft", ["v"], ranges=ranges).collect())
+        assert found == sorted([(1, 10, 100.0), (1, 10, 100.0), (1, 5, 50.0), (1, 1, -1), (2, 9, -1), (0, 9, -1), (1, 0, -1)])
     young = store.as_of_join(entities, rows.filter("v = 50"), "k", "t", "ft", ["v"], F.lit(3)).collect()
     assert {(r.t, r.v) for r in young if r.k == 1} == {(10, None), (5, 50.0), (1, None), (None, None)}
 
@@ -201,7 +202,7 @@ def test_as_of_join_never_looks_ahead(spark):
 def test_as_of_join_against_a_loop(spark, entities, rows):
     e = spark.createDataFrame([(k, *x) for k, x in enumerate(entities)], "i int, k int, t int")
     f = spark.createDataFrame(rows, "k int, ft int, v int")
-    for r in store.as_of_join(e, f, "k", "t", "ft", ["v"]).collect():
+    for r in store.as_of_join(e, f, "k", "t", "ft", ["v"], ranges=len(rows) % 3 or None).collect():
         before = [(t, v) for k, t, v in rows if k == r.k and t <= r.t]
         assert r.v == (max(before)[1] if before else None)
 
@@ -436,7 +437,7 @@ def test_exact_quantiles_of_odd_groups(spark):
     groups = {"even": draw.random(500).tolist(), "hot": [3.0] * 400 + draw.random(50).tolist(), "one": [7.5], "two": [1.0, 2.0], "steps": [float(k % 5) for k in range(333)], "none": [None, None]}
     rows = spark.createDataFrame([(g, v) for g, own in groups.items() for v in [*own, None]], "g string, value double")
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    found = {r.g: r.quantiles for r in exact_quantiles(rows, ["g"], shares, ranges=8).collect()}
+    found = {r.g: r.quantiles for r in exact_quantiles(rows, ["g"], shares).collect()}
     assert set(found) == set(groups) - {"none"}
     for g, own in found.items():
         assert np.allclose(own, np.quantile(groups[g], shares))
@@ -448,7 +449,9 @@ def test_as_of_join_across_ranges(spark):
     features = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:00:05", 2.0), (2, "2024-03-01 00:00:00", 9.0)], "k int, at string, v double").withColumn("at", F.col("at").cast("timestamp"))
     entities = spark.range(500).select(F.lit(1).alias("k"), F.expr("timestamp'2024-01-01 00:00:03' + make_interval(0, 0, 0, 0, cast(id as int))").alias("t"), "id")
     entities = entities.unionByName(spark.createDataFrame([(None, None, -1), (2, None, -2), (3, None, -3)], "k int, t timestamp, id bigint"))
-    found = {r.id: r.v for r in store.as_of_join(entities, features, "k", "t", "at", ["v"]).collect()}
+    joined = store.as_of_join(entities, features, "k", "t", "at", ["v"], ranges=32)
+    assert "_range" in joined._jdf.queryExecution().analyzed().toString() and "_range" not in store.as_of_join(entities, features, "k", "t", "at", ["v"])._jdf.queryExecution().analyzed().toString()
+    found = {r.id: r.v for r in joined.collect()}
     assert len(found) == 503 and found[0] == 1.0 and found[-1] is None and found[-2] is None and found[-3] is None
     assert all(found[k] == 2.0 for k in range(1, 500))
 
