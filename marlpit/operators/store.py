@@ -196,13 +196,17 @@ class FeatureStore:
         return found.unionByName(none.withColumn("error", F.lit("not found")), allowMissingColumns=True)
 
     def feature_set(self, entities: DataFrame, spec: dict, key: str = "record_id") -> FeatureSet:
-        """A named set from configuration: its source table, and how many columns by which selection."""
+        """A named set from configuration: its source table, how many columns by which selection, and which of its columns are ids.
+
+        Ids (``ids``) aren't features: their variance grows with the table's keys. They are left out.
+        """
         from marlpit.operators.features import feature_columns, select_features
 
         made = self.training_set(entities, [spec["source"]], key)
-        columns = [c for c in feature_columns(made.data) if c in made.feature_names]
+        ids = [c for c in spec.get("ids", ()) if c in made.feature_names]
+        columns = [c for c in feature_columns(made.data, (key, *ids)) if c in made.feature_names]
         kind = {"variance": "clusterer", "anova": "classifier", "regression": "regressor"}[spec.get("selection", "variance")]
-        data, chosen = select_features(made.data, columns, spec.get("size", len(columns)), spec.get("target"), kind)
+        data, chosen = select_features(made.data.drop(*ids), columns, spec.get("size", len(columns)), spec.get("target"), kind)
         return FeatureSet(data, chosen, made.versions, made.skipped)
 
 

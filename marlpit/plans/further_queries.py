@@ -267,11 +267,11 @@ def stores_by_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A set from configuration: the column of most variance, of all orders."""
+    """A set from configuration: the column of most variance that is no id, of all orders."""
     held = store.FeatureStore(spark, new_folder(spark, "store"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey", "o_totalprice")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey", "o_totalprice", F.month("o_orderdate").alias("o_month"))
     held.register("orders", orders, "v1")
-    return rounded(held.feature_set(orders.select("record_id"), {"source": "orders", "selection": "variance", "size": 1}).data)
+    return rounded(held.feature_set(orders.select("record_id"), {"source": "orders", "selection": "variance", "size": 1, "ids": ["o_custkey"]}).data)
 
 
 # ---------------------------------------------------------------- changes and streams

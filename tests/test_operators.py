@@ -224,6 +224,15 @@ def test_store_versions_keys_and_lineage(spark, tmp_path):
     assert held.feature_set(df.select("record_id"), {"source": "f", "size": 1}).feature_names == ["alpha"]
 
 
+def test_ids_are_no_features_of_a_named_set(spark, tmp_path):
+    """The variance of ids grows with the table; they must not win against a feature."""
+    held = store.FeatureStore(spark, str(tmp_path / "store"))
+    df = spark.range(9).select(F.col("id").alias("record_id"), (F.col("id") % 3).cast("double").alias("alpha"), (F.col("id") * 1000).alias("customer"))
+    held.register("h", df, "v1")
+    made = held.feature_set(df.select("record_id"), {"source": "h", "size": 1, "ids": ["customer"]})
+    assert made.feature_names == ["alpha"] and made.data.columns == ["record_id", "alpha"]
+
+
 def test_training_set_as_of(spark, tmp_path):
     held = store.FeatureStore(spark, str(tmp_path))
     held.register("f", spark.createDataFrame([(1, 1, 10.0), (1, 5, 50.0)], "record_id bigint, ts int, value double"), "v1")
