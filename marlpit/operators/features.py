@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -335,6 +336,8 @@ def polynomial(df: DataFrame, columns: list[str], keep: Iterable[str] = ()) -> D
 
 #: Rows from which a key is dealt into ranges, and ranges of such a key.
 HOT_ROWS, HOT_RANGES = 1_000_000, 64
+#: Rows from which a key's rolling windows aren't left to frames, each of which is added up anew; and microseconds of a day.
+ROLLED_ROWS, DAY = 2_000, 86_400_000_000
 
 
 def _split_hot(df: DataFrame, key: str, most_rows: int) -> tuple[DataFrame, DataFrame] | None:
@@ -344,7 +347,7 @@ def _split_hot(df: DataFrame, key: str, most_rows: int) -> tuple[DataFrame, Data
         return None
     hot = kept(counts.select("_hot"))
     same = col(key).eqNullSafe(F.col("_hot"))
-    return df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def lags(df: DataFrame, key: str, order: list[str], value: str, periods: Iterable[int] = (1, 7, 30), most_rows: int = HOT_ROWS) -> DataFrame:
@@ -379,32 +382,61 @@ def lags(df: DataFrame, key: str, order: list[str], value: str, periods: Iterabl
     return lagged(cold, [col(key)], [col(o) for o in order]).unionByName(done.select(*columns))
 
 
-def rolling(df: DataFrame, key: str, time: str, value: str, days: Iterable[int] = (7, 30, 90), most_rows: int = HOT_ROWS) -> DataFrame:
+def rolling(df: DataFrame, key: str, time: str, value: str, days: Iterable[int] = (7, 30, 90), most_rows: int = ROLLED_ROWS) -> DataFrame:
     """``df`` with the key's mean and number of values in the days up to each row, that instant included.
 
-    Keys of more than ``most_rows`` are dealt into ranges of time of about as many rows each; a row goes to those later ranges too that begin within the longest
-    window after it. A row is so copied as often as ranges begin within that time.
+    A window's frame is added up anew for each row, so keys of more than ``most_rows`` are done by :func:`_rolled_by_cells` instead, whose work doesn't hang on
+    how many rows a window holds.
     """
     at, days = F.unix_micros(col(time).cast("timestamp")), list(days)
     split = _split_hot(df, key, most_rows) if days else None
 
-    def rolled(rows: DataFrame, by: list[Column]) -> DataFrame:
+    def rolled(rows: DataFrame) -> DataFrame:
         out = []
         for n in days:
-            w = Window.partitionBy(*by).orderBy(at).rangeBetween(-n * 86_400_000_000, 0)
+            w = Window.partitionBy(col(key)).orderBy(at).rangeBetween(-n * DAY, 0)
             out += [F.avg(col(value)).over(w).alias(f"{value}_mean_{n}d"), F.count(col(value)).over(w).alias(f"{value}_count_{n}d")]
         return rows.select("*", *out)
 
     if split is None:
-        return rolled(df, [col(key)])
+        return rolled(df)
     cold, hot = split
-    ends = hot.groupBy(col(key).alias("_key")).agg(F.array_distinct(F.percentile_approx(at, [k / HOT_RANGES for k in range(1, HOT_RANGES)], 1_000)).alias("_ends"))
-    placed = hot.join(F.broadcast(ends), col(key).eqNullSafe(F.col("_key")))
-    none = F.lit(0)
-    placed = placed.withColumn("_own", F.coalesce(bin_of(at, F.col("_ends")), none)).withColumn("_last", F.coalesce(bin_of(at + max(days) * 86_400_000_000, F.col("_ends")), none))
-    spread = placed.withColumn("_in", F.explode(F.sequence("_own", "_last"))).drop("_ends", "_key", "_last")
-    done = rolled(spread, [col(key), F.col("_in")]).filter("_in = _own").drop("_in", "_own")
-    return rolled(cold, [col(key)]).unionByName(done)
+    one = rolled(cold)
+    return one.unionByName(_rolled_by_cells(hot, key, at, value, days, one))
+
+
+def _rolled_by_cells(hot: DataFrame, key: str, at: Column, value: str, days: list[int], like: DataFrame) -> DataFrame:
+    """:func:`rolling` of keys of any number of rows, in the types of ``like``.
+
+    Time is cut into cells as long as the window, so that a window is the end of one cell and the beginning of the next: two running sums, one to a row's
+    instant and one down to that a window before it. No sum is taken from another, so no digits are lost. Instants are put together first; a cell is cut by
+    ranges of the key's instants, whose totals are joined back, and no row is copied but for one that asks at a window's beginning.
+    """
+    kinds = {f.name: f.dataType for f in like.schema}
+    own = col(value) if isinstance(kinds[value], T.DecimalType) else col(value).cast("double")
+    instants = kept(hot.groupBy(col(key).alias("_key"), at.alias("_at")).agg(F.count(own).alias("_n"), F.coalesce(F.sum(own), F.lit(0)).alias("_s")))
+    shares = [k / HOT_RANGES for k in range(1, HOT_RANGES)]
+    ends = instants.groupBy(F.col("_key").alias("_of")).agg(F.array_distinct(F.percentile_approx("_at", shares, 1_000)).alias("_ends"))
+    # each window's cells: an instant's own, with its values, and the one before, where it only asks
+    asked = lambda n, place, asks: F.struct(F.lit(n).alias("_days"), place.alias("_place"), (place - F.pmod(place, F.lit(n * DAY))).alias("_cell"), F.lit(asks).alias("_asks"))
+    spread = instants.join(F.broadcast(ends), F.col("_key").eqNullSafe(F.col("_of"))).select("_key", "_at", "_n", "_s", "_ends", F.inline(F.array(*(x for n in days for x in (asked(n, F.col("_at"), False), asked(n, F.col("_at") - n * DAY, True))))))
+    spread = spread.filter("not _asks or _at is not null").withColumn("_in", F.coalesce(bin_of(F.col("_place"), F.col("_ends")), F.lit(0)))
+    part = ["_key", "_days", "_cell", "_in"]
+    values = (F.when(F.col("_asks"), F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("_n", "_s"))
+    held = kept(spread.select(*part, "_at", "_place", "_asks", *values))
+    inside = Window.partitionBy(*part)
+    up, down = (inside.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("_place"), F.desc("_place")))
+    summed = held.select(*part, "_at", "_asks", *(F.when(F.col("_asks"), F.sum(c).over(down)).otherwise(F.sum(c).over(up)).alias(c) for c in ("_n", "_s")))
+    totals = held.groupBy(*part).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    ranges = Window.partitionBy("_key", "_days", "_cell").orderBy("_in")
+    below, above = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
+    others = totals.select(*(F.col(c).alias(f"_o{c}") for c in part), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_{name}") for c in ("_n", "_s") for name, w in (("below", below), ("above", above))))
+    pieces = summed.join(others, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in part)))
+    piece = lambda c: F.col(c) + F.when(F.col("_asks"), F.col(f"{c}_above")).otherwise(F.col(f"{c}_below"))
+    own_days = lambda c, n: F.sum(F.when(F.col("_days") == n, piece(c))).alias(f"{c}{n}")
+    found = pieces.groupBy(F.col("_key").alias("_of"), F.col("_at").alias("_then")).agg(*(own_days(c, n) for n in days for c in ("_n", "_s")))
+    columns = [x for n in days for x in (F.try_divide(F.col(f"_s{n}"), F.col(f"_n{n}")).cast(kinds[f"{value}_mean_{n}d"]).alias(f"{value}_mean_{n}d"), F.col(f"_n{n}").cast("bigint").alias(f"{value}_count_{n}d"))]
+    return hot.join(found, col(key).eqNullSafe(F.col("_of")) & at.eqNullSafe(F.col("_then"))).select(*(col(c) for c in hot.columns), *columns)
 
 
 def target_encode(df: DataFrame, column: str, target: str) -> DataFrame:

@@ -196,6 +196,19 @@ def test_hot_keys_of_rolling_windows_are_spread(spark, hot):
     assert features.rolling(some.filter("k = 7"), "k", "t", "v", (1,), most_rows=100).count() == some.filter("k = 7").count()
 
 
+def test_rolling_windows_of_hot_keys_dont_hang_on_frames(spark):
+    """No frame that slides, whatever a window holds; small values beside great ones keep their digits, and NaN stays in its windows."""
+    rows = [(k // 3, float("nan") if k == 900 else 1e15 if k < 300 else 0.1 * (k % 7)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "hour int, v double").select(F.lit("a").alias("k"), F.expr("timestamp'1969-12-30 00:00:00' + make_interval(0, 0, 0, 0, hour)").alias("t"), "v", "hour")
+    split = features.rolling(df, "k", "t", "v", (1, 3), most_rows=10)
+    hot_side = plan_of(split).split("Union", 1)[1]
+    assert hot_side.count("-86400000000") == plan_of(features.rolling(df, "k", "t", "v", (1, 3))).count("-86400000000")
+    for r in split.collect():
+        for n in (1, 3):
+            own = [v for h, v in rows if r.hour - 24 * n <= h <= r.hour]
+            assert r[f"v_count_{n}d"] == len(own) and r[f"v_mean_{n}d"] == pytest.approx(float(np.mean(own)), rel=1e-12, nan_ok=True)
+
+
 # ---------------------------------------------------------------- sketches
 
 
