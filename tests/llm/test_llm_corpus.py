@@ -546,6 +546,17 @@ def test_scores_by_brute_force(spark, tiny, monkeypatch):
 
 
 
+def test_every_training_text_is_fitted_to_once(spark, monkeypatch):
+    """However large the corpus is said to be, no text is drawn: the rounds go through all of them."""
+    seen = []
+    monkeypatch.setattr(lm, "fitted_round", lambda part, net, rate, tasks: (seen.extend(r.text for r in part.collect()), 0.0, net))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    counts = np.zeros(lm.END + 1)
+    counts[:1000] = 1_000_000
+    lm.fitted(docs, counts)
+    assert sorted(seen) == sorted(f"text {k}" for k in range(300))
+
+
 # ---------------------------------------------------------------- pipeline
 
 
