@@ -1,6 +1,7 @@
 """Dependency tables, as edges (child, parent): closure, layers and checks, each by joins that repeat until nothing is new.
 
 Each turn's tables are written to the checkpoint folder that the session names, so that plans don't grow and lost executors cost one turn only.
+Tables that grow with the edges are never sent through the driver: a turn's joins shuffle, however small the turn, as what is broadcast adds up.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, to be joined by a shuffle."""
+    return df.hint("merge")
+
+
 def edges_of(models: DataFrame, item: str = "model_id", parents: str = "depends_on") -> DataFrame:
     """(child, parent) of a table with an array of parents."""
     return models.select(F.col(item).alias("child"), F.explode(parents).alias("parent"))
@@ -38,13 +44,13 @@ def closure(edges: DataFrame, start: DataFrame | None = None, transitive: bool =
     what wasn't known. For all items the ways that are covered double in length each turn; pairs found earlier aren't written again.
     """
     own = cut(edges.select(F.col("child").alias("item"), F.col("parent").alias("ancestor")).filter("item is not null and ancestor is not null").distinct())
-    new = own if start is None else cut(own.join(start.select(F.col(start.columns[0]).alias("item")), "item", "left_semi"))
+    new = own if start is None else cut(own.join(shuffled(start.select(F.col(start.columns[0]).alias("item"))), "item", "left_semi"))
     parts = [new]
     while transitive:
         known = reduce(DataFrame.unionByName, parts)
         above = (known if start is None else own).select(F.col("item").alias("ancestor"), F.col("ancestor").alias("above"))
-        found = new.join(above, "ancestor").select("item", F.col("above").alias("ancestor")).distinct()
-        new = cut(found.join(known, ["item", "ancestor"], "left_anti"))
+        found = new.join(shuffled(above), "ancestor").select("item", F.col("above").alias("ancestor")).distinct()
+        new = cut(found.join(shuffled(known), ["item", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
         parts.append(new)
@@ -75,13 +81,13 @@ def layers(edges: DataFrame, items: DataFrame | None = None) -> DataFrame:
         named = named.unionByName(items.select(F.col(items.columns[0]).alias("item")))
     left, n, out = cut(named.filter("item is not null").distinct()), 0, None
     while not left.isEmpty():
-        blocked = own.join(left.select(F.col("item").alias("parent")), "parent", "left_semi").select(F.col("child").alias("item")).distinct()
-        ready = cut(left.join(blocked, "item", "left_anti"))
+        blocked = own.join(shuffled(left.select(F.col("item").alias("parent"))), "parent", "left_semi").select(F.col("child").alias("item")).distinct()
+        ready = cut(left.join(shuffled(blocked), "item", "left_anti"))
         if ready.isEmpty():
             raise CycleError("items depend on each other in a circle")
         now = ready.withColumn("layer", F.lit(n))
         out = now if out is None else out.unionByName(now)
-        left, n = cut(left.join(ready, "item", "left_anti")), n + 1
+        left, n = cut(left.join(shuffled(ready), "item", "left_anti")), n + 1
     return out if out is not None else named.limit(0).withColumn("layer", F.lit(0))
 
 
@@ -99,9 +105,9 @@ def cyclic(edges: DataFrame) -> DataFrame:
         while size:
             own = left.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("only"))
             above = own.select(F.col("child").alias("parent"), F.when(F.col("n") == 1, F.col("only")).alias("next"))
-            left = held(left.join(above, "parent").select("child", F.coalesce("next", "parent").alias("parent")).distinct())
+            left = held(left.join(shuffled(above), "parent").select("child", F.coalesce("next", "parent").alias("parent")).distinct())
             before, size = size, left.count()
-            if size == before and left.join(left.select(F.col("child").alias("parent")), "parent", "left_anti").isEmpty():
+            if size == before and left.join(shuffled(left.select(F.col("child").alias("parent"))), "parent", "left_anti").isEmpty():
                 break
         return kept(left.select(F.col("child").alias("item")).distinct())
 
@@ -110,7 +116,7 @@ def edge_checks(edges: DataFrame, items: DataFrame) -> DataFrame:
     """(check, item): parents that aren't items (``unknown_parent``), items without any edge (``orphan``), and those in or
     below a circle (``cycle``)."""
     known = items.select(F.col(items.columns[0]).alias("item")).distinct()
-    unknown = edges.select(F.col("parent").alias("item")).distinct().join(known, "item", "left_anti").withColumn("check", F.lit("unknown_parent"))
+    unknown = edges.select(F.col("parent").alias("item")).distinct().join(shuffled(known), "item", "left_anti").withColumn("check", F.lit("unknown_parent"))
     touched = edges.select(F.col("child").alias("item")).unionByName(edges.select(F.col("parent").alias("item"))).distinct()
-    orphan = known.join(touched, "item", "left_anti").withColumn("check", F.lit("orphan"))
+    orphan = known.join(shuffled(touched), "item", "left_anti").withColumn("check", F.lit("orphan"))
     return unknown.unionByName(orphan).unionByName(cyclic(edges).withColumn("check", F.lit("cycle"))).select("check", "item")
