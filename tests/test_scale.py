@@ -245,3 +245,22 @@ def test_drift_from_sketches_is_near_the_exact_one(spark, tmp_path):
     assert all(r.psi == 0 and r.ks_statistic == 0 for r in same)
     assert (found["few"].distinct_before, found["few"].distinct_after) == (4, 5)
     assert sketches.drift(held, sketches.sketch(two.limit(0), ["x", "few"])).count() == 0
+
+
+# ---------------------------------------------------------------- what goes through the driver
+
+
+def test_turns_of_dependencies_are_never_broadcast(spark, monkeypatch):
+    """A turn's tables go through the driver if they are broadcast, and there are many turns."""
+    plans, cut = [], lineage.cut
+
+    def spied(df):
+        made = cut(df)
+        plans.append(plan_of(df))
+        return made
+
+    monkeypatch.setattr(lineage, "cut", spied)
+    edges = spark.range(2, 200).select(F.col("id").alias("child"), F.expr("id div 2").alias("parent"))
+    assert {r.item: r.layer for r in lineage.layers(edges).collect()} == {k: k.bit_length() - 1 for k in range(1, 200)}
+    assert {r.item for r in lineage.downstream(edges, 5).collect()} == {k for k in range(10, 200) if bin(k).startswith("0b101")}
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
