@@ -6,11 +6,15 @@ is one ``select`` of expressions, so that Catalyst prunes the scan to the column
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +27,8 @@ from marlpit.sources.scratch import kept
 UNKNOWN, REFERENCE_DAY = "__unknown__", "2024-01-01"
 #: Categories that may be sent to every executor.
 BROADCAST_CATEGORIES = 1_000_000
+#: Text bytes whose words are counted together inside a task.
+TEXT_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- roles
@@ -477,19 +483,55 @@ def term_weights(df: DataFrame, text: str, key: str, features: int = 1 << 18) ->
 
     A word is a run of ASCII letters, digits and underscores of the lower-cased text; its bucket is the first 32 bits of its MD5 by ``features``. The
     inverse frequency is ``ln((texts + 1) / (texts with the bucket + 1))``. Rows of one key are one text; null and empty texts have no buckets.
-    Words are counted by key and bucket before anything is gathered; the one table that is sent to the executors has ``features`` rows at most.
+    Each task counts the words of its own rows, of a batch's words each once, so that neither words nor texts are shuffled; rows whose key comes again are put
+    together after. Two columns of ``features`` rows at most, buckets and their frequencies, go through the driver.
     """
-    own = df.select(col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text"))
-    words = own.select("_key", F.explode(F.split(F.lower("_text"), r"\W+")).alias("_word")).filter("_word <> ''")
-    bucket = F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("bigint") % features
-    counted = words.groupBy("_key", bucket.cast("int").alias("_bucket")).agg(F.count("*").alias("_n"))
-    texts = own.select("_key").distinct().agg(F.count("*").alias("_texts"))
-    rarity = counted.groupBy("_bucket").agg(F.count("*").alias("_in")).crossJoin(F.broadcast(texts)).select("_bucket", F.ln((F.col("_texts") + 1) / (F.col("_in") + 1)).alias("_idf"))
-    weighed = counted.join(F.broadcast(rarity), "_bucket").select("_key", F.struct(F.col("_bucket").alias("b"), F.col("_n").alias("n"), (F.col("_n") * F.col("_idf")).alias("w")).alias("_t"))
-    held = weighed.groupBy("_key").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    held = held.withColumnRenamed("_key", "_of")
-    every = own.select("_key").distinct().join(held, F.col("_key").eqNullSafe(F.col("_of")), "left").select(F.col("_key").alias(key), F.coalesce("_ts", F.array().cast("array<struct<b:int,n:bigint,w:double>>")).alias("_ts"))
-    return every.select(col(key), F.col("_ts.b").alias("buckets"), F.col("_ts.n").alias("counts"), F.col("_ts.w").alias("tfidf"))
+    spark = df.sparkSession
+    # lower case as Spark has it
+    own = df.select(col(key).alias("_key"), F.coalesce(F.lower(col(text)), F.lit("")).alias("_text"))
+    kind = own.schema["_key"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            texts = batch.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            while at < len(texts):  # rows of bounded size together
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
+                lists = pc.split_pattern_regex(texts.slice(at, end - at), r"[^a-zA-Z0-9_]+")
+                coded = lists.flatten().dictionary_encode()
+                of = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % features if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+                bucket = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else np.zeros(0, np.int64)
+                offsets = lists.offsets.to_numpy()
+                row = np.repeat(np.arange(end - at), np.diff(offsets))
+                cells, n = np.unique((row * features + bucket)[bucket >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(cells, np.arange(end - at + 1) * features).astype(np.int32))
+                held = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cells % features).astype(np.int32), n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *held], ["_key", "_b", "_n"])
+                at = end
+
+    rows = kept(own.mapInArrow(counted, f"_key {kind}, _b array<int>, _n array<bigint>"))
+    again = rows.groupBy(F.col("_key").alias("_of")).agg(F.count("*").alias("_c")).filter("_c > 1").select("_of")
+    if not again.isEmpty():
+        same = F.col("_key").eqNullSafe(F.col("_of"))
+        split = rows.join(again, same, "left_semi").select("_key", F.inline_outer(F.arrays_zip("_b", "_n"))).groupBy("_key", "_b").agg(F.sum("_n").alias("_n"))
+        whole = split.groupBy("_key").agg(F.array_sort(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))).alias("_t")).select("_key", F.col("_t._b").alias("_b"), F.col("_t._n").alias("_n"))
+        rows = kept(rows.join(again, same, "left_anti").unionByName(whole))
+    found = rows.select(F.explode("_b").alias("_b")).groupBy("_b").agg(F.count("*").alias("_in")).toPandas()
+    idf = np.zeros(features)
+    idf[found["_b"].to_numpy(np.int64)] = np.log((rows.count() + 1) / (found["_in"].to_numpy(np.float64) + 1))
+    shared = spark.sparkContext.broadcast(idf)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, n = batch.column(1), batch.column(2)
+            w = shared.value[b.flatten().to_numpy(zero_copy_only=False)] * n.flatten().to_numpy(zero_copy_only=False)
+            offsets = b.offsets.to_numpy()
+            weights = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(w.astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), b, n, weights], ["_key", "buckets", "counts", "tfidf"])
+
+    out = rows.select("_key", "_b", "_n").mapInArrow(weighed, f"_key {kind}, buckets array<int>, counts array<bigint>, tfidf array<double>")
+    return out.select(F.col("_key").alias(key), "buckets", "counts", "tfidf")
 
 
 def drop_constant(df: DataFrame, columns: list[str], least: float = 0.01) -> list[str]:

@@ -264,3 +264,13 @@ def test_turns_of_dependencies_are_never_broadcast(spark, monkeypatch):
     assert {r.item: r.layer for r in lineage.layers(edges).collect()} == {k: k.bit_length() - 1 for k in range(1, 200)}
     assert {r.item for r in lineage.downstream(edges, 5).collect()} == {k for k in range(10, 200) if bin(k).startswith("0b101")}
     assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_words_of_weighed_terms_are_not_shuffled(spark):
+    """Tasks count their own rows' words; rows of one key are put together all the same, those without text among them."""
+    rows = [(1, "Ä cat, the cat"), (2, "the dog"), (1, "The cat again"), (1, None), (3, None), (3, ""), (None, "a"), (None, "b a")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    joined = spark.createDataFrame([(1, "Ä cat, the cat The cat again"), (2, "the dog"), (3, ""), (None, "a b a")], "k int, t string")
+    one, two = (features.term_weights(x, "t", "k") for x in (df, joined))
+    assert "Exchange" not in plan_of(one) and "Exchange" not in plan_of(two)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
