@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.functions.scalar import col
+from marlpit.operators.store import latest
 from marlpit.sources.scratch import scratch
 from marlpit.streaming.keyed_table import DELETED, KeyedTable
 
@@ -45,15 +46,14 @@ class IncrementalFeatures:
         spark = changes.sparkSession
         with scratch(spark) as kept:
             gone = F.coalesce(col(deleted), F.lit(False)) if deleted else F.lit(False)
-            given = kept(changes.select(col(self.entity), col(self.row), col(self.value), col(self.sequence), gone.alias("_gone")))
-            keys = given.select(col(self.entity), col(self.row)).distinct()
-            known = self.rows.of_keys(keys, batch)
-            again = kept(given.limit(0).select(col(self.entity)) if known is None else known.select(col(self.entity)).distinct())
-            self.rows.write(given, batch, "_gone")
-            # what this batch holds of new rows is what its own generation says: the last change of each row
-            new = self.rows.of_keys(keys).filter(~F.col(DELETED)).join(again, self.entity, "left_anti")
-            new = self.rows._last(new)
-            fresh = states(new.join(keys, [self.entity, self.row], "left_semi"), self.entity, self.value)
+            given = changes.select(col(self.entity), col(self.row), col(self.value), col(self.sequence), gone.alias("_gone"))
+            # the last change of each row, as the table of rows takes it; nothing of the batch is read back
+            last = kept(latest(given, [self.entity, self.row], [self.sequence, "_gone", self.value]))
+            known = self.rows.of_keys(last.select(col(self.entity), col(self.row)), batch)
+            again = kept(last.limit(0).select(col(self.entity)) if known is None else known.select(col(self.entity)).distinct())
+            self.rows.write(last, batch, "_gone")
+            new = last.filter("not _gone").join(again, self.entity, "left_anti")
+            fresh = kept(states(new, self.entity, self.value))
             before = self.held.read(fresh.select(col(self.entity)), batch)
             parts = fresh if before is None else fresh.unionByName(before.select(fresh.columns))
             one = kept(merged(parts, self.entity))

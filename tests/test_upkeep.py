@@ -118,3 +118,14 @@ def test_incremental_features_touch_changed_entities_alone(spark, tmp_path):
     held.apply(make([(2, 50, 4.0, 1, False)]), 3, "gone")
     held.compact(1)
     assert sorted(map(tuple, held.features().collect())) == before
+
+
+def test_a_batch_of_changes_is_not_read_back(spark, tmp_path, monkeypatch):
+    """New rows are known from the batch itself: the last change of each, unless it is a deletion."""
+    asked, of_keys = [], KeyedTable.of_keys
+    monkeypatch.setattr(KeyedTable, "of_keys", lambda self, keys, before=None: (asked.append(before), of_keys(self, keys, before))[1])
+    held = IncrementalFeatures(spark, str(tmp_path), "e", "r", "v", "seq", buckets=2)
+    rows = [(1, 1, 5.0, 1, False), (1, 1, 7.0, 2, False), (1, 2, 9.0, 1, False), (1, 2, 9.0, 2, True), (2, 1, 1.0, 1, True), (3, 1, None, 1, False)]
+    held.apply(spark.createDataFrame(rows, "e bigint, r bigint, v double, seq int, gone boolean"), 0, "gone")
+    assert asked and None not in asked
+    assert {r.e: (r.n, r.total) for r in held.features().collect()} == {1: (1, 7.0), 3: (0, 0.0)}
