@@ -155,9 +155,15 @@ def save(results: dict[str, DataFrame], path: str) -> None:
         (writer.json if name == "alerts" else writer.parquet)(f"{path}/{name}")
 
 
-def roll_up(training: DataFrame, predictions: DataFrame, alert_rows: DataFrame, table: DataFrame) -> DataFrame:
-    """One row for the whole run: models trained and failed, predictions, drifted features and alerts by severity."""
+def roll_up(training: DataFrame, predictions: DataFrame, alert_rows: DataFrame, table: DataFrame, distribution: DataFrame | None = None) -> DataFrame:
+    """One row for the whole run: models trained and failed, predictions, drifted features and alerts by severity.
+
+    With the predictions' ``distribution``, which has a row for each model, predictions are counted from it and not read again.
+    """
     t = training.agg(F.count_if(F.col("status") == "success").alias("models_ok"), F.count_if(F.col("status") != "success").alias("models_failed"))
-    p = predictions.agg(F.count("*").alias("predictions"), F.count_distinct("model_id").alias("models_scored"))
+    if distribution is None:
+        p = predictions.agg(F.count("*").alias("predictions"), F.count_distinct("model_id").alias("models_scored"))
+    else:
+        p = distribution.agg(F.coalesce(F.sum("total_records"), F.lit(0)).alias("predictions"), F.count("model_id").alias("models_scored"))
     a = alert_rows.agg(*(F.count_if(F.col("severity") == s).alias(f"alerts_{s.lower()}") for s in ("P1", "P2", "P3")))
     return t.crossJoin(p).crossJoin(a).crossJoin(drift.drift_summary(table))

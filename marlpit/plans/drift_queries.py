@@ -115,7 +115,7 @@ def monitoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _shifted(spark, sf_dir)
     made = monitoring.run(before.select(*COLUMNS), after.select(*COLUMNS), predictions(spark, sf_dir))
     trained = made["predictions"].select("model_id", F.when(F.col("warning").isNull(), "success").otherwise("failed").alias("status"))
-    return rounded(monitoring.roll_up(trained, predictions(spark, sf_dir), made["alerts"], made["drift"]))
+    return rounded(monitoring.roll_up(trained, predictions(spark, sf_dir), made["alerts"], made["drift"], made["predictions"]))
 
 
 QUERIES: dict[str, Query] = {

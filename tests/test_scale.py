@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from marlpit.functions.scalar import bin_of
-from marlpit.operators import checks, drift, features, lineage, sketches
+from marlpit.operators import checks, drift, features, lineage, monitoring, sketches
 from marlpit.operators.quantiles import exact_quantiles
 from marlpit.sources import scratch
 from marlpit.streaming import evolving
@@ -274,3 +274,15 @@ def test_words_of_weighed_terms_are_not_shuffled(spark):
     one, two = (features.term_weights(x, "t", "k") for x in (df, joined))
     assert "Exchange" not in plan_of(one) and "Exchange" not in plan_of(two)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_predictions_are_counted_from_their_distribution(spark):
+    """The roll-up doesn't read predictions again, those without a model included in the count."""
+    rows = [("a", 1.0), ("a", 2.0), ("b", 3.0), (None, 4.0)]
+    predictions = spark.createDataFrame(rows, "model_id string, prediction double").withColumn("probability", F.lit(0.5))
+    trained = spark.createDataFrame([("a", "success"), ("b", "failed")], "model_id string, status string")
+    none = spark.createDataFrame([], "severity string, type string, message string")
+    drifts = spark.createDataFrame([("f", True)], "feature string, is_drifted boolean")
+    held = scratch.kept(monitoring.prediction_distribution(predictions))
+    plain, counted = monitoring.roll_up(trained, predictions, none, drifts), monitoring.roll_up(trained, predictions, none, drifts, held)
+    assert plain.collect() == counted.collect() and counted.first().predictions == 4 and counted.schema.names == plain.schema.names
