@@ -7,6 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
@@ -26,6 +27,8 @@ from marlpit.ml import metrics
 KINDS = {"xgboost_classifier": "classifier", "lightgbm_classifier": "classifier", "xgboost_regressor": "regressor", "lightgbm_regressor": "regressor", "kmeans": "clusterer"}
 NAMES = {"max_depth": "maxDepth", "learning_rate": "stepSize", "n_estimators": "maxIter", "subsample": "subsamplingRate", "n_clusters": "k", "random_state": "seed", "max_iter": "maxIter"}
 BEST_BY = {"classifier": "roc_auc", "regressor": "r2", "clusterer": "silhouette_score"}
+#: Ranks at which a feature's values are taken to choose its bins, the accuracy of those ranks, and counted rows of a task.
+RANKS, ACCURACY, ROWS = 1000, 2000, 50_000
 RESULTS = "model_id string, run_id string, metric string, value double, status string, error string"
 
 
@@ -119,26 +122,106 @@ def cluster_metrics(model: Model, data: DataFrame, rows: int | None = None, keys
 
 
 def cross_validate(df: DataFrame, model_type: str, features: list[str], target: str, key: str, parameters: dict | None = None, folds: int = 3) -> tuple[Model, DataFrame]:
-    """A model fitted on all rows, and (fold, metric, value) of models that each left one fold out."""
+    """A model fitted on all rows, and (fold, metric, value) of models that each left one fold out.
+
+    Classifiers are fitted to, and scored on, counted bins of rows (see :func:`_counted`), so their turns don't grow with the table.
+    """
     kind = category(model_type)
-    data = _training_rows(df, features, target, key, folds, kind == "classifier").cache()
+    if kind == "classifier":
+        return _cross_validated_classes(df, model_type, features, target, key, parameters, folds)
+    data = _training_rows(df, features, target, key, folds).cache()
     rows = []
     for k in range(folds):
         model = create(model_type, parameters).fit(data.filter(F.col("fold") != k))
-        scored = model.transform(data.filter(F.col("fold") == k))
-        if kind == "classifier":
-            scored = scored.withColumn("p", vector_to_array("probability")[1])
-            row = metrics.binary_metrics(scored, "label", "p").crossJoin(metrics.auc(scored, "label", "p")).first()
-            found = {"roc_auc": row.auc, "f1": row.f1, "precision": row.precision, "recall": row.recall, "accuracy": row.accuracy}
-        else:
-            row = metrics.regression_metrics(scored, "label", "prediction").first()
-            found = {"rmse": row.rmse, "mae": row.mae, "r2": row.r2}
-        rows += [(k, m, None if v is None else float(v)) for m, v in found.items()]
+        row = metrics.regression_metrics(model.transform(data.filter(F.col("fold") == k)), "label", "prediction").first()
+        rows += [(k, m, None if v is None else float(v)) for m, v in {"rmse": row.rmse, "mae": row.mae, "r2": row.r2}.items()]
     model = create(model_type, parameters).fit(data)
     data.unpersist()
     return model, df.sparkSession.createDataFrame(rows, "fold int, metric string, value double")
 
 
+def _cross_validated_classes(df: DataFrame, model_type: str, features: list[str], target: str, key: str, parameters: dict | None, folds: int) -> tuple[Model, DataFrame]:
+    names = [f"_f{k}" for k in range(len(features))]
+    given = df.filter(col(target).isNotNull()).select(col(key), col(target).cast("double").alias("label"), *(filled(f).alias(n) for f, n in zip(features, names, strict=True)))
+    estimator = create(model_type, parameters).setWeightCol("weight")
+    turns = [*range(folds), None]  # at last no fold is left out
+    # folds are dealt once, and the columns kept are those that trees look at
+    data = metrics.stratified_fold(given, key, "label", folds).select("fold", "label", *names).cache()
+    places = _places(data, names, turns, estimator.getMaxBins())
+    # one pass over the rows for all turns: between the edges of all of them, rows are alike to each
+    alike = _counted(data.withColumn("weight", F.lit(1.0)), [_leaves(sorted({e for own in places for e in _edges(own[j])})) for j in range(len(names))], names).cache()
+    parts = 1 + alike.count() // ROWS
+    data.unpersist()
+
+    def fitted(k: int | None, own: list[list[float]]) -> tuple[Model, list[tuple]]:
+        counted = _counted(alike, [(_edges(p), p) for p in own], names)
+        binned = VectorAssembler(inputCols=names, outputCol="features").transform(counted).select("fold", "label", "features", "weight").coalesce(parts).cache()
+        model = estimator.fit(binned if k is None else binned.filter(F.col("fold") != k))
+        found = []
+        if k is not None:
+            scored = model.transform(binned.filter(F.col("fold") == k)).withColumn("p", vector_to_array("probability")[1])
+            row = metrics.binary_metrics(scored, "label", "p", weight="weight").crossJoin(metrics.auc(scored, "label", "p", weight="weight")).first()
+            found = [(k, m, None if v is None else float(v)) for m, v in {"roc_auc": row.auc, "f1": row.f1, "precision": row.precision, "recall": row.recall, "accuracy": row.accuracy}.items()]
+        binned.unpersist()
+        return model, found
+
+    done = [fitted(k, own) for k, own in zip(turns, places, strict=True)]
+    alike.unpersist()
+    return done[-1][0], df.sparkSession.createDataFrame([r for _, found in done for r in found], "fold int, metric string, value double")
+
+
+def _places(data: DataFrame, names: list[str], turns: list[int | None], bins: int) -> list[list[list[float]]]:
+    """For each turn and feature the values that stand for its bins, chosen by ranks within each of the turn's training folds."""
+    ranks = F.array(*(F.lit((j + 0.5) / RANKS) for j in range(RANKS)))
+    found = data.groupBy("fold").agg(F.count("*").alias("n"), *(F.percentile_approx(n, ranks, ACCURACY).alias(n) for n in names), *(F.array(F.min(n), F.max(n)).alias(f"{n}_ends") for n in names)).collect()
+    out = []
+    for k in turns:
+        held = [r for r in found if r.fold != k]
+        out.append([_spread([(v, r.n / RANKS) for r in held for v in r[n]] + [(v, 1.0) for r in held for v in r[f"{n}_ends"]], bins) for n in names])
+    return out
+
+
+def _spread(weighted: list[tuple[float, float]], bins: int) -> list[float]:
+    """At most ``bins`` of the values, with about the same weight around each; a frequent value has a bin of its own and weighs no more than that."""
+    kinds, at = np.unique(np.array([v for v, _ in weighted], float), return_inverse=True)
+    if len(kinds) <= bins:
+        return kinds.tolist() or [0.0]
+    weight = np.bincount(at, [w for _, w in weighted])
+    for _ in weighted:
+        most = weight.sum() / bins
+        if weight.max() <= most * (1 + 1e-9):
+            break
+        weight = np.minimum(weight, most)
+    return kinds[np.unique(np.searchsorted(np.cumsum(weight), (np.arange(bins) + 0.5) * weight.sum() / bins))].tolist()
+
+
+def _edges(places: list[float]) -> list[float]:
+    """Midway between places, where MLlib cuts between values too: so rows score as the places of their bins do."""
+    return [(a + b) / 2 for a, b in zip(places, places[1:], strict=False)]
+
+
+def _leaves(edges: list[float]) -> tuple[list[float], list[float]]:
+    """Edges, and a value within each bin."""
+    return edges, [*edges, float(np.nextafter(edges[-1], np.inf))] if edges else [0.0]
+
+
+def _cut(value: Column, edges: list[float], leaves: list[float]) -> Column:
+    """The leaf of the bin that a value lies in; what lies on an edge is below it, as in a tree."""
+    if not edges:
+        return F.lit(leaves[0])
+    k = len(edges) // 2
+    return F.when(value <= edges[k], _cut(value, edges[:k], leaves[: k + 1])).otherwise(_cut(value, edges[k + 1 :], leaves[k + 1 :]))
+
+
+def _counted(data: DataFrame, bins: list[tuple[list[float], list[float]]], names: list[str]) -> DataFrame:
+    """(fold, label, features, weight): rows of like bins as one, with the sum of their weights.
+
+    Trees see no more of a row than its bins, so those fitted to the counts are those of the rows. MLlib finds the same bins again, as there are no more
+    values than it makes bins. Every row counts; where few rows are alike, the table stays as large as it is.
+    """
+    return data.groupBy("fold", "label", *(_cut(F.col(n), *own).alias(n) for n, own in zip(names, bins, strict=True))).agg(F.sum("weight").alias("weight"))
+
+
 def save_results(results: DataFrame, path: str) -> None:
     """Training results appended by run; a run written again replaces its own rows only."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from marlpit.ml import flat, grouped, halving, training
+from marlpit.ml import flat, grouped, halving, metrics, training
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,35 @@ def test_grouped_trees_are_greedy_trees(spark):
     assert grouped.grouped_trees(df.limit(0), "m", ["a"], "y", depth=1).count() == 0
     unseen = grouped.score_trees(spark.createDataFrame([(1, 1000, 1, 1)], "id bigint, m int, a int, b int"), "m", "id", ["a", "b"], trees, 3).first()
     assert unseen.prediction is None
+
+
+def test_classifier_is_fitted_to_counted_bins_and_scores_rows_alike(spark, monkeypatch):
+    """Turns of boosting see counts, not rows; where every value has a bin of its own, the model is that of the rows."""
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).alias("a"), (F.xxhash64("id") % 5).alias("b"), F.pow(F.rand(3), 4).alias("x"))
+    rows = rows.withColumn("y", (((F.col("a") > 3) != (F.col("b") > 0)) | (F.xxhash64("id", F.lit(1)) % 4 == 0)).cast("int"))
+    seen, fit = [], training.GBTClassifier.fit
+    monkeypatch.setattr(training.GBTClassifier, "fit", lambda self, data, *a: seen.append(data.count()) or fit(self, data, *a))
+    model, folds = training.cross_validate(rows, "xgboost_classifier", ["a", "b"], "y", "id", {"n_estimators": 3, "max_depth": 3})
+    assert len(seen) == 4 and max(seen) <= 3 * 2 * 7 * 9
+    plain = training._training_rows(rows, ["a", "b"], "y", "id", 3, True).cache()
+    chances = [m.transform(plain).groupBy("features").agg(F.first(F.col("probability")).alias("p")).collect() for m in (model, training.create("xgboost_classifier", {"n_estimators": 3, "max_depth": 3}).fit(plain))]
+    held = [{tuple(r.features): r.p[1] for r in c} for c in chances]
+    assert held[0] == pytest.approx(held[1], abs=1e-9) and len(held[0]) > 30
+    for k in range(3):
+        scored = training.create("xgboost_classifier", {"n_estimators": 3, "max_depth": 3}).fit(plain.filter(f"fold <> {k}")).transform(plain.filter(f"fold = {k}")).withColumn("p", vector_to_array("probability")[1])
+        found = {r.metric: r.value for r in folds.filter(f"fold = {k}").collect()}
+        assert found["roc_auc"] == pytest.approx(metrics.auc(scored, "label", "p").first().auc, abs=1e-9) and found["accuracy"] == pytest.approx(metrics.binary_metrics(scored, "label", "p").first().accuracy, abs=1e-9)
+    # of more values than bins, rows score as the places of their bins do
+    given = plain.join(rows.select("id", "x"), "id").select("id", "fold", "label", "x")
+    (places,) = training._places(given, ["x"], [None], 32)[0]
+    given = given.withColumn("raw", F.col("x")).withColumn("x", training._cut(F.col("raw"), training._edges(places), places)).cache()
+    model = training.create("xgboost_classifier", {"n_estimators": 3}).fit(training.assemble(given, ["x"], ["label"]))
+    by = [{r.id: r.probability for r in model.transform(training.assemble(given, [c], ["id"])).collect()} for c in ("x", "raw")]
+    assert by[0] == by[1] and len(set(by[0].values())) > 5 and len(places) == 32
+
+
+def test_bins_of_rare_and_frequent_values():
+    assert training._spread([(0.0, 900.0), (1.0, 1.0)], 32) == [0.0, 1.0]
+    most = training._spread([(0.0, 9000.0), *((float(k), 1.0) for k in range(1, 1000))], 32)
+    assert len(most) == 32 and most[0] == 0.0 and most[1] < 40 and most[-1] > 950
+    assert training._spread([], 32) == [0.0]
