@@ -100,7 +100,7 @@ def linked_lines(lines: DataFrame, numerator: int = 75, denominator: int = 100)
         short = items.join(wanted.withColumnRenamed("id", "item"), "item", "left_semi").select(F.col("item").alias("id"), "line", "k")
         return whole.withColumn("k", F.lit(SHINGLE)).unionByName(short).select("id", F.struct("line", "k").alias("items"))
 
-    labels = link(Sketches(keyed, items=_sets), sets_of, numerator, denominator)
+    labels = link(Sketches(keyed, items=_sets, dealt=True), sets_of, numerator, denominator)
     placed = written(labels.join(items.select(F.col("item").alias("id"), F.col("id").alias("line_id")), "id", "left"))
     short = placed.filter("line_id is not null")
     least = short.groupBy("component").agg(F.min("line_id").alias("a"))

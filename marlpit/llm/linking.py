@@ -35,13 +35,14 @@ class Sketches(NamedTuple):
     """``keyed``: (id, key), a row for each band key of each item; read once. ``frame``: id and sketch columns, of which ``likely``
     takes two functions from a column's name to its value on either side, and says whether the pair may reach the
     threshold; without columns every pair may. ``items`` makes the array of a set's distinct values from the column that
-    ``sets_of`` gives."""
+    ``sets_of`` gives. ``dealt``: the keys come out of a shuffle of their items, whose files are to be gone before the keys are shuffled."""
 
     keyed: DataFrame
     frame: DataFrame | None = None
     columns: tuple[str, ...] = ()
     likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
     items: Callable[[str], Column] = F.col
+    dealt: bool = False
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -77,10 +78,11 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     ``sets_of(ids, rows)`` gives (id, items) for a table of distinct ids; ``sketches.items`` of it is an array of distinct values. Two
     items are linked if ``denominator`` * common >= ``numerator`` * united.
     """
-    keyed = sketches.keyed
-    # keys of one item, which most are, go before anything is written
     bucket = Window.partitionBy("key")
-    shared = written(keyed.select("id", "key", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"), F.count("*").over(bucket).alias("n")).filter("low < high"))
+    with scope(sketches.keyed.sparkSession) as result:
+        keyed = written(sketches.keyed) if sketches.dealt else sketches.keyed
+        # keys of one item, which most are, go here
+        shared = result(keyed.select("id", "key", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"), F.count("*").over(bucket).alias("n")).filter("low < high"))
     members = shared.filter("n > 2").select("key", "id", "low")
     n_larger = members.count()
     stars = shared.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))

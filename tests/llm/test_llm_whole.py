@@ -1,10 +1,12 @@
 """What operators for training corpora must cover: all texts and short lines."""
 
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlpit.llm import arrow, lines, linking, lm, queries, tables
@@ -95,3 +97,33 @@ def test_large_buckets_are_compared_whole_after_their_blocks(spark, monkeypatch)
     items = spark.createDataFrame(list(sets.items()), "id bigint, items array<bigint>")
     found = linking.link(linking.Sketches(keyed), lambda wanted, n: items.join(wanted, "id"))
     assert {tuple(r) for r in found.collect()} == {(k, v) for k, v in label.items() if k not in alone}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """Files of shuffles don't pile up until the driver's memory is swept, which a run of hundreds of small joins may not see."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(found.size()) if (f := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(tables.CLEANUP, None)
+    with tables.scope(spark):
+        held = [tables.written(spark.range(5000).select((F.col("id") % 997).alias("k")).groupBy("k").count()) for _ in range(3)]
+        until = time.monotonic() + 20
+        while time.monotonic() < until and (new := {f for f in files() - before if f.endswith(".data")}):
+            time.sleep(0.2)
+        assert not new and spark.conf.get(tables.CLEANUP, None) == setting
+        assert [t.count() for t in held] == [997] * 3
+
+
+def test_keys_that_are_dealt_are_written_first_and_removed(spark, monkeypatch):
+    keyed = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id bigint, key bigint").repartition(2, "id")
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4]), (3, [9])], "id bigint, items array<bigint>")
+    put, seen = tables._put, []
+    monkeypatch.setattr(tables, "_put", lambda df, folder: seen.append(df.columns) or put(df, folder))
+    for dealt, most in ((False, 0), (True, 1)):
+        seen.clear()
+        with tables.scope(spark):
+            found = linking.link(linking.Sketches(keyed, dealt=dealt), lambda ids, n: sets.join(ids, "id", "left_semi"))
+            assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1)]
+        assert seen.count(["id", "key"]) == most
