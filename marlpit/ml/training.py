@@ -214,7 +214,7 @@ def _cut(value: Column, edges: list[float], leaves: list[float]) -> Column:
 
 
 def _counted(data: DataFrame, bins: list[tuple[list[float], list[float]]], names: list[str]) -> DataFrame:
-    """(fold, label, features, weight): rows of like bins as one, with the sum of their weights.
+    """(fold, label, a column for each feature, weight): rows of like bins as one, with the sum of their weights.
 
     Trees see no more of a row than its bins, so those fitted to the counts are those of the rows. MLlib finds the same bins again, as there are no more
     values than it makes bins. Every row counts; where few rows are alike, the table stays as large as it is.
