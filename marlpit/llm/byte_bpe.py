@@ -33,6 +33,10 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: White space beyond ASCII: a text that has some is one segment, as its spaces may join with the ASCII ones.
 WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: What a task has at once, so that a worker's memory hangs neither on the batch nor on how many of its words are new: bytes of texts, bytes of
+#: segments that are merged together, words that are kept, and rows that are decoded.
+PIECE_BYTES, MERGED_BYTES, KEPT_WORDS, DECODED_ROWS = arrow.BATCH_BYTES // 4, 1 << 18, 50_000, 1_000
+
 
 # ---------------------------------------------------------------- segments
 
@@ -90,7 +94,7 @@ class Vocabulary:
         self.byte_id = np.array([vocab[letter[b]] for b in range(256)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in found["model"]["merges"]]
         self.merges = Merges(*(np.array([vocab[x] for x in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs])))
-        self.cache, self.plain = tokenizer.WordCache(), tokenizer.WordCache()
+        self.cache, self.plain = tokenizer.WordCache(KEPT_WORDS), tokenizer.WordCache(KEPT_WORDS)
         self.special = {x["content"]: x["id"] for x in found["added_tokens"]}
         tokens = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
         tokens |= {i: t.encode() for t, i in self.special.items()}
@@ -101,7 +105,15 @@ class Vocabulary:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def encode_segments(self, segments: list[bytes], special_strings: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of each segment, by the pattern and the merges alone."""
+        """(ids, counts) of each segment, by the pattern and the merges alone; segments of about MERGED_BYTES at a time."""
+        if not segments:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = np.cumsum([len(x) for x in segments]) // MERGED_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(segments)]
+        found = [self._encode_part(segments[a:b], special_strings) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
+
+    def _encode_part(self, segments: list[bytes], special_strings: bool) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
         owner: list[int] = []
         special: dict[int, int] = {}
@@ -288,8 +300,9 @@ def encode_texts(texts: pa.Array, vocab: Vocabulary, lexicon: Lexicon) -> tuple[
     return ids, ends[found.offsets]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json", lexicon_size: int = 65_536) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, as binary) of each whole text.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json", lexicon_size: int = 65_536, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers, as binary) of each whole text; with ``decoded`` the text of those ids too, as
+    :func:`decode` adds it, but by the worker that has found them, so that a task needs one worker and no batch is sent twice.
 
     The lexicon is compiled from counts over all texts; it changes how ids are found, never which. Null and empty
     texts, and tables without rows, give empty ids. Repeated rows give repeated results; other columns play no part.
@@ -300,13 +313,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1)), arrow.BATCH_BYTES // 2):
+            for rows, texts in arrow.by_bytes(batch, arrow.texts_of(batch.column(1)), PIECE_BYTES):
                 ids, at = encode_texts(texts, vocabulary(name), _mapped(file_name))
                 raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
+                column = pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                more = {"decoded": texts_of_ids(column, vocabulary(name))} if decoded else {}
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": column} | more)
 
     own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return own.mapInArrow(encoded, "doc_id bigint, ids binary")
+    return own.mapInArrow(encoded, "doc_id bigint, ids binary" + ", decoded string" * decoded)
+
+
+def texts_of_ids(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
+    """The text of each row of ids as :func:`encode` gives them, a few rows at a time; null has the empty text."""
+    parts = (ids.slice(k, DECODED_ROWS).to_pylist() for k in range(0, len(ids), DECODED_ROWS))
+    found = [pa.array([vocab.decode(np.frombuffer(x or b"", "<u4")).decode() for x in part], pa.string()) for part in parts]
+    return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
@@ -316,6 +338,6 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     def decoded(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(name)
         for column in ids:
-            yield pa.array([vocab.decode(np.frombuffer(x or b"", "<u4")).decode() for x in column.to_pylist()], pa.string())
+            yield texts_of_ids(column, vocab)
 
     return encoded.withColumn("decoded", decoded("ids"))

@@ -187,6 +187,28 @@ def test_byte_bpe_is_the_librarys(spark, tiny, byte_level):
         assert r.decoded == byte_level.decode(ids, skip_special_tokens=False)
 
 
+def test_byte_bpe_merges_few_new_words_at_once(byte_level, monkeypatch):
+    vocab = byte_bpe.Vocabulary("byte_bpe_50k.json")
+    sizes, merge = [], vocab.merges.merge
+    monkeypatch.setattr(vocab.merges, "merge", lambda ids, starts: (sizes.append(len(ids)), merge(ids, starts))[1])
+    text = " ".join(f"w{k * 7919}x<|endoftext|>é" for k in range(40_000))
+    lexicon = byte_bpe.Lexicon.compile([b" w"], vocab)
+    ids, at = byte_bpe.encode_texts(pa.array([text, ""]), vocab, lexicon)
+    assert ids.tolist() == byte_level.encode(text, add_special_tokens=False).ids and at[1] == at[2] == len(ids)
+    assert len(sizes) > 3 and max(sizes) <= byte_bpe.MERGED_BYTES + 64
+    assert len(vocab.cache.slot) <= byte_bpe.KEPT_WORDS
+
+
+def test_byte_bpe_decodes_where_it_encodes(spark):
+    docs = odd(spark)
+    both = byte_bpe.encode(docs, lexicon_size=500, decoded=True)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Python") + both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = byte_bpe.decode(byte_bpe.encode(docs, lexicon_size=500))
+    assert both.columns == apart.columns and both.count() == apart.count()
+    assert both.exceptAll(apart).isEmpty() and both.filter("decoded is null").isEmpty()
+    assert byte_bpe.encode(docs.limit(0), decoded=True).count() == 0
+
+
 def test_byte_bpe_of_no_rows(spark):
     assert byte_bpe.encode(odd(spark).limit(0)).count() == 0
 
