@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from marlpit.llm.tables import BROADCAST_ROWS, scope, written
 
-#: Rows of a bucket that one task holds against as many others.
-BLOCK = 256
-#: Rows of a bucket that are held against each other in a turn before all are; such turns go on while one in so many pairs is a link.
-PART, WORTH = 64, 10
+#: Rows of a bucket that one task holds against as many others; a bucket of n rows is copied n / BLOCK times for that, so this bounds what is shuffled.
+BLOCK = 2048
+#: Rows of a bucket that are held against each other in a turn before all are; turns go on while there is a link for each so many open items.
+PART, WORTH = 64, 20
+#: Pairs of whole sets that a task compares.
+COMPARED = 1_000
 #: Longs of an odd sketch, and all columns that bounds are made of.
 PARITIES = tuple(f"q{k}" for k in range(16))
 BOUNDS = ("size", "shared", *PARITIES)
@@ -50,26 +52,29 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def components(edges: DataFrame, spark_ids: tuple[str, str] = ("a", "b")) -> DataFrame:
+def components(edges: DataFrame, spark_ids: tuple[str, str] = ("a", "b"), rows: int | None = None) -> DataFrame:
     """(id, component) of every id in ``edges``: the least id reachable. Distributed union-find.
 
     Each turn takes the least label among neighbours, then the label of that label, so that long chains
-    shrink by half. Ends when no label changes; only the last labels are left.
+    shrink by half. Ends when no label changes; only the last labels are left. ``rows``: how many edges there are at most.
     """
     with scope(edges.sparkSession) as result:
         a, b = spark_ids
         pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")))
+        ends = None if rows is None else 2 * rows
+        both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ends)
+        ends = both.count()
+        labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), ends)
+        small = 2 * labels.count()
         while True:
-            near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "id")
-            lower = labels.join(near, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
+            near = both.join(few(labels.withColumnRenamed("id", "b"), small), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "id")
+            lower = near.join(few(labels, small), "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
             above = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-            new = lower.join(above, "component").select("id", F.least("component", "jump").alias("component"), "before")
-            new = written(new)
+            new = lower.join(few(above, small), "component").select("id", F.least("component", "jump").alias("component"), "before")
+            new = written(new, ends)
             labels = new.select("id", "component")
             if new.filter("component < before").isEmpty():
-                return result(labels)
+                return result(labels, ends)
 
 
 def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -87,61 +92,60 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     n_larger = members.count()
     stars = shared.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     tried = written(_likely(stars.distinct(), sketches))
-    links = _confirmed(tried, sets_of, sketches.items, numerator, denominator)
-    if links.isEmpty():
-        labels = None
-    else:
-        labels = components(links)
+    n_tried = tried.count()
+    links = _confirmed(tried, n_tried, sets_of, sketches.items, numerator, denominator)
+    n_links = links.count()
+    labels = components(links, rows=n_links) if n_links else None
     if not n_larger:
         return labels if labels is not None else _none(shared)
-    open_ = _open(members, labels)
-    ids = written(open_.select("id").distinct())
+    open_ = _open(members, n_larger, labels)
+    ids = written(open_.select("id").distinct(), n_larger)
     rows = ids.count()
     if not rows:
         return labels if labels is not None else _none(shared)
     sets = written(sets_of(ids, rows))
-    bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))))
+    bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))), rows)
     # an item of which too much is in no other open item can't have a link
     hopeful = bounds.filter(denominator * F.col("shared") >= numerator * F.col("size"))
-    members = written(open_.select("key", "id").join(few(hopeful, (1 + len(BOUNDS)) * rows), "id"))
+    members = written(open_.select("key", "id").join(few(hopeful, (1 + len(BOUNDS)) * rows), "id"), n_larger)
+    n_members = members.count()
 
     def again(wanted: DataFrame, n: int) -> DataFrame:
         return sets.join(few(wanted, n), "id", "left_semi")
 
+    def tested(pairs: DataFrame) -> int:
+        """Confirms those of the pairs that are new; gives how many of them are links."""
+        nonlocal tried, n_tried, links, n_links, labels
+        fresh = written(pairs.join(few(tried, 2 * n_tried), ["a", "b"], "left_anti"))
+        n_fresh = fresh.count()
+        more = _confirmed(fresh, n_fresh, again, sketches.items, numerator, denominator)
+        found = more.count() if n_fresh else 0
+        tried, n_tried = tried.unionByName(fresh), n_tried + n_fresh
+        if found:
+            links, n_links = links.unionByName(more), n_links + found
+            labels = components(links, rows=n_links)
+        return found
+
+    # whichever turns there are, all candidate pairs of different components have been tested in the end
     for _ in range(2):  # other representatives, for buckets whose items are not together yet
-        open_ = _open(members, labels)
+        open_ = _open(members, n_members, labels)
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        ranked = open_.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        ranked = open_.join(few(degree, 4 * n_links), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         chosen = ranked.groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("id").alias("order"), "component", *BOUNDS)).alias("r"))
         chosen = chosen.select("key", F.bitwise_not(F.col("r.order")).alias("to"), F.col("r.component").alias("to_component"), *(F.col(f"r.{c}").alias(f"to_{c}") for c in BOUNDS))
         apart = (F.col("component") != F.col("to_component")) & _possible("", "to_", numerator, denominator)
         pairs = open_.join(chosen.withColumnRenamed("key", "to_key"), (F.col("key") == F.col("to_key")) & apart).select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
-        fresh = written(_likely(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sketches))
-        more = _confirmed(fresh, again, sketches.items, numerator, denominator)
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
+        if WORTH * tested(_likely(pairs.distinct(), sketches)) < rows:
             break
-        links = links.unionByName(more)
-        labels = components(links)
     for turn in count():
-        open_ = _open(members, labels)
+        open_ = _open(members, n_members, labels)
         if turn:  # smaller buckets are done with the first turn
             open_ = open_.filter(F.col("in_bucket") > PART)
-        fresh = written(_within(open_, sketches, turn, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
-        more = _confirmed(fresh, again, sketches.items, numerator, denominator)
-        tried = tried.unionByName(fresh)
-        found = more.count()
-        if found:
-            links = links.unionByName(more)
-            labels = components(links)
-        if WORTH * found < fresh.count() or not found:
+        if WORTH * tested(_within(open_, n_members, sketches, turn, numerator, denominator)) < rows:
             break
-    wide = _open(members, labels).filter(F.col("in_bucket") > PART)
+    wide = _open(members, n_members, labels).filter(F.col("in_bucket") > PART)
     if not wide.isEmpty():
-        rest = _across(wide, sketches, numerator, denominator).join(tried, ["a", "b"], "left_anti")
-        more = _confirmed(written(rest), again, sketches.items, numerator, denominator)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        tested(_across(wide, sketches, numerator, denominator))
     return labels if labels is not None else _none(shared)
 
 
@@ -172,15 +176,15 @@ def _none(keyed: DataFrame) -> DataFrame:
     return keyed.select("id", F.col("id").alias("component")).limit(0)
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets whose items lie in more than one component, with component and in_bucket, the bucket's size."""
+def _open(members: DataFrame, rows: int, labels: DataFrame | None) -> DataFrame:
+    """Members, of which there are ``rows``, of buckets whose items lie in more than one component, with component and in_bucket, the bucket's size."""
     if labels is not None:
         own = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
         own = members.withColumn("component", F.col("id"))
-    own = written(own)
+    own = written(own, rows)
     apart = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("in_bucket")).filter("c0 < c1")
-    return written(own.join(apart.select("key", "in_bucket"), "key"))
+    return written(own.join(apart.select("key", "in_bucket"), "key"), rows)
 
 
 def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
@@ -193,11 +197,11 @@ def _likely(pairs: DataFrame, sketches: Sketches) -> DataFrame:
     return held.filter(sketches.likely(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
 
 
-def _within(open_: DataFrame, sketches: Sketches, turn: int, numerator: int, denominator: int) -> DataFrame:
+def _within(open_: DataFrame, rows: int, sketches: Sketches, turn: int, numerator: int, denominator: int) -> DataFrame:
     """Likely pairs (a, b) of items in different components of one bucket, within blocks of about PART rows that are dealt by ``turn``."""
     blocks = F.ceil(F.col("in_bucket") / PART).cast("int")
     dealt = open_.withColumn("own", F.pmod(F.xxhash64("id", "key", F.lit(turn)), blocks).cast("int"))
-    return _pairs(written(_sketched(dealt, sketches).withColumns({"x": F.col("own"), "y": F.col("own")})), sketches, numerator, denominator)
+    return _pairs(written(_sketched(dealt, sketches).withColumns({"x": F.col("own"), "y": F.col("own")}), rows), sketches, numerator, denominator)
 
 
 def _across(open_: DataFrame, sketches: Sketches, numerator: int, denominator: int) -> DataFrame:
@@ -223,13 +227,13 @@ def _pairs(spread: DataFrame, sketches: Sketches, numerator: int, denominator: i
     return one.join(two, same & apart & _possible("a_", "b_", numerator, denominator) & likely).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], items: Callable[[str], Column], numerator: int, denominator: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold, written; the sets are deleted."""
+def _confirmed(pairs: DataFrame, n: int, sets_of: Callable[[DataFrame, int], DataFrame], items: Callable[[str], Column], numerator: int, denominator: int) -> DataFrame:
+    """Those of ``n`` pairs whose whole sets reach the threshold, written; the sets are deleted."""
+    if not n:
+        return pairs.limit(0)
     with scope(pairs.sparkSession) as result:
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n)
         rows = ids.count()
-        if not rows:
-            return pairs.limit(0)
         sets = written(sets_of(ids, rows))
         one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
         held = pairs.join(one, "a").join(two, "b")
@@ -238,4 +242,4 @@ def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame],
         sizes = F.size("one") + F.size("two")
         # one number comes out of the generator, so that the filter doesn't build the sets again
         held = held.select("a", "b", F.inline(F.array(F.struct(common.alias("common"), sizes.alias("sizes")))))
-        return result(held.filter(denominator * F.col("common") >= numerator * (F.col("sizes") - F.col("common"))).select("a", "b"))
+        return result(held.filter(denominator * F.col("common") >= numerator * (F.col("sizes") - F.col("common"))).select("a", "b"), n, COMPARED)

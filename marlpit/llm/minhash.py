@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = table.filter("n > 0 and doc_id is not null")
         classes = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
         # by both, of which no pair is in many rows, so that a text of very many copies is no hot key
-        frame = full.withColumn("id", F.col("doc_id")).join(classes.select("set_hash", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "keys", "n", *SKETCH)
+        frame = full.withColumn("id", F.col("doc_id")).join(classes.select("set_hash", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"])
+        sketched = written(frame.select("id", "n", *SKETCH), classes.count())  # which every turn of the linking reads
 
         def sets_of(ids: DataFrame, rows: int) -> DataFrame:
             def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return own.join(few(ids, rows), "id", "left_semi").mapInArrow(made, "id bigint, items array<bigint>")
 
         keyed = frame.select("id", F.explode("keys").alias("key"))
-        labels = link(Sketches(keyed, frame, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
+        labels = link(Sketches(keyed, sketched, ("n", *SKETCH), likely(numerator, denominator)), sets_of, numerator, denominator)
         # copies take their class' component, which is looked up once for each class; all other rows go by their own id
         several = written(classes.filter("copies > 1").join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("of_class")))
         own = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("of_row"))

@@ -109,6 +109,22 @@ def test_candidates_that_differ_are_compared_across_components(spark):
     assert {tuple(r) for r in found.collect()} == {(2, 2), (3, 2)}
 
 
+def test_small_tables_of_the_linking_are_few_files(spark):
+    edges = spark.range(300).repartition(16).selectExpr("id as a", "id + 1 as b")
+    assert len(tables.written(edges, 300).inputFiles()) == 1
+    assert len(tables.written(edges, 300, 100).inputFiles()) == 3
+    labels = linking.components(edges, rows=300)
+    assert len(labels.inputFiles()) == 1 and labels.count() == 301 and {r.component for r in labels.collect()} == {0}
+
+
+def test_buckets_of_some_hundred_items_are_not_copied(spark, monkeypatch):
+    open_ = spark.range(600).selectExpr("id", "7L as key", "id as component", "600L as in_bucket")
+    counts = []
+    monkeypatch.setattr(linking, "_pairs", lambda spread, *rest: counts.append(spread.count()) or spread)
+    linking._across(open_, linking.Sketches(open_), 75, 100)
+    assert counts == [600]
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(500, 700), (700, 600), (9, 9)]
     found = {r.id: r.component for r in linking.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
