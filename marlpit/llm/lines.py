@@ -27,7 +27,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, copy (a hash of the text, which tells rows of one id apart), line_no, line and two 64-bit hashes of it, of every
     line that has a word. Null texts have none."""
     text = F.col(f"`{text_col}`")
-    parts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # outer, or Spark would add a filter on the number of lines, which splits each text again; null texts go with the lines without a word
+    parts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
     return parts.filter(F.col("line").rlike(WORD)).withColumns({"id": F.xxhash64("line"), "check": F.xxhash64("line", F.lit(1))})
 
 
@@ -86,7 +87,7 @@ def stretch_keys(items: DataFrame) -> DataFrame:
 def _sets(line: str) -> Column:
     """Distinct hashes of the shingles of ``line.k`` code points; a shorter line is one shingle."""
     # bound to a name, or the line would be encoded once for each shingle
-    return F.expr(f"array_distinct(element_at(transform(array(struct(encode({line}.line, 'UTF-32') as code, {line}.k as k, greatest(length({line}.line) - {line}.k, 0) as last)), c -> transform(sequence(0, c.last), i -> xxhash64(substring(c.code, cast(4 * i + 1 as int), 4 * c.k)))), 1))")
+    return F.expr(f"array_distinct(element_at(transform(array(struct(encode({line}.line, 'UTF-32') as code, 4 * {line}.k as width, 4 * greatest(length({line}.line) - {line}.k, 0) + 1 as last)), c -> transform(sequence(1, c.last, 4), i -> xxhash64(substring(c.code, i, c.width)))), 1))")
 
 
 def linked_lines(lines: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:

@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.tables import BROADCAST_ROWS, scope, written
+from marlpit.llm.tables import BROADCAST_ROWS, FAST_GROUPS, scope, setting, written
 
 #: Rows of a bucket that one task holds against as many others; a bucket of n rows is copied n / BLOCK times for that, so this bounds what is shuffled.
 BLOCK = 2048
@@ -28,6 +28,8 @@ BLOCK = 2048
 PART, WORTH = 64, 20
 #: Pairs of whole sets that a task compares.
 COMPARED = 1_000
+#: A task's groups, as a power of two, while keys are made of many elements to an item: 12 for each of some 80,000 items.
+GROUPS_BIT = "20"
 #: Longs of an odd sketch, and all columns that bounds are made of.
 PARITIES = tuple(f"q{k}" for k in range(16))
 BOUNDS = ("size", "shared", *PARITIES)
@@ -85,7 +87,10 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     """
     bucket = Window.partitionBy("key")
     with scope(sketches.keyed.sparkSession) as result:
-        keyed = written(sketches.keyed) if sketches.dealt else sketches.keyed
+        keyed = sketches.keyed
+        if sketches.dealt:
+            with setting(keyed.sparkSession, FAST_GROUPS, GROUPS_BIT):
+                keyed = written(keyed)
         # keys of one item, which most are, go here
         shared = result(keyed.select("id", "key", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"), F.count("*").over(bucket).alias("n")).filter("low < high"))
     members = shared.filter("n > 2").select("key", "id", "low")
@@ -104,7 +109,8 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
     if not rows:
         return labels if labels is not None else _none(shared)
     sets = written(sets_of(ids, rows))
-    bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))), rows)
+    with setting(sets.sparkSession, FAST_GROUPS, GROUPS_BIT):
+        bounds = written(_bounds(sets.select("id", sketches.items("items").alias("items"))), rows)
     # an item of which too much is in no other open item can't have a link
     hopeful = bounds.filter(denominator * F.col("shared") >= numerator * F.col("size"))
     members = written(open_.select("key", "id").join(few(hopeful, (1 + len(BOUNDS)) * rows), "id"), n_larger)
@@ -152,7 +158,8 @@ def link(sketches: Sketches, sets_of: Callable[[DataFrame, int], DataFrame], num
 def _bounds(sets: DataFrame) -> DataFrame:
     """(id, size, shared and parities): how many elements a set has, how many of them are in another set of the table
     too, and an odd sketch: for each of 1024 places whether an odd number of elements falls there."""
-    items = sets.select("id", F.explode("items").alias("item"))
+    # outer, or Spark would add a filter on the array's size, which builds each set again
+    items = sets.select("id", F.explode_outer("items").alias("item")).filter("item is not null")
     alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
     place = F.pmod(F.xxhash64("item"), F.lit(64 * len(PARITIES)))

@@ -237,6 +237,28 @@ def test_lines_of_odd_rows(spark):
     assert {r.doc_id: r.text for r in left.collect()} == {1: f"{line}\nalone\n", 2: " ", 3: None, 4: "", 5: "\n\n", 6: "x" * 100_000, None: "nobody"}
 
 
+def test_texts_are_split_and_sets_are_built_once(spark, tiny):
+    """Spark adds no filter on an array's size that makes the array again."""
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized(lines.lines_of(queries.table(spark, tiny, "documents"))).count("split(") == 1
+    items = spark.createDataFrame([(1, "a line of words", 10), (2, "", 10)], "id bigint, line string, k int").select("id", F.struct("line", "k").alias("items"))
+    bounds = linking._bounds(items.select("id", lines._sets("items").alias("items")))
+    assert optimized(bounds).count("array_distinct(") == 2  # of elements in one set alone, and of the sketch
+    assert sorted((r.id, r.size, r.shared) for r in bounds.collect()) == [(1, 6, 0), (2, 1, 0)]
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.line_no, r.line) for r in lines.lines_of(texts).collect()) == [(3, 0, "a"), (3, 2, "b")]
+
+
+def test_keys_are_made_with_room_for_their_groups(spark, monkeypatch):
+    """Tasks that make keys of dealt items look all their groups up in the generated table; the session's own setting comes back."""
+    put, seen = tables._put, []
+    monkeypatch.setattr(tables, "_put", lambda df, folder: seen.append((df.columns, spark.conf.get(tables.FAST_GROUPS))) or put(df, folder))
+    before = spark.conf.get(tables.FAST_GROUPS)
+    df = spark.createDataFrame([(1, "the first line of a text, long enough"), (2, "another one that is not near to it")], "doc_id bigint, text string")
+    assert lines.line_groups(df).count() == 2
+    assert (["id", "key"], linking.GROUPS_BIT) in seen and spark.conf.get(tables.FAST_GROUPS) == before != linking.GROUPS_BIT
+
+
 # ---------------------------------------------------------------- rules
 
 
