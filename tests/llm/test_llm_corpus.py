@@ -540,6 +540,60 @@ def test_long_texts_score_as_their_windows():
         assert np.allclose(whole[k], np.concatenate([x[k] for x in alone]), atol=1e-4)
 
 
+def test_looked_up_states_are_those_of_the_fit():
+    """Scoring looks keys, values and queries up by symbol; the fit multiplies them. Large weights take the way with the greatest taken off."""
+    net, _, inputs, targets = tiny_network()
+    for scale in (1, 30):
+        own = net._replace(embedding=net.embedding * scale, out=net.out * scale)
+        assert np.allclose(lm._scored_states(own, lm.lookups(own), inputs), lm.states(own, inputs)[0], rtol=1e-3, atol=1e-3 * scale)
+        found, _ = lm.symbol_scores(own, inputs, targets)
+        loss, slope = lm.backward(own, inputs, targets)
+        assert np.isfinite(found).all() and all(np.isfinite(x).all() for x in slope.values())
+        assert scale > 1 or loss == pytest.approx(-math.log(10) * found.mean(), rel=1e-4)
+
+
+def test_steps_leave_what_they_havent_seen():
+    net, _, inputs, targets = tiny_network()
+    inputs[3, lm.CONTEXT + 10 :] = -1  # as windows have it behind a text's end
+    old = {k: getattr(net, k).copy() for k in ("embedding", "inner")}
+    adam = lm.Adam(net)
+    for _ in range(2):
+        adam.step(inputs, targets, 1e-2)
+    own = np.unique(net.class_of[targets[targets >= 0]])
+    seen = {"embedding": np.unique(inputs[inputs >= 0]), "inner": np.flatnonzero(np.isin(net.class_of, own) & (np.diff(net.start) > 1)[net.class_of])}
+    for k, rows in seen.items():
+        moved = np.flatnonzero((getattr(net, k) != old[k]).any(axis=1))
+        assert moved.tolist() == rows.tolist()
+
+
+def test_rounds_fill_the_cores():
+    """A round is one turn of tasks, or whole turns; none has over eight times a task's subwords."""
+    each = lm.TASK_SUBWORDS
+    assert lm.round_tasks(0, 6) == 1 and lm.round_tasks(2.5 * each, 6) == 3
+    for cores in (1, 2, 6, 12):
+        for subwords in (7 * each, 37 * each, 460 * each):
+            tasks = lm.round_tasks(subwords, cores)
+            assert tasks % cores == 0 or tasks == math.ceil(subwords / each) < cores
+            assert subwords / tasks <= lm.TASK_TIMES * each
+            assert lm.score_tasks(subwords, cores) % cores == 0
+
+
+def test_texts_are_dealt_anew_to_the_tasks_of_a_round(spark):
+    """As many tasks as asked for however few files there are, and the same weights however rows lie."""
+    texts = [" ".join(f"w{(k * j) % 37}" for j in range(40 + k % 9)) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "place bigint, text string")
+    found = arrow.split_words(arrow.texts_of(pa.array(texts)), lower=True)
+    ids, _ = lm.sequences(found, *lm.subwords(found.words))
+    net = lm.untrained(np.bincount(ids, minlength=lm.END + 1).astype(float))
+    one = lm.fitted_round(df.coalesce(1), net, 1e-2, 3)
+    other = lm.fitted_round(df.orderBy(F.desc("place")).repartition(4), net, 1e-2, 3)
+    alone = lm.fitted_round(df.coalesce(1), net, 1e-2, 1)
+    assert one[0] == other[0] == alone[0] == len(ids)
+    for k in lm.TRAINED:
+        assert np.array_equal(getattr(one[2], k), getattr(other[2], k)), k
+    assert not np.array_equal(one[2].out, alone[2].out)
+
+
 def test_a_text_isnt_scored_from_its_own_later_words():
     """What comes before a place scores alike, whatever follows, the same words again too."""
     net, *_ = tiny_network()
